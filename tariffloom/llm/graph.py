@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 
+def _pairs(frame: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each named pair of columns of each row."""
+    both = F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")
+    return frame.select(both).select("e.u", "e.v")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (u, v) with u > v; least neighbours are found by a map-side combined min."""
     if large:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _pairs(edges, ("u", "v"), ("v", "u"))
     else:
         both = edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -19,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = _pairs(joined, ("v", "m"), ("u", "m"))
     return out.where("u != v").distinct()
 
 
@@ -35,7 +41,7 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if state == seen or not state["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return _pairs(now, ("u", "v"), ("v", "v")).toDF("node", "root").distinct()
         seen = state
         now = cut(_star(_star(now, True), False))
     raise RuntimeError(f"components did not settle in {limit} rounds")
