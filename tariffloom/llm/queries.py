@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .jaccard_join import op3_ngram_jaccard_join
 from .packing import op2_packing
+from .pii import op1_pii
+from .quality_rules import OP6_SQL, op6_quality_rules
 from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_packing,
         op3_ngram_jaccard_join,
+        op6_quality_rules,
         op7_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
