@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontamination
 from .jaccard_join import op3_ngram_jaccard_join
+from .language import op9_language_id
 from .packing import op2_packing
 from .pii import op1_pii
+from .quality_model import op4_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .substring_dedup import op7_substring_dedup
+from .toxicity import op5_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -14,8 +18,12 @@ QUERIES = {
         op1_pii,
         op2_packing,
         op3_ngram_jaccard_join,
+        op4_quality_classifier,
+        op5_toxicity,
         op6_quality_rules,
         op7_substring_dedup,
+        op9_language_id,
+        op10_decontamination,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}

@@ -75,8 +75,11 @@ class Words:
     """The words of a slice of texts: byte bounds, row of each word, first word of each row, 64-bit hashes."""
 
     def __init__(self, column: pa.Array):
-        self.raw, self.offsets = text_bytes(column)
-        n = len(self.raw)
+        self.split(*text_bytes(column))
+
+    def split(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        self.raw, self.offsets = raw, offsets
+        n = len(raw)
         solid = ~SPACE[self.raw]
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.offsets] = True
@@ -87,7 +90,7 @@ class Words:
         self.start = np.flatnonzero(solid & (~before | edge[:n]))
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self.doc = np.repeat(np.arange(len(column)), np.diff(self.first))
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
