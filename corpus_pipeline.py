@@ -1,34 +1,60 @@
-"""Corpus preparation as a chain of stages, each written as Parquet and read again."""
+"""Corpus preparation as a chain of stages, each written as Parquet and read again.
+
+Every stage works on all its predecessor kept. All but the last return the
+columns of ``documents``; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tariffloom.llm.decontaminate import without_contamination
 from tariffloom.llm.jaccard_join import keep_one_per_class
 from tariffloom.llm.packing import pack_documents
+from tariffloom.llm.pii import redact
+from tariffloom.llm.quality_model import fit_quality, score_quality
 from tariffloom.llm.shared import table, written
-from tariffloom.ship import ship
+
+KEEP_FROM = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that the quality model scores below ``KEEP_FROM``."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where(F.col("__score") >= KEEP_FROM).drop("__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates."""
+    """Of each group of near-duplicates the least doc_id stays."""
     return keep_one_per_class(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of the benchmark go."""
+    return without_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars is counted anew."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens, with their ids."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("packing", packing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

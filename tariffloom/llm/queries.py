@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontamination
+from .html_text import op8_html_extraction
 from .jaccard_join import op3_ngram_jaccard_join
 from .language import op9_language_id
 from .packing import op2_packing
@@ -22,6 +23,7 @@ QUERIES = {
         op5_toxicity,
         op6_quality_rules,
         op7_substring_dedup,
+        op8_html_extraction,
         op9_language_id,
         op10_decontamination,
     )
