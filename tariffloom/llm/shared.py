@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
@@ -35,5 +37,11 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Reads an input table; the package goes along to the executors."""
+    """Reads an input table; the package goes along to the executors.
+
+    Texts can be long, so batches to Python are kept to ``BATCH_BYTES`` and
+    ``BATCH_ROWS``, which bounds what a task holds on both sides.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
