@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import duty, joins, matching, scalars, schedule, workflow
+from . import drafts, duty, feeds, joins, matching, parsing, scalars, schedule, stores, workflow
 
-MODULES = (duty, joins, schedule, scalars, matching, workflow)
+MODULES = (duty, joins, schedule, scalars, matching, workflow, parsing, stores, drafts, feeds)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
