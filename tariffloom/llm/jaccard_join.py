@@ -262,7 +262,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     empty; texts without words have no shingles, link to nothing and are their
     own class. Texts of fewer than n words are compared as one shingle, so they
     link only if equal word by word. Only doc_id and text are read; rows with a
-    null doc_id are returned with null ids and no links.
+    null doc_id are returned with null ids and no links; rows that share a doc_id
+    share the least of their text_ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
@@ -282,7 +283,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     found = cut(_grouped(pairs).mapInArrow(_verified(threshold, tolerance), "u long, v long, links long"))
     roots = components(found.select("u", "v"), "u", "v").select(F.col("node").alias("text_id"), "root")
     links = found.groupBy(F.col("u").alias("text_id")).agg(F.sum("links").alias("links"))
-    whole = texts.distinct().join(links, "text_id", "left").join(roots, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    whole = texts.groupBy("doc_id").agg(F.min("text_id").alias("text_id")).join(links, "text_id", "left").join(roots, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     return docs.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
+from ..storage import fresh_path, shared_folder
 
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tariffloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def cut(frame: DataFrame) -> DataFrame:
     """Checkpoints reliably, so that later uses neither recompute nor depend on one executor."""
     shared_folder(frame.sparkSession)
@@ -31,7 +18,7 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Writes a Parquet table to the shared folder and reads it back."""
-    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
 
