@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textops import Words, signed, slices
+from .textops import SLICE_BYTES, Words, signed, slices
 
 #: Half-windows are told apart by 48 bits only, which saves shuffle; a clash makes a needless candidate, no wrong result.
 SHORT = np.uint64(16)
@@ -45,13 +46,28 @@ def _half_windows(window: int, half: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle, which takes them less room than Spark's own block compression."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            yield pa.record_batch([part.column("doc_id"), pa.array([compress(t or b"") for t in texts], pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of a batch with the words of their texts."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for part in slices(batch, "packed", SLICE_BYTES // 3):
+        yield part, Words(pa.array([expand(z) for z in part.column("packed").to_pylist()], pa.binary()))
+
+
 def _full_windows(window: int, half: int):
     """Full windows whose half-window is in the row's list ``halves``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
+            for part, words in _unpacked(batch):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 lists = part.column("halves")
                 starts, _, grams = words.minimizers(window, half)
@@ -73,8 +89,7 @@ def _removed(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
+            for part, words in _unpacked(batch):
                 full = signed(words.windows(window))
                 lists, copies = part.column("remove"), part.column("copy").to_pylist()
                 raw, counts, gone, kept = words.raw.tobytes(), [], [], []
@@ -119,8 +134,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     A word goes if some ``window``-word window over it also starts in a document
     of smaller doc_id. Null and empty texts, and texts shorter than a window,
     lose nothing; within one document a repeat is no repeat; rows that share a
-    doc_id are judged each alone; a null doc_id is
-    smaller or larger than none, so such rows lose nothing. Only doc_id and text are read, so extra
+    doc_id are judged each alone; a null doc_id is smaller or larger than none,
+    so such rows lose nothing. Only doc_id (a long) and text are read, so extra
     columns do no harm. An empty table gives an empty result.
     """
     half = (window + 1) // 2
@@ -132,17 +147,17 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     repeated = halves.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     # each list is bounded by the length of its own document
     candidates = halves.join(repeated, "h", "left_semi").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("halves"))
-    full = known.join(candidates, "doc_id").mapInArrow(_full_windows(window, half), pair)
+    # the filter is what an inner join would add; with it both joins below read the same shuffle
+    packed = known.mapInArrow(_packed, "doc_id long, packed binary").where("doc_id is not null")
+    full = packed.join(candidates, "doc_id").mapInArrow(_full_windows(window, half), pair)
     firsts = full.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
     remove = full.join(firsts, "h").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h").alias("remove"))
     marks = remove.join(copies, "doc_id", "full_outer")
-    # joined like ``full``, so that both joins read one shuffle of the texts
-    marked = known.join(marks, "doc_id", "left").select("doc_id", "text", "remove", "copy")
-    nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("remove"), F.lit(None).cast("boolean").alias("copy"))
+    marked = packed.join(marks, "doc_id", "left").select("doc_id", "packed", "remove", "copy")
+    nameless = docs.where("doc_id is null").mapInArrow(_packed, "doc_id long, packed binary").select("doc_id", "packed", F.lit(None).cast("array<long>").alias("remove"), F.lit(None).cast("boolean").alias("copy"))
     return marked.unionByName(nameless).mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dedup_substrings(docs, 13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
