@@ -11,7 +11,10 @@ there is neither a shuffle nor anything to collect.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,56 +26,127 @@ from .shared import table
 from .textops import slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
-VOCABULARY = 200_000
+VOCABULARY = 700_000
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next code point from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+class _Letters(dict):
+    """For ``str.translate``: each character as the stand-ins of its UTF-8 bytes."""
+
+    BYTES = _byte_letters()
+
+    def __missing__(self, char: int) -> str:
+        self[char] = out = "".join(self.BYTES[b] for b in chr(char).encode())
+        return out
+
+
+class Ragged:
+    """A growing list of id lists, stored flat."""
+
+    def __init__(self):
+        self.flat, self.at, self.n = np.zeros(1 << 12, dtype=np.uint16), np.zeros(1 << 12, dtype=np.int64), 0
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        ends = self.at[self.n] + np.cumsum(sizes)
+        while self.n + len(sizes) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(ends) and ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.at[self.n] : self.at[self.n] + len(ids)] = ids
+        self.at[self.n + 1 : self.n + 1 + len(sizes)] = ends
+        self.n += len(sizes)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after another, and their sizes."""
+        first, sizes = self.at[which], self.at[which + 1] - self.at[which]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)], sizes
 
 
 class WordCache:
-    """Token ids of white-space separated words; a word's ids don't depend on its neighbours.
+    """Token ids of texts, by way of their distinct words and those words' distinct pieces.
 
-    Distinct words are sent to the tokenizer once while they stay in the cache,
-    which starts anew at ``VOCABULARY`` words, so its memory is bounded.
+    The tokenizer drops white space and cuts the rest, normalised, into pieces
+    by a pattern; its model then works on each piece alone. So a word's ids don't
+    depend on its neighbours, and each distinct piece is given to the model
+    once while it stays in the cache. The cache starts anew beyond ``VOCABULARY``
+    words, so its memory is bounded. Texts with spellings of special tokens, or
+    with separators on which Python's and the tokenizer's idea of white space
+    differ, go to the tokenizer whole.
     """
 
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n"
+    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces = regex.compile(self.PIECES)
+        self.letters = _Letters()
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint16)
-        self.at = np.zeros(VOCABULARY + 1, dtype=np.int64)
+        self.words: dict[str, int] = {}
+        self.word_ids = Ragged()
+        self.parts: dict[str, int] = {"\n": 0}
+        self.part_ids = Ragged()
+        self.part_ids.extend(np.zeros(0, np.uint16), np.zeros(1, np.int64))
 
     def _learn(self, words: list[str]) -> None:
-        n = len(self.index)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.at[n + 1 : n + 1 + len(words)] = self.at[n] + np.cumsum(sizes)
-        ids = np.fromiter((t for e in encoded for t in e), np.uint16, int(sizes.sum()))
-        if self.at[n + len(words)] > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * int(self.at[n + len(words)]))
-        self.flat[self.at[n] : self.at[n + len(words)]] = ids
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, dtype=np.uint16)
-        out = []
+        joined = "\n".join([*words, ""])
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")
+        cut = self.pieces.findall(joined.lower())
+        new = [p for p in dict.fromkeys(cut) if p not in self.parts]
+        ids = [[t.id for t in self.model.tokenize(p.translate(self.letters))] for p in new]
+        self.part_ids.extend(np.fromiter(chain.from_iterable(ids), np.uint16), np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
+        which = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
+        flat, sizes = self.part_ids.take(which)
+        self.word_ids.extend(flat, np.diff(np.cumsum(sizes)[which == 0], prepend=0))
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = {k for k, t in enumerate(texts) if any(x in t for x in self.ODD)}
+        split = [[] if k in odd else t.split() for k, t in enumerate(texts)]
+        words = list(chain.from_iterable(split))
+        flat, sizes = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
         for k in range(0, len(words), VOCABULARY // 2):
             part = words[k : k + VOCABULARY // 2]
-            new = [w for w in dict.fromkeys(part) if w not in self.index]
-            if len(self.index) + len(new) > VOCABULARY:
-                self.clear()
-                new = list(dict.fromkeys(part))
-            if new:
+            which = np.fromiter(map(self.words.get, part, repeat(-1)), np.int64, len(part))
+            missing = np.flatnonzero(which < 0).tolist()
+            if missing:
+                new = list(dict.fromkeys([part[i] for i in missing]))
+                if len(self.words) + len(new) > VOCABULARY:
+                    self.clear()
+                    new, missing = list(dict.fromkeys(part)), range(len(part))
                 self._learn(new)
-            which = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
-            first, sizes = self.at[which], self.at[which + 1] - self.at[which]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)])
-        return np.concatenate(out)
+                which[missing] = [self.words[part[i]] for i in missing]
+            ids, size = self.word_ids.take(which)
+            flat.append(ids)
+            sizes.append(size)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.cumsum([0, *map(len, split)])]
+        every = np.concatenate(flat)
+        out = [every[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in odd:
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint16)
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """One cache for each worker process, so that later tasks find what earlier ones learned."""
+    return WordCache(path)
 
 
 class Windows:
@@ -126,7 +200,7 @@ class Windows:
 
 def _pack(path: str, size: int, most: int, least_cut: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, windows = WordCache(path), Windows(size, most, least_cut)
+        cache, windows = word_cache(path), Windows(size, most, least_cut)
         sequence = TaskContext.get().partitionId() << 33
         kept: dict[int, list] = {}  # documents with pieces in open windows: id, ids, pieces left there
         out: list[list] = [[] for _ in range(8)]
@@ -153,8 +227,9 @@ def _pack(path: str, size: int, most: int, least_cut: int, end_id: int):
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.append(cache.encode(text or ""), np.uint16(end_id))
+                encoded = cache.encode([t or "" for t in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    ids = np.append(ids, np.uint16(end_id))
                     kept[number] = [doc_id, ids, 0, len(ids)]
                     full = len(ids) // size * size
                     for start in range(0, full, size):

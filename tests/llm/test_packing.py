@@ -39,7 +39,7 @@ def test_round_trip_on_the_table(spark):
 
 
 def test_odd_rows(spark):
-    docs = documents(spark, [t for t in odd_texts() if t != "no id"] + ["It's 12,5 €", "ÉCOLE ǅ İ ﬁ é ͅa x́", "<|endoftext|> a<|startoftext|>b"])
+    docs = documents(spark, [t for t in odd_texts() if t != "no id"] + ["It's 12,5 €", "ÉCOLE ǅ İ ﬁ é ͅa x́", "<|endoftext|> a<|startoftext|>b", "a\x1cb\x85c\u00a0d\u2028e \x00\x07 f", "ΑΣ ΣΑΣ. We'LL don'T 12km", "e\u0301cole \u1e9e \U0001d4b3 \u01c5"])
     check(pack_documents(docs.repartition(3), PATH, windows=2).collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
