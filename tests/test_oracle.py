@@ -1,6 +1,9 @@
 """Every registered query of the core against its SQL in DuckDB."""
 
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,5 +42,9 @@ def test_same_rows(spark, con, name):
     assert got == sorted([plain(r[names.index(c)]) for c in columns] for r in result.fetchall())
 
 
+def test_import_needs_no_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
 def test_queries_without_sql_are_few():
     assert set(QUERIES) - set(SQL) == {"duty_in_words", "words_of_amounts"}
