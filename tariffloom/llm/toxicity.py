@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -59,7 +60,7 @@ class Lexicon:
     @staticmethod
     def allowance(term: str) -> int:
         """Edits that a term tolerates: none if short, two if long."""
-        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
     def _clear(self) -> None:
         self.number: dict[frozenset, int] = {}
@@ -110,6 +111,12 @@ class Lexicon:
         return (lambda h: (h[2], h[0]))(min(hits)) if hits else None
 
 
+@lru_cache(maxsize=1)
+def _worker(terms: tuple[tuple[str, float], ...]) -> tuple[Lexicon, dict]:
+    """A lexicon and what it found for words so far; a worker process keeps them for its later tasks."""
+    return Lexicon(dict(terms)), {}
+
+
 def context_score(text: str, words: list[tuple[int, int, str]], k: int, weight: float, others: int, reach: int = 6) -> tuple[float, bool, bool]:
     """The score of the hit at word k, whether it is quoted and whether somebody is addressed."""
     start, end, _ = words[k]
@@ -177,8 +184,7 @@ def _featured(terms: dict[str, float], model: ToxicityModel | None):
     """Rows (doc_id, label, x) for training, or (doc_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms)
-        known: dict[str, tuple[str, int] | None] = {}
+        lexicon, known = _worker(tuple(terms.items()))
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]

@@ -20,10 +20,10 @@ def distance(a, b):
 
 def test_automaton_against_edit_distance():
     rng = random.Random(1)
-    terms = {"".join(rng.choice("abc") for _ in range(n)): 1.0 + n / 10 for n in (2, 4, 5, 6, 7, 9, 10, 11) for _ in range(3)}
+    terms = {"".join(rng.choice("abc") for _ in range(n)): 1.0 + n / 10 for n in (2, 4, 5, 6, 7, 9, 12, 13) for _ in range(3)}
     lexicon = Lexicon(terms)
     for _ in range(3000):
-        word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 15)))
         best = min(((distance(word, t), -w, t) for t, w in terms.items() if distance(word, t) <= Lexicon.allowance(t)), default=None)
         assert lexicon.find(word) == (None if best is None else (best[2], best[0]))
     assert Lexicon({}).find("abc") is None
