@@ -1,7 +1,7 @@
 """Removal of word windows that repeat across documents, by level-wise doubling.
 
 Level 1 looks at windows of half the length only, and of those only at each full
-window's minimizer (its half-window of least hash), about a quarter of all
+window's minimizer (its half-window of least hash), less than a quarter of all
 positions. Full windows are formed (level 2) only where the half-window repeats
 in another document; windows whose half is unique never leave the first level.
 Both levels aggregate ``min``/``max`` of doc_id per hash on the map side, so a
@@ -138,7 +138,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     so such rows lose nothing. Only doc_id (a long) and text are read, so extra
     columns do no harm. An empty table gives an empty result.
     """
-    half = (window + 1) // 2
+    half = max(1, window // 2)  # the shorter the half, the fewer minimizers
     docs = docs.select("doc_id", "text")  # no cast: it would keep Spark from seeing that two joins read the same shuffle
     copies = later_copies(docs)
     pair = "h long, doc_id long"
