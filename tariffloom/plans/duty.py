@@ -9,6 +9,7 @@ from ..functions.text import indian_words
 from ..operators import duty as D
 from ..operators.joins import asof
 from .fixture import FX_SQL, INVOICE_FX_SQL, INVOICES_SQL, ITEMS_SQL, exchange_rates, invoices, items, table
+from .words_sql import words_sql
 
 
 def fx_asof(spark, sf_dir: str) -> DataFrame:
@@ -83,6 +84,7 @@ _R = "round({0}, 2)::DECIMAL(18,2)"
 
 QUERIES = {f.__name__: f for f in (fx_asof, item_valuation, item_duty, duty_by_order, duty_totals_by_nation, duty_in_words, duty_failures)}
 SQL = {
+    "duty_in_words": f"{DUTY_SQL}, p AS (SELECT invoice, round(sum(bcd) + sum(sws) + sum(igst) + sum(cess), 0)::BIGINT AS payable FROM duty GROUP BY invoice) SELECT invoice, payable, {words_sql('payable')} AS words FROM p",
     "fx_asof": f"WITH {INVOICES_SQL}, {FX_SQL}, {INVOICE_FX_SQL} SELECT invoice, day, currency, fx FROM invoice_fx",
     "item_valuation": f"{VALUED_SQL} SELECT invoice, sl_no, {_R.format('value')} AS value, {_R.format('additions')} AS additions, {_R.format('assessable')} AS assessable FROM valued",
     "item_duty": f"{DUTY_SQL}, r AS (SELECT invoice, sl_no, hs, {', '.join(f'{_R.format(c)} AS {c}' for c in ('assessable', 'bcd', 'sws', 'igst', 'cess'))} FROM duty) SELECT *, (bcd + sws + igst + cess)::DECIMAL(18,2) AS total FROM r",

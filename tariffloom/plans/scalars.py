@@ -10,6 +10,7 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 from .fixture import AS_OF, HS_SQL, hs, table
+from .words_sql import words_sql
 
 
 def _pick(values: list[str], key: str):
@@ -173,8 +174,9 @@ def number_functions(spark, sf_dir: str) -> DataFrame:
 
 
 def words_of_amounts(spark, sf_dir: str) -> DataFrame:
-    """Amounts in words: rows only, held to stated cases by the tests."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("amount")).select("o_orderkey", "amount", T.indian_words(F.col("amount")).alias("words"))
+    """Amounts in words, some of them above ten crore."""
+    amount = F.floor("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 1000).otherwise(1) - F.when(F.col("o_orderkey") % 100 == 0, F.floor("o_totalprice")).otherwise(0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", amount.cast("long").alias("amount")).select("o_orderkey", "amount", T.indian_words(F.col("amount")).alias("words"))
 
 
 _ALNUM = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
@@ -188,8 +190,10 @@ _NULLISH = "(" + ", ".join(f"'{x}'" for x in T.NULLISH) + ")"
 _SQ0 = _SQ.replace('{}', '{0}')
 _CELL = f"CASE WHEN upper({_SQ0}) NOT IN {_NULLISH} THEN {_SQ0} END"
 _CHECK36 = f"substring('{T.BASE36}', ((36 - list_sum(list_transform(range(1, 15), lambda i: (instr('{T.BASE36}', substring(base, i, 1)) - 1) * (2 - i % 2) // 36 + (instr('{T.BASE36}', substring(base, i, 1)) - 1) * (2 - i % 2) % 36)) % 36) % 36 + 1)::INT, 1)"
+_AMOUNT = "floor(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 3 = 0 THEN 1000 ELSE 1 END - CASE WHEN o_orderkey % 100 = 0 THEN floor(o_totalprice)::BIGINT ELSE 0 END"
 QUERIES = {f.__name__: f for f in (container_check, identifiers, party_keys, cells, trade_descriptions, gstin_check, country_codes, container_sizes, unit_codes, hs_functions, voyages, names_and_columns, day_functions, sunsets, number_functions, words_of_amounts)}
 SQL = {
+    "words_of_amounts": f"WITH o AS (SELECT o_orderkey, {_AMOUNT} AS amount FROM orders) SELECT o_orderkey, amount, {words_sql('amount')} AS words FROM o",
     "container_check": f"""WITH n AS (SELECT {_pick_sql(OWNERS, 'o_orderkey')} || ' ' || lpad(o_orderkey::VARCHAR, 6, '0') || '-' || d AS number FROM orders, range(10) t(d)), v AS (SELECT number, coalesce({_CONTAINER.format(_ALNUM.format('number'))}, false) AS valid FROM n)
 SELECT valid, count(*) AS n, min(number) AS least FROM v GROUP BY valid""",
     "identifiers": f"""WITH p AS (SELECT p_partkey, {_pick_sql(KINDS, 'p_partkey')} AS kind, {_pick_sql(RAW_IDS, 'p_partkey')} || CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE '' END AS raw FROM part)
