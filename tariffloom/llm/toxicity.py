@@ -25,7 +25,8 @@ from .labelled import held_out, labelled_sample
 from .shared import table
 from .textops import slices
 
-WORD = re.compile(r"[^\W\d_]+")
+#: From letter to letter; digits and a few signs inside may stand for letters and count as misspellings.
+WORD = re.compile(r"[^\W\d_](?:[\w@$*]*[^\W\d_])?")
 CACHE = 400_000
 STATES = 50_000
 FEATURES = 8

@@ -37,6 +37,13 @@ def test_context_separates_quotation_from_abuse():
     assert score("you are an idiot today") > score("there is an idiot today") > score('he used "idiot" there') == score("they said idiot there")
 
 
+def test_signs_inside_a_word_are_misspellings():
+    lexicon = Lexicon({"stupid": 1.0, "idiot": 1.0})
+    words = [m.group() for m in WORD.finditer("a st*pid id1ot*** _x 12ab3cd4 x")]
+    assert words == ["a", "st*pid", "id1ot", "x", "ab3cd", "x"]
+    assert [lexicon.find(w) for w in words[1:3]] == [("stupid", 1), ("idiot", 1)]
+
+
 def test_features_count_hits():
     lexicon = Lexicon({"idiot": 2.0, "stupid": 1.0})
     text = "Idiot! stupiid, idiot and fine"
