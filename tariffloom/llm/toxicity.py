@@ -27,6 +27,8 @@ from .textops import slices
 
 #: From letter to letter; digits and a few signs inside may stand for letters and count as misspellings.
 WORD = re.compile(r"[^\W\d_](?:[\w@$*]*[^\W\d_])?")
+LETTERS = re.compile(r"[^\W\d_]+")
+UNJOINED = re.compile(r"[^_]+")
 CACHE = 400_000
 STATES = 50_000
 FEATURES = 8
@@ -60,8 +62,8 @@ class Lexicon:
 
     @staticmethod
     def allowance(term: str) -> int:
-        """Edits that a term tolerates: none if short, two if long."""
-        return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
+        """Edits that a term tolerates: none below five letters, one below nine, else two."""
+        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
     def _clear(self) -> None:
         self.number: dict[frozenset, int] = {}
@@ -127,9 +129,30 @@ def context_score(text: str, words: list[tuple[int, int, str]], k: int, weight:
     return weight * (0.4 if quoted else 1.0) * (1.2 if addressed else 1.0) * (1 + 0.1 * min(others, 3)), quoted, addressed
 
 
+def readings(word: str) -> list[list[tuple[int, int, str]]]:
+    """A joined word as a whole, as its parts between '_' and as its runs of letters, with places inside it."""
+    parts = [(m.start() + w.start(), m.start() + w.end(), w.group()) for m in UNJOINED.finditer(word) for w in WORD.finditer(m.group())]
+    return [[(0, len(word), word)], parts, [(m.start(), m.end(), m.group()) for m in LETTERS.finditer(word)]]
+
+
+def read_words(text: str, hits: dict[str, tuple[str, int]]) -> list[tuple[int, int, str]]:
+    """The words of a text with their places; a joined one by the reading with the hit of fewest edits, the coarser if equal, or by its runs of letters if none hits."""
+    words = []
+    for m in WORD.finditer(text):
+        word = m.group().lower()
+        if word.isalpha():
+            words.append((m.start(), m.end(), word))
+            continue
+        ways = readings(m.group())
+        edits = [min((hits[w.lower()][1] for _, _, w in way if hits.get(w.lower())), default=9) for way in ways]
+        best = ways[edits.index(min(edits)) if min(edits) < 9 else -1]
+        words += [(m.start() + start, m.start() + end, w.lower()) for start, end, w in best]
+    return words
+
+
 def features(text: str, hits: dict[str, tuple[str, int]], lexicon: Lexicon) -> list[float]:
     """What the logistic model sees of a text with hits; hits maps its words that match to term and edits."""
-    words = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
+    words = read_words(text, hits)
     at = [k for k, w in enumerate(words) if w[2] in hits]
     if not at:
         return [0.0] * FEATURES
@@ -181,6 +204,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, terms: dict[str, float], penalty:
     return ToxicityModel(terms, mean, scale, w)
 
 
+def _all_words(text: str) -> list[str]:
+    """A text's words and all parts of the joined ones."""
+    words = WORD.findall(text.lower())
+    joined = [w for w in set(words) if not w.isalpha()]
+    return words + [part for w in joined for way in readings(w)[1:] for _, _, part in way]
+
+
 def _featured(terms: dict[str, float], model: ToxicityModel | None):
     """Rows (doc_id, label, x) for training, or (doc_id, score)."""
 
@@ -190,7 +220,7 @@ def _featured(terms: dict[str, float], model: ToxicityModel | None):
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 x = np.zeros((len(texts), FEATURES))
-                split = [WORD.findall(t.lower()) for t in texts]
+                split = [_all_words(t) for t in texts]
                 new = set(chain.from_iterable(split)).difference(known)
                 if len(known) + len(new) > CACHE:
                     known.clear()

@@ -4,7 +4,7 @@ import zlib
 
 from fixtures import documents, odd_texts
 
-from tariffloom.llm.toxicity import FEATURES, WORD, Lexicon, context_score, features, fit_toxicity, op5_toxicity, score_toxicity
+from tariffloom.llm.toxicity import FEATURES, WORD, Lexicon, _all_words, context_score, features, fit_toxicity, op5_toxicity, read_words, score_toxicity
 
 SF1 = "/root/testdata/sf0.1"
 
@@ -74,3 +74,19 @@ def test_odd_rows(spark):
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     empty = documents(spark, [])
     assert score_toxicity(empty, fit_toxicity(empty, labels)).collect() == []
+
+
+def test_terms_of_nine_letters_tolerate_two_edits():
+    lexicon = Lexicon({"worthless": 1.0, "disgusting": 1.0})
+    assert [lexicon.find(w) for w in ("wortlhess", "disgsutting", "wrothles")] == [("worthless", 2), ("disgusting", 2), None]
+    assert [Lexicon.allowance("x" * n) for n in (4, 5, 8, 9, 11, 12)] == [0, 1, 1, 2, 2, 2]
+
+
+def test_parts_of_joined_words_are_looked_up():
+    lexicon = Lexicon({"idiot": 1.0, "stupid": 1.0})
+    text = "you_stupid_id1ot and st*pid, idiot2day"
+    hits = {w: lexicon.find(w) for w in _all_words(text) if lexicon.find(w)}
+    words = [w for _, _, w in read_words(text, hits)]
+    assert words == ["you", "stupid", "id1ot", "and", "st*pid", "idiot", "day"]
+    assert all(text[a:b] == w for a, b, w in read_words(text, hits))
+    assert features("you_idiot", {"idiot": ("idiot", 0)}, lexicon) == features("you idiot", {"idiot": ("idiot", 0)}, lexicon)
