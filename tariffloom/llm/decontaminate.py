@@ -4,7 +4,10 @@ Texts become templates: a number, a name (a capitalised word inside a sentence)
 and a unit after a number turn into typed placeholders, the other tokens into
 their lower-case hash. Windows of template tokens of documents and items meet in
 a hash join. A match counts if the slots agree: equal values of the item's slots
-stand for equal values in the document and the other way round.
+stand for equal values in the document and the other way round. A capitalised
+word that opens a sentence may be a name or not, so windows with such words have
+a second template. Besides, the own tokens of items and documents meet exactly,
+which finds verbatim copies with few literal tokens and of short items.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +25,25 @@ from .textops import Words, mix, signed, slices, text_bytes
 
 #: Unit spellings that make a slot after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollars euros pounds cents meters metres miles feet inches grams kilograms liters litres seconds minutes degrees mph kmh".split()
-NUMBER, NAME, UNIT = (mix(np.array([k], dtype=np.uint64))[0] for k in (101, 102, 103))
+NUMBER, NAME, UNIT, EXACT = (mix(np.array([k], dtype=np.uint64))[0] for k in (101, 102, 103, 104))
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), ord("%")]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n:|"]] = True
+#: Lead bytes of scripts without spaces and their punctuation, whose characters are tokens of their own.
+_UNSPACED = np.zeros(256, dtype=bool)
+_UNSPACED[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+_CHARACTER = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}]"
+
+
+def _spaced(column: pa.Array) -> pa.Array:
+    """The texts with spaces around each character of a script that writes none."""
+    if not _UNSPACED[text_bytes(column)[0]].any():
+        return column
+    return pc.replace_substring_regex(pc.replace_substring_regex(column, _CHARACTER, r" \1 "), _MARKS, " ")
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> Words:
@@ -45,7 +61,7 @@ class Template:
     """Template tokens of a slice of texts: template hash, own hash, whether literal, and the words they are."""
 
     def __init__(self, column: pa.Array):
-        raw, offsets = text_bytes(column)
+        raw, offsets = text_bytes(_spaced(column))
         upper = (raw >= 65) & (raw <= 90)
         low = _LOWER[raw]
         accent = np.zeros(len(raw), dtype=bool)
@@ -64,36 +80,52 @@ class Template:
             opens[1:] = (words.doc[1:] != words.doc[:-1]) | (stops[words.start[1:]] > stops[previous[1:]])
         uppers = np.concatenate([[0], np.cumsum(upper)])
         shout = (uppers[words.end] - uppers[words.start]) > 1
-        name = capital[words.start] & ~opens & ~number & ~shout if n else np.zeros(0, bool)
+        capitalised = capital[words.start] & ~number & ~shout if n else np.zeros(0, bool)
+        name = capitalised & ~opens
         after = np.zeros(n, dtype=bool)
         after[1:] = number[:-1] & ~opens[1:]
         unit = after & np.isin(words.hash, _UNITS) & ~number
-        self.own = words.hash.copy()
-        words.hash = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words.hash)))
+        self.own = words.hash
+        self.hash = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words.hash)))
         self.literal = ~(number | unit | name)
+        self.opening = capitalised & opens
         self.words = words
 
-    def windows(self, n: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows with enough literal tokens."""
-        starts = self.words.whole(n)
-        sums = np.concatenate([[0], np.cumsum(self.literal)])
-        starts = starts[sums[starts + n] - sums[starts] >= least_literal]
-        return starts, self.words.windows(n)[starts] if len(starts) else np.zeros(0, np.uint64)
-
-    def slots(self, starts: np.ndarray, n: int) -> pa.Array:
+    def _hashes(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        self.words.hash = tokens
+        return self.words.windows(n)[starts] if len(starts) else np.zeros(0, np.uint64)
+
+    def windows(self, n: int, least_literal: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts, hashes and literal tokens of the windows with enough of them; again with names at sentence starts; and all by their own tokens."""
+        whole = self.words.whole(n)
+        count = lambda flags: (lambda sums: sums[whole + n] - sums[whole])(np.concatenate([[0], np.cumsum(flags)]))
+        if n >= MIN_TOKENS:
+            starts = whole[count(self.literal) >= least_literal]
+            yield starts, self._hashes(self.hash, starts, n), self.literal
+            literal = self.literal & ~self.opening
+            starts = whole[(count(self.opening) > 0) & (count(literal) >= least_literal)]
+            yield starts, self._hashes(np.where(self.opening, NAME, self.hash), starts, n), literal
+        yield whole, mix(self._hashes(self.own, whole, n) + EXACT), np.ones(len(self.own), dtype=bool)
+
+    def slots(self, starts: np.ndarray, n: int, literal: np.ndarray) -> pa.Array:
         """The own hashes of each window's slots, in order."""
         at = starts[:, None] + np.arange(n)[None, :]
-        open_ = ~self.literal[at]
+        open_ = ~literal[at]
         values = signed(self.own)[at][open_]
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(open_.sum(axis=1))]), pa.int32()), pa.array(values))
 
+    def places(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """One number for each window by its place in the text, its length and its own tokens."""
+        offsets = (starts - self.words.first[self.words.doc[starts]]).astype(np.uint64)
+        return signed(mix(self._hashes(self.own, starts, n) ^ mix(offsets)))
+
 
 _UNITS = _unit_hashes()
-WINDOW_SCHEMA = "id long, h long, size int, slots array<long>"
+WINDOW_SCHEMA = "id long, h long, size int, slots array<long>, place long"
 
 
 def _windows(key: str, n: int, only: np.ndarray | None, sizes: tuple[int, ...], whole_short: bool):
-    """Rows (id, h, size, slots) of the windows of n tokens; of items also shorter ones as wholes; of documents windows of those sizes too."""
+    """Rows (id, h, size, slots, place) of the windows of n tokens; of items also shorter ones as wholes; of documents windows of those sizes too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,18 +133,19 @@ def _windows(key: str, n: int, only: np.ndarray | None, sizes: tuple[int, ...],
                 template = Template(part.column("text"))
                 ids = part.column(key).to_numpy(zero_copy_only=False)
                 counts = np.diff(template.words.first)
-                for size in sorted({n, *sizes, *(int(c) for c in counts if whole_short and MIN_TOKENS <= c < n)}):
-                    starts, hashes = template.windows(size, max(3, (size + 1) // 2))
-                    rows = template.words.doc[starts]
-                    if whole_short and size < n:
-                        keep = counts[rows] == size
-                    elif only is not None:
-                        keep = only[np.minimum(np.searchsorted(only, signed(hashes)), len(only) - 1)] == signed(hashes) if len(only) else np.zeros(len(hashes), bool)
-                    else:
-                        keep = np.ones(len(starts), dtype=bool)
-                    starts, hashes, rows = starts[keep], hashes[keep], rows[keep]
-                    if len(starts):
-                        yield pa.record_batch([pa.array(ids[rows]), pa.array(signed(hashes)), pa.array(np.full(len(rows), size, np.int32)), template.slots(starts, size)], names=["id", "h", "size", "slots"])
+                for size in sorted({n, *sizes, *(int(c) for c in counts if whole_short and 0 < c < n)}):
+                    for starts, hashes, literal in template.windows(size, max(3, (size + 1) // 2)):
+                        rows = template.words.doc[starts]
+                        if whole_short and size < n:
+                            keep = counts[rows] == size
+                        elif only is not None:
+                            keep = only[np.minimum(np.searchsorted(only, signed(hashes)), len(only) - 1)] == signed(hashes) if len(only) else np.zeros(len(hashes), bool)
+                        else:
+                            keep = np.ones(len(starts), dtype=bool)
+                        starts, hashes, rows = starts[keep], hashes[keep], rows[keep]
+                        if len(starts):
+                            columns = [pa.array(ids[rows]), pa.array(signed(hashes)), pa.array(np.full(len(rows), size, np.int32)), template.slots(starts, size, literal), pa.array(template.places(starts, size))]
+                            yield pa.record_batch(columns, names=["id", "h", "size", "slots", "place"])
 
     return run
 
@@ -123,8 +156,9 @@ MIN_TOKENS = 6
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_ids (sorted array), n_windows (matching windows of the document) for documents that hold benchmark passages.
 
-    An item of fewer than ``n`` template tokens is matched as a whole if it has
-    at least ``MIN_TOKENS``. A window needs a majority of literal tokens. If the
+    An item of fewer than ``n`` tokens is matched as a whole. A template window
+    needs a majority of literal tokens, and ``MIN_TOKENS`` in all; the others
+    match by their own tokens only. So does even an item of one word. If the
     benchmark's texts are within ``broadcast_bytes`` (checked), the hashes of its
     windows go to the tasks, which then send only matching windows into the join;
     beyond it all windows are sent, with the same result. Null or empty texts
@@ -142,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, broad
     met = of_docs.join(wanted, "h")
     both = F.size(F.array_distinct(F.arrays_zip("slots", "item_slots")))
     agree = (F.size("slots") == F.size("item_slots")) & (both == F.size(F.array_distinct("slots"))) & (both == F.size(F.array_distinct("item_slots")))
-    per_item = met.where(agree).groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count("*").alias("c"))
+    per_item = met.where(agree).groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("place").alias("c"))
     return per_item.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("c").cast("long").alias("n_windows"))
 
 

@@ -50,3 +50,20 @@ def test_short_items_and_empty_tables(spark):
     assert flag_contamination(documents(spark, []), bench(spark, [short])).collect() == []
     out = without_contamination(docs, bench(spark, [short]))
     assert [r.doc_id for r in out.collect()] == [1] and out.columns == docs.columns
+
+
+def test_verbatim_copies_with_few_literal_tokens(spark):
+    items = ["Anna 3, Bert 4, Carl 5, Dora 6, Emil 7, Fred 8, Gina 9", "Compute 12 + 30 * 4 = ?", "Who is Ada?", "小明有五个苹果，他又买了三个，一共有几个？"]
+    docs = documents(spark, [f"Some text before. {t} Some text after." for t in items] + ["前文" + items[3] + "后文", "Compute 12 + 30 * 5 = ? Who is it?", "Some Anna 4, Bert 4, Carl 5, Dora 6, Emil 7, Fred 8, Gina 9"])
+    for options in ({}, {"broadcast_bytes": -1}):
+        got = {r.doc_id: r.item_ids for r in find_contamination(docs, bench(spark, items), **options).collect()}
+        assert {d: i for d, i in got.items() if d < 5} == {0: [100], 1: [101], 2: [102], 3: [103], 4: [103]} and 5 not in got
+
+
+def test_names_at_sentence_starts(spark):
+    item = "Anna buys 5 apples at the market. Anna sells 2 of them there. How many are left for her then?"
+    renamed = item.replace("Anna", "Peter").replace("5", "8")
+    docs = documents(spark, [renamed, item, renamed.replace("Peter sells", "Maria sells"), "Today " + item])
+    got = {r.doc_id: r for r in find_contamination(docs, bench(spark, ["Anna buys 5 apples at the market. Anna sells 2 of them"])).collect()}
+    assert sorted(got) == [0, 1, 3] and got[0].item_ids == [100]
+    assert got[1].n_windows == got[0].n_windows == 1
