@@ -4,15 +4,18 @@ A page is read as a sequence of words and tags. Words score positive, tags
 negative; a linear scan finds the contiguous stretch of largest sum. The scores
 come from labelled pages, here pages that mark their article themselves: a tag
 costs the more, the more often it stands outside the marked text. Elements that
-never hold an article (scripts, menus, forms, adverts, comments ...) are barred:
-their words score nothing and are left out, so one inside the article doesn't
-tear it.
+never show text or never hold an article (scripts, menus, asides ...) are barred.
+Elements that look like noise by their class, id or role, and forms, only get a
+penalty, which the share of the page's words in them, or an article or main
+heading in them, outweighs. Words that stay noise cost a little and are left out
+of the text, so an advert inside the article doesn't tear it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,76 +29,192 @@ from .textops import slices
 
 #: Element names of HTML, by what they mean here.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
-BARRED = RAW | frozenset("head nav footer aside form button select dialog menu object video audio canvas".split())
+BARRED = RAW | frozenset("head nav footer aside button select dialog menu object video audio canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup html legend li main ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup html legend li main ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 KNOWN = BARRED | INLINE | VOID | BLOCK
-#: Parts of class, id and role names that bar an element.
+#: Start tags that end an open paragraph, and elements that end an open one of the same group in the same list or table.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+LISTS = frozenset("ul ol menu dl table select".split())
+GROUP = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
+#: Words in class, id and role names that hint at noise; words that only describe a box; words that describe a state of it.
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination popup promo promos promotion related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
+BOX = frozenset("area bar block body box button buttons container content group holder inner item items link links list panel section slot text top bottom wrap wrapper".split())
+STATE = frozenset("has with no is without enabled disabled open closed visible hidden active on off".split())
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WORD = re.compile(r"\S+")
+#: The share of a page's words above which an element counts as content, by how much its name hints at noise.
+HINT, CLEAR = 0.5, 0.9
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     tag: str  # "p", "/p" ...; empty for text
     text: str
+    element: int  # the element that holds it, or whose bound it is
+    words: int = 0
+
+
+@dataclass(slots=True)
+class Element:
+    parent: int
+    name: str
     barred: bool
+    penalty: float
+    words: int = 0  # in it, without barred elements
+    anchor: bool = False  # holds an article, a main part or a heading of first rank
+
+
+def name_penalty(attributes: str) -> float:
+    """0, HINT or CLEAR: how much class, id and role names hint at noise; a name counts clearly if all but its describing parts do."""
+    worst = 0.0
+    for m in NAMES.finditer(attributes):
+        for name in (m.group(1) or m.group(2) or m.group(3) or "").split():
+            parts = [p.lower() for p in PARTS.findall(name)]
+            if not NOISE.intersection(parts) or STATE.intersection(parts):
+                continue
+            telling = [p for p in parts if p not in BOX]
+            worst = max(worst, CLEAR if telling[-1] in NOISE else HINT)
+    return worst
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """(tag name, attributes, text) in order, in one linear scan; comments, declarations and an unfinished last tag leave nothing."""
+    at, size = 0, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            yield "", "", page[at:start]
+        if start == size:
+            return
+        if page.startswith(("<!--", "<![CDATA["), start):
+            mark = "-->" if page[start + 2] == "-" else "]]>"
+            end = page.find(mark, start + 4)
+            at = size if end < 0 else end + len(mark)
+            continue
+        m = NAME.match(page, start + 1)
+        if m is None:
+            if page.startswith(("<!", "<?", "</"), start):
+                end = page.find(">", start)
+                at = size if end < 0 else end + 1
+            else:
+                yield "", "", "<"
+                at = start + 1
+            continue
+        end = page.find(">", m.end())
+        if end < 0:
+            return
+        whole = ATTRIBUTES.match(page, m.end())  # a quote that never closes ends with the tag
+        at = whole.end() if whole else end + 1
+        name = m.group().lower()
+        yield name, page[m.end() : at - 1], ""
+        if name in RAW and page[at - 2] != "/":
+            found = _raw_end(name).search(page, at)
+            at = found.start() if found else size
+
 
+_RAW_ENDS = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in RAW}
 
-def _noisy(attributes: str) -> bool:
-    return any(p.lower() in NOISE for m in NAMES.finditer(attributes) for p in PARTS.findall(m.group(1) or m.group(2) or m.group(3) or ""))
 
+def _raw_end(name: str) -> re.Pattern:
+    return _RAW_ENDS[name]
 
-def tokens(page: str) -> list[Token]:
-    """Tags and texts in order; what a barred element holds is marked. Comments and declarations leave nothing."""
+
+def tokens(page: str) -> tuple[list[Token], list[Element]]:
+    """A page's tags and texts in order, each with the element that holds it; ends that HTML lets out are put in."""
     out: list[Token] = []
-    at, bar, depth, articles = 0, "", 0, 0
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m.group(4) is not None:
-            out.append(Token("", m.group(4), bool(bar)))
-            continue
-        if m.group(2) is None:
-            continue
-        name, closing = m.group(2).lower(), bool(m.group(1))
-        void = name in VOID or m.group(3).rstrip().endswith("/")
-        if name in ("article", "main") and not bar:
-            articles = max(0, articles + (-1 if closing else 1))
-        if bar:
-            if name == bar and not void:
-                depth += -1 if closing else 1
-            out.append(Token(("/" if closing else "") + name, "", True))
-            if not depth:
-                bar = ""
-        elif not closing and not void and (name in BARRED or (name == "header" and not articles) or (name not in ("html", "body", "article", "main") and _noisy(m.group(3)))):
-            bar, depth = name, 1
-            out.append(Token(name, "", True))
+    elements = [Element(0, "", False, 0.0)]
+    stack, open_names, groups = [0], Counter(), [Counter()]
+
+    def pop() -> str:
+        name = elements[stack.pop()].name
+        open_names[name] -= 1
+        if name in LISTS:
+            groups.pop()
+        elif name in GROUP:
+            groups[-1][name] -= 1
+        return name
+
+    for name, attributes, text in _pieces(page):
+        if not name:
+            top = elements[stack[-1]]
+            n = 0 if top.barred else sum(1 for _ in WORD.finditer(text))
+            top.words += n
+            out.append(Token("", text, stack[-1], n))
+        elif name[0] == "/":
+            bare = name[1:]
+            if bare in INLINE:  # others end with the block around them
+                out.append(Token(name, "", stack[-1]))
+                if elements[stack[-1]].name == bare:
+                    pop()
+            else:
+                while open_names[bare] and elements[stack[-1]].name != bare:
+                    pop()
+                out.append(Token(name, "", stack[-1]))
+                if open_names[bare]:
+                    pop()
         else:
-            out.append(Token(("/" if closing else "") + name, "", False))
-        if name in RAW and not closing and not void:
-            end = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(page, at)
-            at = end.start() if end else len(page)
+            if name in ENDS_P and open_names["p"]:
+                while pop() != "p":
+                    pass
+            rivals = GROUP.get(name, ())
+            while any(groups[-1][r] for r in rivals):
+                pop()
+            parent = stack[-1]
+            out.append(Token(name, "", parent))
+            if name in VOID or attributes.endswith("/"):
+                continue
+            up = elements[parent]
+            inside = open_names["article"] or open_names["main"]
+            barred = up.barred or name in BARRED or (name == "header" and not inside)
+            penalty = 0.0 if name in ("html", "body", "article", "main") else max(name_penalty(attributes), HINT if name == "form" else 0.0)
+            if name in INLINE and not penalty:
+                continue
+            out[-1].element = len(elements)
+            elements.append(Element(parent, name, barred, penalty, 0, name in ("article", "main", "h1") and not barred))
+            stack.append(len(elements) - 1)
+            open_names[name] += 1
+            if name in LISTS:
+                groups.append(Counter())
+            elif name in GROUP:
+                groups[-1][name] += 1
+    for e in reversed(elements[1:]):
+        up = elements[e.parent]
+        up.words += e.words
+        up.anchor |= e.anchor
+    return out, elements
+
+
+def noisy(elements: list[Element]) -> list[bool]:
+    """Which elements are left out: barred ones, those whose penalty isn't outweighed, and all in them."""
+    out = [False]
+    for e in elements[1:]:
+        support = (e.words / elements[0].words if elements[0].words else 0.0) + e.anchor
+        out.append(out[e.parent] or e.barred or e.penalty > support)
     return out
 
 
 @dataclass
 class Weights:
-    """Scores of a word and of tags; tags that were never seen cost ``other``."""
+    """Scores of a word and of tags; tags that were never seen cost ``other``, words and tags of noise ``noise``."""
 
     word: float
     tags: dict[str, float]
     other: float = -4.0
+    noise: float = -0.02
 
-    def of(self, token: Token) -> float:
-        if token.barred:
-            return -0.1 if token.tag else 0.0
+    def of(self, token: Token, noise: bool) -> float:
+        if noise:
+            return self.noise * (1 if token.tag else token.words)
         if token.tag:
             return self.tags.get(token.tag, self.other)
-        return self.word * len(token.text.split())
+        return self.word * token.words
 
 
 #: For tags of which the labelled pages show none outside barred elements: inline and paragraph tags cost little, others more.
@@ -116,18 +235,18 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     """The blocks of the best stretch, one a line, references decoded and white space collapsed."""
-    parts = tokens(page)
-    a, b = best_stretch([weights.of(t) for t in parts])
+    parts, elements = tokens(page)
+    out = noisy(elements)
+    a, b = best_stretch([weights.of(t, out[t.element]) for t in parts])
     blocks: list[str] = []
     now: list[str] = []
     for t in parts[a:b]:
-        name = t.tag.lstrip("/")
         if not t.tag:
-            if not t.barred:
+            if not out[t.element]:
                 now.append(html.unescape(t.text))
-        elif name == "br":
+        elif t.tag == "br" or t.tag == "/br":
             now.append(" ")
-        elif name not in INLINE:
+        elif t.tag.lstrip("/") not in INLINE:
             blocks.append("".join(now))
             now = []
     blocks.append("".join(now))
@@ -138,28 +257,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tag, inside, n) of pages with just one article element; words count as the tag ``word``."""
     for batch in batches:
         for part in slices(batch, "html"):
-            counts: dict[tuple[str, bool], int] = {}
+            counts: Counter[tuple[str, bool]] = Counter()
             for page in part.column("html").to_pylist():
-                parts = tokens(page or "")
+                parts, elements = tokens(page or "")
                 if sum(t.tag == "article" for t in parts) != 1:
                     continue
-                inside = False
+                out, inside = noisy(elements), False
                 for t in parts:
-                    if t.barred:
+                    if out[t.element]:
                         continue
                     inside = inside and t.tag != "/article"
                     name = t.tag if t.tag.lstrip("/") in KNOWN else "other"
-                    key = (name if t.tag else "word", inside)
-                    counts[key] = counts.get(key, 0) + (1 if t.tag else len(t.text.split()))
+                    counts[name if t.tag else "word", inside] += 1 if t.tag else t.words
                     inside = inside or t.tag == "article"
             rows = [(tag, yes, n) for (tag, yes), n in counts.items()]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], names=["tag", "inside", "n"])
 
 
 def learn_weights(pages: DataFrame, most: int = 2000) -> Weights:
-    """Weights from at most ``most`` pages, those whose url has the least hash; counts by known element name, so their number is bounded."""
-    sample = pages.select("html", F.xxhash64("url").alias("o"), "page_id").orderBy("o", "page_id").limit(most)
-    rows = sample.select("html").mapInArrow(_counted, "tag string, inside boolean, n long").groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n")).collect()
+    """Weights from at most ``most`` pages, those whose address has the least hash.
+
+    Only the hashes of addresses are sorted; the pages below the bound are then
+    counted where they lie, by known element name, so no page moves.
+    """
+    address = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    hashes = pages.select(address.alias("o")).distinct().orderBy("o").limit(most).agg(F.max("o").alias("o")).first()
+    if hashes["o"] is None:
+        return PLAIN
+    rows = pages.where(address <= hashes["o"]).select("html").mapInArrow(_counted, "tag string, inside boolean, n long").groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n")).collect()
     share = {r.tag: (r.yes + 0.5) / (r.n + 1) for r in rows}
     if not any(r.tag == "article" for r in rows):
         return PLAIN

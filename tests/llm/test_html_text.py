@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from tariffloom.llm.html_text import PLAIN, best_stretch, extract_text, learn_weights, main_text, op8_html_extraction, tokens
 
@@ -53,4 +54,31 @@ def test_odd_pages(spark):
     got = {r.page_id: r.text for r in extract_text(pages).collect()}
     assert [got[i] for i in range(12)] == ["", "", "", "plain words", "", "open", "a < b", "", "x", "deep", "q", "A&bogus;&"] and got[None] == "n"
     assert extract_text(pages.limit(0)).collect() == []
-    assert [t.text for t in tokens("<style>p{}</style>a")] == ["", "", "a"]
+    assert [t.text for t in tokens("<style>p{}</style>a")[0]] == ["", "", "a"]
+
+
+BODY = "<h2>On rivers</h2><p>The first paragraph says something about rivers and towns.</p><p>The second one goes on with it &amp; ends.</p>"
+TEXT = "On rivers\nThe first paragraph says something about rivers and towns.\nThe second one goes on with it & ends."
+MENU = "<ul class='menu'><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul>"
+TEMPLATES = {
+    "layout": f'<div class="layout has-sidebar"><article>{BODY}</article><div id="sidebar"><p>Most read</p></div></div>',
+    "share": f'{MENU}<div class="post share-enabled">{BODY}</div><div class="share-buttons">Share this</div>',
+    "form": f'<form id="aspnetForm">{MENU}<div>{BODY}</div><input name="q"></form>',
+    "notice": f'<p class="notice">Site is read only today<p>{BODY}',
+    "item": f'<ul><li class="share">Share it<li>{BODY}</li></ul>',
+    "comments": f'<main>{BODY}</main><section id="comments"><p>{"I agree. " * 70}</p></section>',
+    "table": f'<table><tr><td class="navigation">Home<td>{BODY}<tr><td class="ad">Buy<td></table>',
+    "old": f'<center><font size=2><!-- x --><a name=top></a></font></center><div id=content>{BODY}</div><div class=\'footer\'>(c) us</div>',
+}
+
+
+def test_templates():
+    for name, page in TEMPLATES.items():
+        assert main_text(f"<html><head><title>t</title></head><body>{page}</body></html>", PLAIN) == TEXT, name
+
+
+def test_scan_is_linear():
+    start = time.process_time()
+    for page in ("<a " * 350_000, "<a \"" * 250_000, "<a '\">" * 150_000, "<p>" * 300_000, "<div><p>x" * 100_000, "<b class=ad>" * 80_000 + "</i>" * 80_000, "</div>" * 150_000, "<li><ul>" * 100_000, "<!--" * 250_000, "<" * 500_000):
+        main_text(page, PLAIN)
+    assert time.process_time() - start < 60

@@ -2,6 +2,8 @@ import itertools
 import random
 import zlib
 
+import numpy as np
+import pytest
 from fixtures import documents, odd_texts
 
 from tariffloom.llm.toxicity import FEATURES, WORD, Lexicon, _all_words, context_score, features, fit_toxicity, op5_toxicity, read_words, score_toxicity
@@ -51,7 +53,7 @@ def test_features_count_hits():
     assert hits["stupiid"] == ("stupid", 1)
     x = features(text, hits, lexicon)
     assert len(x) == FEATURES and features("fine", {}, lexicon) == [0.0] * FEATURES
-    assert list(itertools.compress(x, [1, 1, 0, 0, 0, 0, 1])) == [__import__("math").log1p(k) for k in (2, 1, 2)]
+    assert list(itertools.compress(x, [1, 1, 0, 0, 0, 0, 1])) == pytest.approx(np.log1p([2, 1, 2]))
 
 
 def test_held_out_accuracy(spark):
