@@ -31,4 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Deals the rows of a table that has fewer splits than there are cores, so that a small file doesn't run on one of them."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
