@@ -77,69 +77,81 @@ KINDS = (
 )
 
 
-def _located(text: Column, pieces: Column, matches: Column) -> Column:
-    """array<struct<start, end, text>> of the matches; ends are exclusive, both in code points."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("spans"))
+SPANS = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
+
+
+def _accepted(k: Kind, least: float) -> Column:
+    """The spans of one kind that its check confirms and whose score, with the context, is high enough.
+
+    Matches are taken in order with the pieces between them, which gives their
+    places; only accepted spans are kept on the way, so numbers that are no
+    card cost nothing but their own check. Ends are exclusive; both in code points.
+    """
+    pieces, matches = F.col(f"p_{k.name}"), F.col(f"m_{k.name}")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def add(acc: Column, i: Column) -> Column:
         match = F.get(matches, i)
         start = acc["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), match.alias("text"))).alias("spans"))
+        before = F.substring(F.col("t"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+        score = F.when(F.lower(before).rlike(k.context), k.score + k.bonus).otherwise(F.lit(k.score)).cast("double")
+        span = F.struct(F.lit(k.name).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"), score.alias("score"))
+        good = k.confirm(match) & (score >= least) if k.score < least else k.confirm(match)
+        return F.struct((start + F.length(match)).alias("at"), F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, add)["spans"]
 
 
-def _accepted(k: Kind, least: float) -> Column:
-    """The spans of one kind that its check confirms and whose score, with the context, is high enough."""
+def _framed(docs: DataFrame) -> DataFrame:
+    """(row, t): all columns in one struct, so no name can clash, and the text."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("t"))
 
-    def scored(s: Column) -> Column:
-        before = F.substring(F.col("__text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        score = F.when(F.lower(before).rlike(k.context), k.score + k.bonus).otherwise(F.lit(k.score))
-        return F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score.cast("double").alias("score"))
 
-    placed = _located(F.col("__text"), F.col(f"__p_{k.name}"), F.col(f"__m_{k.name}"))
-    confirmed = F.filter(placed, lambda s: k.confirm(s["text"]))
-    return F.filter(F.transform(confirmed, scored), lambda s: s["score"] >= least)
+def _found(docs: DataFrame, kinds: tuple[Kind, ...], least: float) -> DataFrame:
+    """(row, t, pii)."""
+    out = _framed(docs)
+    for k in kinds:
+        hit = F.col("t").contains(k.hint) if k.hint else F.lit(True)
+        out = out.withColumn(f"m_{k.name}", F.when(hit, F.regexp_extract_all("t", F.lit(k.pattern), F.lit(0))))
+    for k in kinds:
+        some = F.size(F.coalesce(f"m_{k.name}", F.array().cast("array<string>"))) > 0
+        out = out.withColumn(f"p_{k.name}", F.when(some, F.split("t", k.pattern, -1)))
+    each = [F.when(F.col(f"p_{k.name}").isNotNull(), _accepted(k, least)).otherwise(F.array().cast(SPANS)) for k in kinds]
+    return out.select("row", "t", F.concat(*each).alias("pii"))
 
 
 def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least: float = LEAST) -> DataFrame:
     """docs with a column ``pii``: array<struct<kind, start, end, text, score>> by kind as listed, then start.
 
-    A null text counts as empty and has no spans. Other columns pass through,
-    whatever their names, except ``pii``, which is replaced. Finding the places
-    of a text's matches takes time in the square of their number in that text.
+    A null text counts as empty and has no spans; whole texts are read. Rows are
+    judged alone, so repeated rows are harmless; an empty table gives no rows.
+    Other columns pass through, whatever their names, except ``pii``, which is
+    replaced. Time grows with the square of the spans kept in one text, not of
+    the matches tried.
     """
-    out = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "pii"], F.coalesce(docs["text"], F.lit("")).alias("__text"))
-    for k in kinds:
-        hit = F.col("__text").contains(k.hint) if k.hint else F.lit(True)
-        out = out.withColumn(f"__m_{k.name}", F.when(hit, F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0))))
-    for k in kinds:
-        some = F.size(F.coalesce(f"__m_{k.name}", F.array().cast("array<string>"))) > 0
-        out = out.withColumn(f"__p_{k.name}", F.when(some, F.split("__text", k.pattern, -1)))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string,score:double>>")
-    each = [F.when(F.col(f"__p_{k.name}").isNotNull(), _accepted(k, least)).otherwise(none) for k in kinds]
-    return out.withColumn("pii", F.concat(*each)).drop("__text", *[f"__{x}_{k.name}" for k in kinds for x in "mp"])
+    found = _found(docs, kinds, least)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "pii"], "pii")
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs with every span of ``find_pii`` replaced by its kind in angle brackets.
 
     Of overlapping spans the one that starts first is taken, at equal starts the
-    longer one; the rest of a cut span goes with it. A null text stays null.
+    longer one; the rest of a cut span goes with it. A null text stays null;
+    other columns stay as they are, whatever their names.
     """
-    found = find_pii(docs, kinds)
     order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         end = -s["back"]
-        fresh = F.struct(end.alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
+        piece = F.concat(F.substring(F.col("t"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.col("text").isNull() | (F.size("pii") == 0), F.col("text")).otherwise(F.aggregate("spans", zero, step, rest))
-    return found.withColumn("spans", order).select(*[clean.alias("text") if c == "text" else found[f"`{c}`"] for c in docs.columns])
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("t"), acc["at"] + 1, F.length("t")))
+    clean = F.when(F.col("row")["text"].isNull() | (F.size("pii") == 0), F.col("row")["text"]).otherwise(F.aggregate("spans", zero, step, rest))
+    found = _found(docs, kinds, LEAST).withColumn("spans", order)
+    return found.select(*[clean.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from fixtures import SF, documents, odd_texts
 
@@ -68,3 +69,18 @@ def test_redaction(spark):
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["mail <EMAIL> now", None, "none", "<PHONE>, <IP>", "card <CARD>"]
     assert out.columns == docs.columns
     assert redact(documents(spark, [])).collect() == []
+
+
+def test_clashing_names(spark):
+    names = ["spans", "__text", "t", "row", "m_email", "p_card", "at.b"]
+    docs = spark.createDataFrame([(1, "mail a@b.com now", *names)], ["doc_id", "text", *names])
+    assert find_pii(docs).columns == [*docs.columns, "pii"] and find_pii(docs).first()["pii"][0]["text"] == "a@b.com"
+    assert tuple(redact(docs).first()) == (1, "mail <EMAIL> now", *names) and redact(docs).columns == docs.columns
+    assert find_pii(find_pii(docs)).columns == [*docs.columns, "pii"]
+
+
+def test_time_grows_in_proportion_to_the_text(spark):
+    many = spark.createDataFrame([(1, " , ".join(str(k) for k in range(120_000)) + " a@b.com")], "doc_id long, text string")
+    start = time.time()
+    assert [s["kind"] for s in find_pii(many).first()["pii"]] == ["email"]
+    assert time.time() - start < 30
