@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
-from .substring_dedup import text_keys
+from .shared import cut, table, written
+from .textkeys import text_keys
 
 BLANKS = "\\x20\\x09-\\x0D"
 WINDOW = 8
+BROADCAST_ROWS = 100_000
 
 
 def _repeated_places(one: DataFrame) -> DataFrame:
@@ -29,13 +30,21 @@ def _repeated_places(one: DataFrame) -> DataFrame:
     return one.withColumn("places", F.sort_array(F.transform(F.filter("placed", lambda x, k: same(x, k + 1) | same(x, k - 1)), lambda x: x["i"])))
 
 
+def normal_line(line: Column) -> Column:
+    """Lower case, digits as 0, white space as single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), f"[{BLANKS}]+", " "))
+
+
 def text_measures(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, source and the counts of a single text; a null text has no words."""
+    """docs' doc_id, source (null as empty), the counts of a single text, two hashes of the whole text and ``lines``; a null text has no words.
+
+    ``lines`` holds for each line with a word the hash of the normalised line and its number of words.
+    """
     text = F.coalesce("text", F.lit(""))
-    one = docs.select("doc_id", "source", text.alias("t"))
+    one = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), text.alias("t"))
     one = one.withColumn("words", F.array_remove(F.split("t", f"[{BLANKS}]+", -1), ""))
     one = one.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{BLANKS}]")))
-    one = _repeated_places(one)
+    one = _repeated_places(one.withColumn("normal", F.transform("lines", normal_line)))
     gaps = F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))))
     return one.select(
         "doc_id",
@@ -45,54 +54,57 @@ def text_measures(docs: DataFrame) -> DataFrame:
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("places").isNull(), 0).otherwise(F.aggregate(gaps, F.lit(0), lambda a, g: a + g)).cast("long").alias("n_repeat_words"),
+        *text_keys(F.col("t")),
+        F.transform("normal", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))).alias("lines"),
     )
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, digits as 0, white space as single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), f"[{BLANKS}]+", " "))
-
-
-def line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: doc_id, source, k1 (hash of the whole text), hash of the normalised line, its words."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n", -1), normal_line), lambda x: x != "")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
-    return docs.select("doc_id", "source", text_keys(text)[0], F.explode(hashed).alias("l")).select("doc_id", "source", "k1", "l.line", "l.words")
-
-
-def frequent_lines(docs: DataFrame, least: int = 20, share: float = 0.02) -> DataFrame:
-    """(source, line) of lines in more than ``least`` different texts of a host and in more than ``share`` of its texts.
+def frequent_lines(measures: DataFrame, least: int = 20, share: float = 0.02) -> DataFrame:
+    """(source, line) of lines in more than ``least`` different texts of a host and in more than ``share`` of its texts, from ``text_measures``.
 
     Whole copies of a text count once, so a document isn't taken for boilerplate
     because it was copied. A null source is a host of its own. Counting is by
     partial distinct aggregates; a line that every document has costs one row
     per task.
     """
-    rows = line_rows(docs).select(F.coalesce("source", F.lit("")).alias("source"), "line", "k1")
+    rows = measures.select("source", "k1", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     counts = rows.groupBy("source", "line").agg(F.count_distinct("k1").alias("texts")).where(F.col("texts") > least)
-    keyed = docs.select(F.coalesce("source", F.lit("")).alias("source"), text_keys(F.coalesce("text", F.lit("")))[0])
-    hosts = keyed.groupBy("source").agg(F.count_distinct("k1").alias("all_texts"))
-    return counts.join(hosts, "source").where(F.col("texts") > share * F.col("all_texts")).select("source", "line", "texts")
+    hosts = measures.groupBy("source").agg(F.count_distinct("k1").alias("all_texts"))
+    return counts.join(hosts, "source").where(F.col("texts") > share * F.col("all_texts")).select("source", "line")
+
+
+def _hits(measures: DataFrame, columns: list[str], limits: dict) -> DataFrame:
+    """``columns`` of ``measures`` with ``line`` and ``words`` of each line above the limits.
+
+    The list of such lines is broadcast if it has at most BROADCAST_ROWS (two
+    short columns each, so some megabytes), else joined by shuffle, where Spark
+    splits the skewed keys.
+    """
+    frequent = cut(frequent_lines(measures, **limits))
+    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    lines = measures.select(*columns, "source", F.explode("lines").alias("l")).select(*columns, "source", "l.line", "l.words")
+    return lines.join(frequent, ["source", "line"])
 
 
 def rule_verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, remains: float = 0.3) -> DataFrame:
     """The measures of each document with base_failed, n_frequent_words (words in lines above the limits) and kept.
 
     A document is depleted, and not kept, if less than ``remains`` of its words
-    are left without the frequent lines. Rows that share a doc_id are judged
-    each alone except that their frequent words are summed; an empty table gives
-    no rows; only doc_id, text and source are read.
+    are left without the frequent lines. Each row is judged alone, also those
+    that share a doc_id or have none; whole texts are read, in one scan, whose
+    measures are written to the shared folder with a number for each row; an
+    empty table gives no rows; only doc_id, text and source are read.
     """
     docs = docs.select("doc_id", "text", "source")
-    measures = text_measures(docs)
-    lines = line_rows(docs).withColumn("source", F.coalesce("source", F.lit("")))
-    hits = lines.join(frequent_lines(docs, least, share).select("source", "line"), ["source", "line"])
-    lost = hits.groupBy("doc_id").agg(F.sum("words").cast("long").alias("n_frequent_words"))
+    measures = written(text_measures(docs).withColumn("row", F.monotonically_increasing_id()), "measures")
+    hits = _hits(measures, ["row"], {"least": least, "share": share})
+    lost = hits.groupBy("row").agg(F.sum("words").cast("long").alias("n_frequent_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_frequent_words")
     return (
-        measures.join(lost, "doc_id", "left")
+        measures.drop("k1", "k2", "lines")
+        .join(lost, "row", "left")
+        .drop("row")
         .withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (left >= remains * F.col("n_words")))
@@ -100,13 +112,19 @@ def rule_verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, remains
 
 
 def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
-    """docs without the lines above the limits; a document's list of such lines is bounded by its own length."""
-    rows = line_rows(docs.select("doc_id", "text", "source")).withColumn("source", F.coalesce("source", F.lit("")))
-    lists = rows.join(frequent_lines(docs, **limits).select("source", "line"), ["source", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("__frequent"))
-    joined = docs.join(lists, "doc_id", "left")
-    keep = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("__frequent", F.xxhash64(normal_line(x))))
-    text = F.when(F.col("__frequent").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """docs without the lines above the limits; a document's list of such lines is bounded by its own length.
+
+    Rows meet their lists by host and text, so they are judged each alone,
+    whatever their ids; a null text stays null; other columns pass as they are.
+    """
+    measures = written(text_measures(docs.select("doc_id", "text", "source")).select("source", "k1", "k2", "lines"), "measures")
+    lists = _hits(measures, ["k1", "k2"], limits).groupBy("source", "k1", "k2").agg(F.collect_set("line").alias("frequent"))
+    framed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.coalesce(docs["source"], F.lit("")).alias("source"), *text_keys(F.coalesce(docs["text"], F.lit(""))))
+    joined = framed.join(lists, ["source", "k1", "k2"], "left")
+    text = F.col("doc")["text"]
+    keep = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("frequent", F.xxhash64(normal_line(x))))
+    clean = F.when(F.col("frequent").isNull(), text).otherwise(F.array_join(keep, "\n"))
+    return joined.select(*[clean.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
+from .textkeys import text_keys
 from .textops import SLICE_BYTES, Words, signed, slices
 
 #: Half-windows are told apart by 48 bits only, which saves shuffle; a clash makes a needless candidate, no wrong result.
@@ -116,9 +117,6 @@ def _removed(window: int):
     return run
 
 
-def text_keys(text: Column) -> list[Column]:
-    """Two 64-bit hashes of a whole text, together a 128-bit key."""
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
 def later_copies(docs: DataFrame) -> DataFrame:

@@ -50,3 +50,13 @@ def test_depleted_document_is_rejected(spark):
 
 def test_empty_table(spark):
     assert rule_verdicts(documents(spark, [])).collect() == [] and without_frequent_lines(documents(spark, [])).collect() == []
+
+
+def test_rows_with_one_id_or_none_are_judged_alone(spark):
+    line, own = " ".join(f"menu{k}" for k in range(22)), " ".join(f"own{k}" for k in range(30))
+    rows = [(i, f"{line}\nx{i} y{i}", "a") for i in range(60)] + [(5, own, "a"), (None, f"{line}\nz q", "a"), (None, own, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.n_words, r.n_frequent_words, r.kept) for r in rule_verdicts(docs).collect() if r.doc_id in (5, None)), key=str)
+    assert got == sorted([(5, 24, 22, False), (5, 30, 0, True), (None, 24, 22, False), (None, 30, 0, True)], key=str)
+    clean = sorted(((r.doc_id, r.text) for r in without_frequent_lines(docs).collect() if r.doc_id in (5, None)), key=str)
+    assert clean == sorted([(5, "x5 y5"), (5, own), (None, "z q"), (None, own)], key=str)
