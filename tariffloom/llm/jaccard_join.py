@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, table
+from .shared import cut, join_groups, table
 from .textops import Words, mix, signed, slices
 
 HASHES, ROWS, STEP, BLOCK = 64, 4, 16, 512
+BLOCK_SHINGLES = 1 << 18  # two blocks are held at once
 _U = np.uint64
 
 
@@ -71,7 +72,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sketch(n: int):
-    """doc_id, 128-bit key of the shingle set, signature; nothing for texts without words."""
+    """doc_id, 128-bit key of the shingle set, signature, number of shingles; nothing for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +85,7 @@ def _sketch(n: int):
                 keys = [signed(np.add.reduceat(mix(values ^ _U(salt)), starts)) for salt in (0x5BD1E995, 0x1B873593)]
                 sig = signatures(values, bounds)
                 sigs = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel().view(np.int32)), HASHES).cast(pa.list_(pa.int32()))
-                yield pa.record_batch([part.column("doc_id").take(pa.array(has)), pa.array(keys[0]), pa.array(keys[1]), sigs], names=["doc_id", "k1", "k2", "sig"])
+                yield pa.record_batch([part.column("doc_id").take(pa.array(has)), pa.array(keys[0]), pa.array(keys[1]), sigs, pa.array(np.diff(bounds)[has])], names=["doc_id", "k1", "k2", "sig", "size"])
 
     return run
 
@@ -244,8 +245,8 @@ def _verified(threshold: float, tolerance: float):
 
 
 def _blocked(members: DataFrame, block: int) -> DataFrame:
-    """Members (g, doc_id, n) of groups of n rows, dealt to pairs of blocks (i, j) with i <= j; each block holds about ``block`` rows."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(doc_id, 11), blocks) as int)"))
+    """Members (g, doc_id, n, weight) of groups of n rows, dealt to pairs of blocks (i, j) with i <= j; a block holds about ``block`` rows, and BLOCK_SHINGLES of the group's ``weight``."""
+    dealt = members.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(doc_id, 11), blocks) as int)"))
     return dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id")
 
 
@@ -263,23 +264,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     own class. Texts of fewer than n words are compared as one shingle, so they
     link only if equal word by word. Only doc_id and text are read; rows with a
     null doc_id are returned with null ids and no links; rows that share a doc_id
-    share the least of their text_ids.
+    share the least of their text_ids. Whole texts are read; an empty table gives
+    no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    sketch = cut(known.mapInArrow(_sketch(n), "doc_id long, k1 long, k2 long, sig array<int>"))
-    first = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"))
-    texts = cut(sketch.join(first, ["k1", "k2"]).select("doc_id", "text_id"))
-    kept = sketch.join(texts.where("doc_id = text_id"), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
+    sketch = cut(known.mapInArrow(_sketch(n), "doc_id long, k1 long, k2 long, sig array<int>, size long"))
+    first = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n"))
+    texts = cut(join_groups(sketch.select("doc_id", "k1", "k2"), first, ["k1", "k2"], "text_id").select("doc_id", "text_id"))
+    kept = sketch.join(texts.where("doc_id = text_id"), "doc_id", "left_semi").select("doc_id", "sig", "size").dropDuplicates(["doc_id"])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(HASHES // ROWS)])
     in_bands = kept.select("doc_id", F.explode(bands).alias("g"))
     shared = in_bands.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    members = _blocked(in_bands.join(shared, "g"), block).join(kept, "doc_id")
+    members = _blocked(in_bands.join(shared, "g").withColumn("weight", F.lit(0)), block).join(kept.drop("size"), "doc_id")  # signatures have one size
     near = components(_grouped(members).mapInArrow(_candidates(threshold, tolerance), "u long, v long"), "u", "v")
     groups = cut(near.withColumnRenamed("root", "g").withColumnRenamed("node", "doc_id"))
-    sizes = groups.groupBy("g").agg(F.count("*").alias("n"))
+    sizes = groups.join(kept.select("doc_id", "size"), "doc_id").groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
     shingles = known.join(groups.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    pairs = _blocked(groups.join(sizes, "g"), block).join(kept.join(shingles, "doc_id"), "doc_id")
+    pairs = _blocked(groups.join(sizes, "g"), block).join(kept.drop("size").join(shingles, "doc_id"), "doc_id")
     found = cut(_grouped(pairs).mapInArrow(_verified(threshold, tolerance), "u long, v long, links long"))
     roots = components(found.select("u", "v"), "u", "v").select(F.col("node").alias("text_id"), "root")
     links = found.groupBy(F.col("u").alias("text_id")).agg(F.sum("links").alias("links"))

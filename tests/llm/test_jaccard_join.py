@@ -4,8 +4,11 @@ import re
 import numpy as np
 from fixtures import SF, documents, odd_texts
 
+import tariffloom.llm.jaccard_join as module
 from tariffloom.llm.graph import components
 from tariffloom.llm.jaccard_join import jaccard_classes, keep_one_per_class, least_matches, op3_ngram_jaccard_join, overlaps
+from tariffloom.llm.shared import join_groups
+from pyspark.sql import functions as F
 
 
 def brute(rows, n=5, t=0.8):
@@ -82,3 +85,20 @@ def test_overlaps_by_product_and_by_merge():
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 40).selectExpr("id as u", "id - 1 as v").union(spark.createDataFrame([(100, 101)], "u long, v long"))
     assert {r.node: r.root for r in components(edges, "u", "v").collect()} == {i: 0 for i in range(40)} | {100: 100, 101: 100}
+
+
+def test_joins_of_large_groups(spark):
+    rows = spark.createDataFrame([(k, 7 if k % 3 else k) for k in range(9000)] + [(9000, None)], "doc_id long, k long")
+    groups = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("k != 6")
+    got = {r.doc_id: r["first"] for r in join_groups(rows, groups, ["k"], "first").collect()}
+    assert got == {k: 1 if k % 3 else k for k in range(9000) if k != 6}
+
+
+def test_blocks_are_bounded_by_shingles(spark):
+    base = [f"w{k}" for k in range(3000)]
+    texts = [" ".join([*base[:2990], *[f"v{i}x{k}" for k in range(10)]]) for i in range(30)]
+    docs = documents(spark, texts)
+    want = sorted(map(tuple, jaccard_classes(docs).collect()))
+    module.BLOCK_SHINGLES, old = 20_000, module.BLOCK_SHINGLES
+    assert sorted(map(tuple, jaccard_classes(docs).collect())) == want and {r[3] for r in want} == {29}
+    module.BLOCK_SHINGLES = old
