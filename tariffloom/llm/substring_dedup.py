@@ -1,11 +1,13 @@
 """Removal of word windows that repeat across documents, by level-wise doubling.
 
-Level 1 looks at windows of half the length only, and of those only at each full
-window's minimizer (its half-window of least hash), less than a quarter of all
-positions. Full windows are formed (level 2) only where the half-window repeats
-in another document; windows whose half is unique never leave the first level.
-Both levels aggregate ``min``/``max`` of doc_id per hash on the map side, so a
-passage that every document has costs one row per task, and join back by key,
+The first level looks at short windows of FIRST words at most, and of those only
+at each longer window's minimizer (its short window of least hash), less than a
+quarter of all positions. Windows of one length that repeat in another document
+are candidates for twice that length (and a word, where the wanted length is
+odd); all others never reach the next level. Levels that get no candidates are
+left out as Spark runs, since adaptive execution drops joins with an empty side.
+Each level aggregates ``min``/``max`` of doc_id per hash on the map side, so a
+passage that every document has costs one row per task, and joins back by key,
 where Spark splits skewed keys itself.
 """
 
@@ -15,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, join_groups, table
 from .textkeys import text_keys
 from .textops import SLICE_BYTES, Words, signed, slices
 
 #: Half-windows are told apart by 48 bits only, which saves shuffle; a clash makes a needless candidate, no wrong result.
 SHORT = np.uint64(16)
+FIRST = 8
 
 
 def _distinct(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
@@ -47,39 +49,50 @@ def _half_windows(window: int, half: int):
     return run
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle, which takes them less room than Spark's own block compression."""
-    compress = zstandard.ZstdCompressor(level=1).compress
+    codec = _codec()
     for batch in batches:
         for part in slices(batch, "text"):
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            yield pa.record_batch([part.column("doc_id"), pa.array([compress(t or b"") for t in texts], pa.binary())], names=["doc_id", "packed"])
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([part.column("doc_id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array(list(map(len, texts)), pa.int32())], names=["doc_id", "packed", "bytes"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of a batch with the words of their texts."""
-    expand = zstandard.ZstdDecompressor().decompress
+    codec = _codec()
     for part in slices(batch, "packed", SLICE_BYTES // 3):
-        yield part, Words(pa.array([expand(z) for z in part.column("packed").to_pylist()], pa.binary()))
+        texts = [codec.decompress(z, n, asbytes=True) if n else b"" for z, n in zip(part.column("packed").to_pylist(), part.column("bytes").to_pylist(), strict=True)]
+        yield part, Words(pa.array(texts, pa.binary()))
 
 
-def _full_windows(window: int, half: int):
-    """Full windows whose half-window is in the row's list ``halves``."""
+def _next_windows(short: int, size: int, sampled: bool):
+    """Windows of ``size`` words that may repeat by the row's list ``survivors`` of hashes of ``short`` words: those whose minimizer is there (sampled), or whose first and last words are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in _unpacked(batch):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                lists = part.column("halves")
-                starts, _, grams = words.minimizers(window, half)
-                full = words.windows(window)
+                lists = part.column("survivors")
+                full = words.windows(size)
+                if sampled:
+                    starts, _, heads = words.minimizers(size, short)
+                    heads = tails = heads >> SHORT
+                else:
+                    starts, parts = words.whole(size), words.windows(short)
+                    heads, tails = parts[starts], parts[starts + size - short]
                 row = words.doc[starts]
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 keep = np.zeros(len(starts), dtype=bool)
                 for r in range(part.num_rows):
                     a, b = bounds[r], bounds[r + 1]
                     if b > a:
-                        keep[a:b] = np.isin(signed(grams[a:b] >> SHORT), lists[r].values.to_numpy(zero_copy_only=False))
+                        known = lists[r].values.to_numpy(zero_copy_only=False)
+                        keep[a:b] = np.isin(signed(heads[a:b]), known) & (sampled or np.isin(signed(tails[a:b]), known))
                 yield _distinct(ids[row[keep]], full[starts[keep]])
 
     return run
@@ -119,43 +132,97 @@ def _removed(window: int):
 
 
 
+PAIR = "h long, doc_id long"
+PACKED = "doc_id long, packed binary, bytes int"
+
+
 def later_copies(docs: DataFrame) -> DataFrame:
-    """doc_ids whose whole text a smaller doc_id already has."""
+    """doc_ids of one row whose whole text a smaller doc_id already has."""
     keyed = docs.select("doc_id", *text_keys(F.coalesce("text", F.lit(""))))
-    firsts = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return keyed.join(firsts, ["k1", "k2"]).where("doc_id > first").select("doc_id", F.lit(True).alias("copy")).distinct()
+    groups = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    several = keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    later = join_groups(keyed, groups, ["k1", "k2"], "first").where("doc_id > first")
+    return later.join(several, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("copy"))
+
+
+def doubled_lengths(window: int) -> list[int]:
+    """The lengths of the levels up to ``window``: halves of it, rounded down, until FIRST or less; at least two."""
+    out = [window]
+    while len(out) < 2 or out[0] > FIRST:
+        out.insert(0, max(1, out[0] // 2))
+    return out
+
+
+def _repeated(pairs: DataFrame) -> DataFrame:
+    """(h, lo) of the hashes that two doc_ids or more have, with the least of them."""
+    return pairs.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
+
+
+def _survivors(pairs: DataFrame) -> DataFrame:
+    """doc_id and the list of its repeated hashes, which is bounded by the length of its own text."""
+    return pairs.join(_repeated(pairs).select("h"), "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("survivors"))
+
+
+def _first_level(known: DataFrame, lengths: list[int], copies: DataFrame) -> DataFrame:
+    pairs = known.mapInArrow(_half_windows(lengths[1], lengths[0]), PAIR)
+    firsts = pairs.join(_repeated(pairs).select("h"), "h", "left_semi").join(copies, "doc_id", "left_anti")
+    return firsts.groupBy("doc_id").agg(F.collect_list("h").alias("survivors"))
+
+
+def _levels(packed: DataFrame, survivors: DataFrame, lengths: list[int]) -> DataFrame:
+    """(h, doc_id) of the windows of the last length that may repeat, level by level."""
+    for k, (short, size) in enumerate(zip(lengths[:-1], lengths[1:], strict=True)):
+        pairs = packed.join(survivors, "doc_id").mapInArrow(_next_windows(short, size, k == 0), PAIR)
+        if size != lengths[-1]:
+            survivors = _survivors(pairs)
+    return pairs
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if some ``window``-word window over it also starts in a document
-    of smaller doc_id. Null and empty texts, and texts shorter than a window,
-    lose nothing; within one document a repeat is no repeat; rows that share a
-    doc_id are judged each alone; a null doc_id is smaller or larger than none,
-    so such rows lose nothing. Only doc_id (a long) and text are read, so extra
-    columns do no harm. An empty table gives an empty result.
+    of smaller doc_id. Windows are told apart by 64-bit hashes. Null and empty
+    texts, and texts shorter than a window, lose nothing; within one document a
+    repeat is no repeat; rows that share a doc_id are judged each alone; a null
+    doc_id is smaller or larger than none, so such rows lose nothing. Whole texts
+    are read. Only doc_id (a long) and text are read, so extra columns do no
+    harm. An empty table gives an empty result.
     """
-    half = max(1, window // 2)  # the shorter the half, the fewer minimizers
     docs = docs.select("doc_id", "text")  # no cast: it would keep Spark from seeing that two joins read the same shuffle
-    copies = later_copies(docs)
-    pair = "h long, doc_id long"
     known = docs.where("doc_id is not null")
-    halves = known.mapInArrow(_half_windows(window, half), pair)
-    repeated = halves.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    # each list is bounded by the length of its own document
-    candidates = halves.join(repeated, "h", "left_semi").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("halves"))
-    # the filter is what an inner join would add; with it both joins below read the same shuffle
-    packed = known.mapInArrow(_packed, "doc_id long, packed binary").where("doc_id is not null")
-    full = packed.join(candidates, "doc_id").mapInArrow(_full_windows(window, half), pair)
-    firsts = full.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    remove = full.join(firsts, "h").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h").alias("remove"))
+    copies = later_copies(known)
+    # the filter is what an inner join would add; with it the joins below read the same shuffle
+    packed = known.mapInArrow(_packed, PACKED).where("doc_id is not null")
+    lengths = doubled_lengths(window)
+    full = _levels(packed, _first_level(known, lengths, copies), lengths)
+    remove = full.join(_repeated(full), "h").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h").alias("remove"))
     marks = remove.join(copies, "doc_id", "full_outer")
-    marked = packed.join(marks, "doc_id", "left").select("doc_id", "packed", "remove", "copy")
-    nameless = docs.where("doc_id is null").mapInArrow(_packed, "doc_id long, packed binary").select("doc_id", "packed", F.lit(None).cast("array<long>").alias("remove"), F.lit(None).cast("boolean").alias("copy"))
+    marked = packed.join(marks, "doc_id", "left").select("doc_id", "packed", "bytes", "remove", "copy")
+    nameless = docs.where("doc_id is null").mapInArrow(_packed, PACKED).select("doc_id", "packed", "bytes", F.lit(None).cast("array<long>").alias("remove"), F.lit(None).cast("boolean").alias("copy"))
     return marked.unionByName(nameless).mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def longest_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, n_words: the longest of the lengths ``window``, twice it, four times it ... at which the document repeats another one.
+
+    Levels go on until no candidate survives, so their number is the logarithm
+    of the longest repeat. Documents without a repeat of ``window`` words, null
+    doc_ids and texts don't appear; whole copies count as any repeat.
+    """
+    known = docs.select("doc_id", "text").where("doc_id is not null")
+    packed = known.mapInArrow(_packed, PACKED).where("doc_id is not null")
+    lengths, none = doubled_lengths(window), known.select("doc_id").limit(0)
+    survivors = cut(_survivors(_levels(packed, _first_level(known, lengths, none), lengths)))
+    size, found = window, None
+    while not survivors.isEmpty():
+        level = survivors.select("doc_id", F.lit(size).alias("n_words"))
+        found = level if found is None else found.unionByName(level)
+        survivors = cut(_survivors(packed.join(survivors, "doc_id").mapInArrow(_next_windows(size, 2 * size, False), PAIR)))
+        size *= 2
+    return survivors.select("doc_id", F.lit(size).alias("n_words")) if found is None else found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
+
+
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dedup_substrings(docs, 13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
