@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, join_groups
 
 
 def _pairs(frame: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -14,14 +14,14 @@ def _pairs(frame: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return frame.select(both).select("e.u", "e.v")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (u, v) with u > v; least neighbours are found by a map-side combined min."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One star step on the n edges (u, v) with u > v; least neighbours are found by a map-side combined min, and a node with many edges doesn't take them all into one task."""
     if large:
         both = _pairs(edges, ("u", "v"), ("v", "u"))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = join_groups(both, least, ["u"], "m", deal="v", total=2 * n if large else n)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -43,5 +43,5 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 60) -> DataFrame:
         if state == seen or not state["n"]:
             return _pairs(now, ("u", "v"), ("v", "v")).toDF("node", "root").distinct()
         seen = state
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True, state["n"]), False, state["n"]))
     raise RuntimeError(f"components did not settle in {limit} rounds")

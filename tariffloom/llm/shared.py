@@ -27,19 +27,21 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 HOT = 2000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], value: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, deal: str = "doc_id", total: int | None = None) -> DataFrame:
     """``rows`` with the ``value`` of their group, where ``groups`` has a row (keys, n, value) for each group of n rows; rows without a group go.
 
     Groups with more than one in HOT of all grouped rows, HOT of them at most,
-    are broadcast; their rows meet them where they are and are dealt by ``doc_id``
-    in the shuffle that joins the other groups, so no task gets a large group.
+    are broadcast; their rows meet them where they are and are dealt by ``deal`` in
+    the shuffle that joins the other groups, so no task gets a large group.
+    ``total`` is the sum of n, if known.
     """
-    groups = cut(groups)
-    total = groups.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        groups = cut(groups)
+        total = groups.agg(F.sum("n")).first()[0] or 0
     hot = groups.where(F.col("n") * HOT > total).select(*keys, F.col(value).alias("of_hot"))
     cold = groups.where(F.col("n") * HOT <= total).select(*[F.col(k).alias(f"of_{k}") for k in keys], value)
     met = rows.join(F.broadcast(hot), keys, "left")
-    dealt = [F.when(F.col("of_hot").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col(k)).alias(f"to_{k}") for k in keys]
+    dealt = [F.when(F.col("of_hot").isNotNull(), F.xxhash64(deal)).otherwise(F.col(k)).alias(f"to_{k}") for k in keys]
     met = met.select(*rows.columns, "of_hot", *dealt)
     same = F.col("of_hot").isNull()
     for k in keys:
