@@ -223,8 +223,12 @@ def _below_crore(n: Column) -> Column:
 
 
 def indian_words(n: Column) -> Column:
-    """A whole number below 10**14 in words, by crore, lakh, thousand and hundred."""
-    n = n.cast("long")
+    """A whole number below 10**14 in words, by crore, lakh, thousand and hundred; a negative one raises."""
+    n = F.when(n < 0, F.raise_error(F.lit("no words for a negative number")).cast("long")).otherwise(F.floor(n).cast("long"))
     crore = F.floor(n / 10_000_000)
     upper = F.when(crore > 0, F.concat(_below_crore(crore), F.lit(" Crore")))
     return F.when(n == 0, "Zero").otherwise(F.concat_ws(" ", upper, F.nullif(_below_crore(n % 10_000_000), F.lit(""))))
+
+
+def rupees_in_words(n: Column) -> Column:
+    return F.concat(F.lit("Rs. "), indian_words(n), F.lit(" Only"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import indian_words
+from ..functions.text import rupees_in_words
 from ..operators import duty as D
 from ..operators.joins import asof
-from .fixture import FX_SQL, INVOICE_FX_SQL, INVOICES_SQL, ITEMS_SQL, exchange_rates, invoices, items, table
+from .fixture import CHARGE_FX_SQL, CHARGES, FX_SQL, INVOICE_FX_SQL, INVOICES_SQL, ITEMS_SQL, exchange_rates, invoices, items, table
 from .words_sql import words_sql
 
 
@@ -19,7 +19,10 @@ def fx_asof(spark, sf_dir: str) -> DataFrame:
 
 def _priced(spark, sf_dir: str) -> DataFrame:
     rated = asof(invoices(spark, sf_dir), "day", exchange_rates(spark), "since", ["currency"], ["fx"])
-    return rated.withColumn("charges_home", (F.col("charges") * F.col("fx").cast("decimal(8,4)")).cast("decimal(20,8)"))
+    for c in (*CHARGES, "insurance"):  # tables of a few rows, which Spark broadcasts by its own size check
+        rates = exchange_rates(spark).select(F.col("currency").alias(f"{c}_currency"), "since", F.col("fx").alias(f"{c}_fx"))
+        rated = asof(rated, "day", rates, "since", [f"{c}_currency"], [f"{c}_fx"])
+    return D.charges_home(rated)
 
 
 def _valued(spark, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def duty_totals_by_nation(spark, sf_dir: str) -> DataFrame:
 
 
 def duty_in_words(spark, sf_dir: str) -> DataFrame:
-    return duty_by_order(spark, sf_dir).select("invoice", "payable", indian_words(F.col("payable")).alias("words"))
+    return duty_by_order(spark, sf_dir).select("invoice", "payable", rupees_in_words(F.col("payable")).alias("words"))
 
 
 def duty_failures(spark, sf_dir: str) -> DataFrame:
@@ -58,14 +61,15 @@ def duty_failures(spark, sf_dir: str) -> DataFrame:
     return joined.select("invoice", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-VALUED_SQL = f"""WITH {INVOICES_SQL}, {ITEMS_SQL}, {FX_SQL}, {INVOICE_FX_SQL},
+VALUED_SQL = f"""WITH {INVOICES_SQL}, {ITEMS_SQL}, {FX_SQL}, {INVOICE_FX_SQL}, {CHARGE_FX_SQL},
 joined AS (
-  SELECT i.*, v.importer, v.fx, v.insurance_percent, v.insurance_amount, (v.charges * v.fx)::DECIMAL(20,8) AS charges_home,
+  SELECT i.*, v.importer, v.fx, v.insurance_percent, (v.insurance_amount * v.insurance_fx)::DECIMAL(20,6) AS insurance_home,
+         (v.freight * v.freight_fx + v.misc * v.misc_fx + v.loading * v.loading_fx - v.discount * v.discount_fx)::DECIMAL(20,8) AS charges_home,
          (quantity * unit_price)::DECIMAL(20,4) AS value
-  FROM items i JOIN invoice_fx v USING (invoice)),
+  FROM items i JOIN charge_fx v USING (invoice)),
 goods AS (SELECT *, (sum(value) OVER (PARTITION BY invoice))::DECIMAL(20,4) AS goods FROM joined),
 added AS (
-  SELECT *, (charges_home + coalesce(insurance_amount::DECIMAL(26,8),
+  SELECT *, (charges_home + coalesce(insurance_home::DECIMAL(26,8),
      (((goods::DECIMAL(18,4) * fx)::DECIMAL(26,8) + charges_home)::DECIMAL(20,8)::DECIMAL(26,8) * insurance_percent::DECIMAL(8,4) * 0.01::DECIMAL(3,2))::DECIMAL(28,10)::DECIMAL(26,8)))::DECIMAL(20,8) AS additions,
      CASE WHEN goods > 0 THEN round(value / goods, 14)::DECIMAL(16,14) END AS share
   FROM goods),
@@ -74,20 +78,22 @@ valued AS (
 _PCT = "({}::DECIMAL(20,8) * {}::DECIMAL(8,4) * 0.01::DECIMAL(3,2))::DECIMAL(28,10)"
 DUTY_SQL = f"""{VALUED_SQL},
 d1 AS (SELECT *, {_PCT.format(_PCT.format('assessable', 'bcd_rate'), '(100 - coalesce(exempt_percent, 0))')}::DECIMAL(24,8) AS bcd FROM valued),
-d2 AS (SELECT *, {_PCT.format('bcd', 'sws_rate')}::DECIMAL(24,8) AS sws FROM d1),
-d3 AS (SELECT *, (assessable + bcd + sws)::DECIMAL(24,8) AS base FROM d2),
+d2 AS (SELECT *, {_PCT.format('assessable', 'coalesce(aidc_rate, 0)')}::DECIMAL(24,8) AS aidc, {_PCT.format('assessable', 'coalesce(health_cess_rate, 0)')}::DECIMAL(24,8) AS health_cess,
+  {_PCT.format('bcd', 'coalesce(sws_rate, 10)')}::DECIMAL(24,8) AS sws FROM d1),
+d3 AS (SELECT *, (assessable + bcd + aidc + health_cess + sws)::DECIMAL(24,8) AS base FROM d2),
 duty AS (SELECT *, {_PCT.format('base', 'igst_rate')}::DECIMAL(24,8) AS igst, {_PCT.format('base', 'coalesce(cess_rate, 0)')}::DECIMAL(24,8) AS cess FROM d3)"""
-_SUMS = """count(*) AS n_items, round(sum(assessable), 2)::DECIMAL(18,2) AS assessable, round(sum(bcd), 2)::DECIMAL(18,2) AS bcd, round(sum(sws), 2)::DECIMAL(18,2) AS sws,
-  round(sum(igst), 2)::DECIMAL(18,2) AS igst, round(sum(cess), 2)::DECIMAL(18,2) AS cess, round(sum(base), 0)::BIGINT AS igst_base,
-  round(sum(bcd) + sum(sws) + sum(igst) + sum(cess), 0)::BIGINT AS payable"""
+_PAYABLE = "sum(bcd) + sum(aidc) + sum(health_cess) + sum(sws) + sum(igst) + sum(cess)"
+_AMOUNTS = "assessable bcd aidc health_cess sws igst cess".split()
+_SUMS = f"""count(*) AS n_items, {', '.join(f'round(sum({c}), 2)::DECIMAL(18,2) AS {c}' for c in _AMOUNTS)}, round(sum(base), 0)::BIGINT AS igst_base,
+  round({_PAYABLE}, 0)::BIGINT AS payable"""
 _R = "round({0}, 2)::DECIMAL(18,2)"
 
 QUERIES = {f.__name__: f for f in (fx_asof, item_valuation, item_duty, duty_by_order, duty_totals_by_nation, duty_in_words, duty_failures)}
 SQL = {
-    "duty_in_words": f"{DUTY_SQL}, p AS (SELECT invoice, round(sum(bcd) + sum(sws) + sum(igst) + sum(cess), 0)::BIGINT AS payable FROM duty GROUP BY invoice) SELECT invoice, payable, {words_sql('payable')} AS words FROM p",
+    "duty_in_words": f"{DUTY_SQL}, p AS (SELECT invoice, round({_PAYABLE}, 0)::BIGINT AS payable FROM duty GROUP BY invoice) SELECT invoice, payable, 'Rs. ' || {words_sql('payable')} || ' Only' AS words FROM p",
     "fx_asof": f"WITH {INVOICES_SQL}, {FX_SQL}, {INVOICE_FX_SQL} SELECT invoice, day, currency, fx FROM invoice_fx",
     "item_valuation": f"{VALUED_SQL} SELECT invoice, sl_no, {_R.format('value')} AS value, {_R.format('additions')} AS additions, {_R.format('assessable')} AS assessable FROM valued",
-    "item_duty": f"{DUTY_SQL}, r AS (SELECT invoice, sl_no, hs, {', '.join(f'{_R.format(c)} AS {c}' for c in ('assessable', 'bcd', 'sws', 'igst', 'cess'))} FROM duty) SELECT *, (bcd + sws + igst + cess)::DECIMAL(18,2) AS total FROM r",
+    "item_duty": f"{DUTY_SQL}, r AS (SELECT invoice, sl_no, hs, {', '.join(f'{_R.format(c)} AS {c}' for c in _AMOUNTS)} FROM duty) SELECT *, (bcd + aidc + health_cess + sws + igst + cess)::DECIMAL(18,2) AS total FROM r",
     "duty_by_order": f"{DUTY_SQL} SELECT invoice, {_SUMS} FROM duty GROUP BY invoice",
     "duty_totals_by_nation": f"{DUTY_SQL} SELECT n_name AS nation, {_SUMS} FROM duty JOIN customer ON importer = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "duty_failures": f"""WITH {INVOICES_SQL}, {ITEMS_SQL}, {FX_SQL}, g AS (SELECT invoice, sum(quantity * unit_price) AS goods FROM items GROUP BY invoice)

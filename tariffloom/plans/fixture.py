@@ -20,6 +20,8 @@ def hs(column: str) -> Column:
 
 HS_SQL = "lpad((({} * 7919 + 1010000) % 100000000)::VARCHAR, 8, '0')"
 CURRENCIES = ("USD", "EUR", "JPY", "INR")
+#: Charge: modulus of the order key, unit, and how far its currency is from the customer's.
+CHARGES = {"freight": (7, "10.25", 1), "misc": (4, "2.40", 3), "loading": (3, "1.75", 0), "discount": (6, "0.85", 2)}
 
 
 def currency(key: str) -> Column:
@@ -31,14 +33,15 @@ def currency_sql(key: str) -> str:
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as invoices: every other one insured by percent, charges by key."""
+    """Orders as invoices: charges each in a currency of its own, every other one insured by percent."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("invoice"),
         F.to_date("o_orderdate").alias("day"),
         F.col("o_custkey").alias("importer"),
         currency("o_custkey").alias("currency"),
-        ((F.col("o_orderkey") % 7) * F.lit("10.25").cast("decimal(4,2)")).cast("decimal(12,2)").alias("charges"),
+        *[((F.col("o_orderkey") % n) * F.lit(unit).cast("decimal(4,2)")).cast("decimal(12,2)").alias(c) for c, (n, unit, _) in CHARGES.items()],
+        *[F.element_at(F.array(*map(F.lit, CURRENCIES)), ((F.col("o_custkey") + k) % 4 + 1).cast("int")).alias(f"{c}_currency") for c, k in [*((c, k) for c, (_, _, k) in CHARGES.items()), ("insurance", 2)]],
         F.when(F.col("o_orderkey") % 2 == 0, F.lit("1.125").cast("decimal(8,4)")).alias("insurance_percent"),
         F.when(F.col("o_orderkey") % 2 == 1, ((F.col("o_orderkey") % 5) * F.lit("3.50").cast("decimal(3,2)")).cast("decimal(12,2)")).alias("insurance_amount"),
     )
@@ -46,7 +49,11 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INVOICES_SQL = f"""invoices AS (
   SELECT o_orderkey AS invoice, o_orderdate::DATE AS day, o_custkey AS importer, {currency_sql('o_custkey')} AS currency,
-         ((o_orderkey % 7) * 10.25::DECIMAL(4,2))::DECIMAL(12,2) AS charges,
+         ((o_orderkey % 7) * 10.25::DECIMAL(4,2))::DECIMAL(12,2) AS freight, ((o_orderkey % 4) * 2.40::DECIMAL(4,2))::DECIMAL(12,2) AS misc,
+         ((o_orderkey % 3) * 1.75::DECIMAL(4,2))::DECIMAL(12,2) AS loading, ((o_orderkey % 6) * 0.85::DECIMAL(4,2))::DECIMAL(12,2) AS discount,
+         (['USD','EUR','JPY','INR'])[((o_custkey + 1) % 4 + 1)::INT] AS freight_currency, (['USD','EUR','JPY','INR'])[((o_custkey + 3) % 4 + 1)::INT] AS misc_currency,
+         (['USD','EUR','JPY','INR'])[(o_custkey % 4 + 1)::INT] AS loading_currency, (['USD','EUR','JPY','INR'])[((o_custkey + 2) % 4 + 1)::INT] AS discount_currency,
+         (['USD','EUR','JPY','INR'])[((o_custkey + 2) % 4 + 1)::INT] AS insurance_currency,
          CASE WHEN o_orderkey % 2 = 0 THEN 1.125::DECIMAL(8,4) END AS insurance_percent,
          CASE WHEN o_orderkey % 2 = 1 THEN ((o_orderkey % 5) * 3.50::DECIMAL(3,2))::DECIMAL(12,2) END AS insurance_amount
   FROM orders)"""
@@ -67,7 +74,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").cast("decimal(14,2)").alias("unit_price"),
         rate(["7.5", "10", "25", "0"]).alias("bcd_rate"),
         F.when(F.col("l_partkey") % 5 == 0, F.lit("100").cast("decimal(5,2)")).alias("exempt_percent"),
-        F.lit("10").cast("decimal(8,4)").alias("sws_rate"),
+        F.when(F.col("l_partkey") % 13 == 0, F.lit("5").cast("decimal(8,4)")).alias("aidc_rate"),
+        F.when(F.col("l_partkey") % 9 == 0, F.lit("1.5").cast("decimal(8,4)")).alias("health_cess_rate"),
+        F.when(F.col("l_partkey") % 6 == 0, F.lit("5").cast("decimal(8,4)")).alias("sws_rate"),
         rate(["18", "5", "28", "12", "0.25"]).alias("igst_rate"),
         F.when(F.col("l_partkey") % 11 == 0, F.lit("12").cast("decimal(8,4)")).alias("cess_rate"),
     )
@@ -77,7 +86,9 @@ ITEMS_SQL = f"""items AS (
   SELECT l_orderkey AS invoice, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ITEM_ORDER)}))::INT AS sl_no, l_partkey AS part,
          {HS_SQL.format('l_partkey')} AS hs, l_quantity::DECIMAL(12,2) AS quantity, l_extendedprice::DECIMAL(14,2) AS unit_price,
          ([7.5, 10, 25, 0]::DECIMAL(8,4)[])[(l_partkey % 4 + 1)::INT] AS bcd_rate,
-         CASE WHEN l_partkey % 5 = 0 THEN 100::DECIMAL(5,2) END AS exempt_percent, 10::DECIMAL(8,4) AS sws_rate,
+         CASE WHEN l_partkey % 5 = 0 THEN 100::DECIMAL(5,2) END AS exempt_percent,
+         CASE WHEN l_partkey % 13 = 0 THEN 5::DECIMAL(8,4) END AS aidc_rate, CASE WHEN l_partkey % 9 = 0 THEN 1.5::DECIMAL(8,4) END AS health_cess_rate,
+         CASE WHEN l_partkey % 6 = 0 THEN 5::DECIMAL(8,4) END AS sws_rate,
          ([18, 5, 28, 12, 0.25]::DECIMAL(8,4)[])[(l_partkey % 5 + 1)::INT] AS igst_rate,
          CASE WHEN l_partkey % 11 = 0 THEN 12::DECIMAL(8,4) END AS cess_rate
   FROM lineitem)"""
@@ -97,7 +108,13 @@ FX_SQL = """fx_tables AS (
   FROM range(24) t(q), (VALUES ('USD', 0), ('EUR', 1), ('JPY', 2), ('INR', 3)) c(currency, k))"""
 
 #: Latest table at or before the day, else the earliest one.
-INVOICE_FX_SQL = """invoice_fx AS (
-  SELECT i.*, coalesce(a.fx, b.fx) AS fx FROM invoices i
-  ASOF LEFT JOIN fx_tables a ON i.currency = a.currency AND i.day >= a.since
-  LEFT JOIN (SELECT currency, arg_min(fx, since) AS fx FROM fx_tables GROUP BY currency) b ON i.currency = b.currency)"""
+def _fx_step(source: str, name: str, column: str, fx: str) -> str:
+    return f"""{name} AS (
+  SELECT i.*, coalesce(a.fx, b.fx) AS {fx} FROM {source} i
+  ASOF LEFT JOIN fx_tables a ON i.{column} = a.currency AND i.day >= a.since
+  LEFT JOIN (SELECT currency, arg_min(fx, since) AS fx FROM fx_tables GROUP BY currency) b ON i.{column} = b.currency)"""
+
+
+INVOICE_FX_SQL = _fx_step("invoices", "invoice_fx", "currency", "fx")
+#: The rate of each charge's currency beside that of the invoice.
+CHARGE_FX_SQL = ",\n".join([_fx_step(a, b, f"{c}_currency", f"{c}_fx") for a, b, c in (("invoice_fx", "fx1", "freight"), ("fx1", "fx2", "misc"), ("fx2", "fx3", "loading"), ("fx3", "fx4", "discount"), ("fx4", "charge_fx", "insurance"))])

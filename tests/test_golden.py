@@ -17,10 +17,10 @@ def one(spark, *columns):
     return tuple(spark.range(1).select(*columns).first())
 
 
-def job(spark, lines, fx, charges, percent, amount, bcd, exempt, igst):
+def job(spark, lines, fx, charges, percent, amount, bcd, exempt, igst, aidc=None):
     items = spark.createDataFrame([(1, k + 1, Decimal(q), Decimal(p), Decimal(bcd), exempt and Decimal(exempt), Decimal("10"), Decimal(igst), None) for k, (q, p) in enumerate(lines)], "invoice long, sl_no int, quantity decimal(12,2), unit_price decimal(14,2), bcd_rate decimal(8,4), exempt_percent decimal(5,2), sws_rate decimal(8,4), igst_rate decimal(8,4), cess_rate decimal(8,4)")
     invoice = spark.createDataFrame([(1, Decimal(fx), Decimal(charges), percent and Decimal(percent), amount and Decimal(amount))], "invoice long, fx decimal(8,4), charges decimal(12,2), insurance_percent decimal(8,4), insurance_amount decimal(12,2)")
-    return D.item_duty(D.valued(items, invoice.withColumn("charges_home", (F.col("charges") * F.col("fx")).cast("decimal(20,8)"))))
+    return D.item_duty(D.valued(items.withColumn("aidc_rate", F.lit(aidc).cast("decimal(8,4)")).withColumn("health_cess_rate", F.lit(None).cast("decimal(8,4)")), invoice.withColumn("charges_home", (F.col("charges") * F.col("fx")).cast("decimal(20,8)")).withColumn("insurance_home", F.col("insurance_amount"))))
 
 
 def test_first_golden_job(spark):
@@ -48,6 +48,17 @@ def test_names_and_identifiers(spark):
         assert one(spark, T.gstin_problems(F.lit(gstin), F.lit(None).cast("string"), F.lit(None).cast("string"))) == ([],)
 
 
+def test_agricultural_cess_is_part_of_the_base(spark):
+    total = D.by_invoice(job(spark, [("100", "10")], "80", "0", None, "0", "10", None, "18", "5")).first()
+    assert [str(total[c]) for c in ("bcd", "aidc", "sws", "igst", "igst_base", "payable")] == ["8000.00", "4000.00", "800.00", "16704.00", "92800", "29504"]
+
+
+def test_words_of_negative_amounts_raise(spark):
+    assert one(spark, T.rupees_in_words(F.lit(419638))) == ("Rs. Four Lakh Nineteen Thousand Six Hundred Thirty Eight Only",)
+    with pytest.raises(Exception, match="words"):
+        one(spark, T.indian_words(F.lit(-5)))
+
+
 def test_words(spark):
     cases = {0: "Zero", 7: "Seven", 19: "Nineteen", 42: "Forty Two", 100: "One Hundred", 950: "Nine Hundred Fifty", 1000: "One Thousand", 142950: "One Lakh Forty Two Thousand Nine Hundred Fifty", 419638: "Four Lakh Nineteen Thousand Six Hundred Thirty Eight", 10**7: "One Crore", 123456789: "Twelve Crore Thirty Four Lakh Fifty Six Thousand Seven Hundred Eighty Nine", 10**9: "One Hundred Crore"}
     rows = spark.createDataFrame([(n,) for n in cases], "n long").select("n", T.indian_words(F.col("n")).alias("w")).collect()
