@@ -30,6 +30,17 @@ def export_day(x: Column) -> Column:
     return F.date_format(F.substring(x, 1, 10).try_cast("date"), "dd-MMM-yyyy")
 
 
+def stamp(x: Column, with_time: bool = False) -> Column:
+    """An instant's day, and minute, in India; a dash for none."""
+    local = F.from_utc_timestamp(F.to_utc_timestamp(x, F.current_timezone()), "Asia/Kolkata")
+    return F.coalesce(F.date_format(local, "dd/MM/yyyy HH:mm" if with_time else "dd/MM/yyyy"), F.lit("—"))
+
+
+def in_order(first: Column, second: Column) -> Column:
+    """Whether the second day isn't before the first; unknown days raise no objection."""
+    return F.coalesce(second >= first, F.lit(True))
+
+
 def relative_time(seconds: Column) -> Column:
     """Floor of seconds in the largest fitting unit."""
     unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(name))

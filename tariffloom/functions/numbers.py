@@ -25,10 +25,15 @@ def line_off(quantity: Column, price: Column, amount: Column) -> Column:
 
 
 def variance(checklist: Column, assessed: Column) -> Column:
-    """assessed less checklist, null if either is unknown; within one unit it counts as equal."""
+    """assessed less checklist, to two places; null if either is unknown."""
     return (assessed - checklist).cast("decimal(18,2)")
 
 
+def varies(checklist: Column, assessed: Column, tolerance: int = 1) -> Column:
+    """Whether they differ by more than ``tolerance`` units; null if either is unknown."""
+    return F.abs(variance(checklist, assessed)) > tolerance
+
+
 def rate_of_cell(cell: Column) -> Column:
     """The one rate that a cell states: ``Nil`` is 0; none for ``-``, for different stacked ones and for bare numbers."""
     tokens = F.filter(F.split(cell, " "), lambda t: t != "")

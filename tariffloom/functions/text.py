@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -91,6 +92,11 @@ def placeholder_branch(x: Column) -> Column:
     return F.coalesce(cell_value(x).isNull() | (cell_value(x) == "0"), F.lit(True))
 
 
+def branch_for_export(x: Column) -> Column:
+    """A branch name, null where it means nothing."""
+    return F.when(~placeholder_branch(x), F.trim(x))
+
+
 def memory_keys(importer: Column, description: Column) -> tuple[Column, Column]:
     return importer_key(importer), F.substring(squeezed(F.regexp_replace(F.upper(description), "[^A-Z0-9 ]", " ")), 1, 40)
 
@@ -142,14 +148,22 @@ def gstin_problems(gstin: Column, pan: Column, state: Column) -> Column:
     return F.array_compact(found)
 
 
-#: Letters with accents and what is left of them.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _decomposed() -> tuple[str, str]:
+    """Latin letters that canonical decomposition takes apart, and the letters left of them."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(x, d[0]) for x, d in pairs if len(d) > 1 and d[0].isascii() and d[0].isalpha()]
+    return "".join(x for x, _ in kept), "".join(d for _, d in kept)
+
+
+ACCENTED, PLAIN = _decomposed()
 
 
 def plain_key(x: Column) -> Column:
     """Accents off, upper case, other characters as single blanks."""
-    return F.trim(F.regexp_replace(F.upper(F.translate(x, ACCENTED, PLAIN)), "[^A-Z0-9]+", " "))
+    bare = F.regexp_replace(F.translate(x, ACCENTED, PLAIN), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(F.upper(bare), "[^A-Z0-9]+", " "))
 
 
 def pad8(x: Column) -> Column:
@@ -167,6 +181,16 @@ def hs_prefixes(code: Column, least: int = 2) -> Column:
     return F.transform(F.sequence(F.length(code), F.lit(least), F.lit(-1)), lambda n: F.substring(code, F.lit(1), n))
 
 
+def hs_lookup_keys(codes: Column, least: int = 2) -> Column:
+    """All prefixes of all codes of an array, each once, in the order of the codes."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(codes, lambda c: hs_code(c).isNotNull()), lambda c: hs_prefixes(hs_code(c), least))))
+
+
+def hs_matches_prefix(code: Column, prefix: Column, least: int = 2) -> Column:
+    bare = F.regexp_replace(prefix, "[^0-9]", "")
+    return F.coalesce((F.length(bare) >= least) & hs_code(code).startswith(bare), F.lit(False))
+
+
 def voyage(x: Column) -> Column:
     """What follows the first slash, else a last token that looks like a voyage number."""
     text = F.trim(x)
@@ -194,6 +218,76 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.translate(x, ACCENTED, PLAIN)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def safe_part(x: Column) -> Column:
+    """A part of a file name: other characters than letters, digits, dots, dashes and underscores become underscores."""
+    return F.regexp_replace(x, "[^A-Za-z0-9._-]+", "_")
+
+
+def storage_path(company: Column, job: Column, digest: Column, name: Column) -> Column:
+    """Where a document is stored: company, job, the digest's first characters and the safe name."""
+    return F.concat_ws("/", company, job, F.concat(F.substring(digest, 1, 12), F.lit("-"), safe_name(name)))
+
+
+def job_title(transport: Column, invoice: Column, fallback: Column) -> Column:
+    """By transport document, else by invoice, else the subject's first 120 characters."""
+    stated = lambda label, x: F.when(F.trim(x) != "", F.concat(F.lit(label), F.trim(x)))
+    return F.coalesce(stated("B/L ", transport), stated("Invoice ", invoice), F.when(F.trim(fallback) != "", F.substring(F.trim(fallback), 1, 120)), F.lit("Untitled job"))
+
+
+def tidy_code(x: Column, most: int = 16) -> Column:
+    """Upper case, other characters as single dashes, at most ``most`` characters without a dash at the end."""
+    dashed = F.regexp_replace(F.regexp_replace(F.upper(x), "[^A-Z0-9]+", "-"), "^-+|-+$", "")
+    cut = F.regexp_replace(F.substring(dashed, 1, most), "-+$", "")
+    return F.when(cut != "", cut).otherwise("CCR")
+
+
+def first_clause(x: Column, most: int = 72) -> Column:
+    """The first sentence or clause without its end mark, cut at a word to ``most`` characters."""
+    first = F.regexp_replace(F.trim(F.get(F.split(x, r"(?<=[.;])\s"), F.lit(0))), "[.;]+$", "")
+    cut = F.substring(first, 1, most)
+    word = F.regexp_extract(cut, r"(?s)^(.+) [^ ]*$", 1)
+    return F.when(F.length(first) <= most, first).when(word != "", word).otherwise(cut)
+
+
+def foreign_port(name: Column, code: Column) -> Column:
+    return F.concat(name, F.lit("("), code, F.lit(")"))
+
+
+def unlocode(x: Column, loose: Column) -> Column:
+    """The code in parentheses at the end, else the text if it is five letters, else ``loose``."""
+    text = F.trim(x)
+    inside = F.regexp_extract(text, r"\(([A-Za-z]{5})\)\s*$", 1)
+    return F.when(inside != "", F.upper(inside)).when(text.rlike("^[A-Za-z]{5}$"), F.upper(text)).otherwise(loose)
+
+
+#: Typographic signs and what they are written as.
+PUNCTUATION = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " "}
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
+ALLOWED = "ôéèíáãçüöäñåæøÅÉÈÍÁÃÇÜÖÄÑ"
+
+
+def _replaced(x: Column, pairs: dict[str, str]) -> Column:
+    return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs.items(), x)
+
+
+def prose(x: Column) -> Column:
+    return squeezed(_replaced(F.coalesce(x, F.lit("")), PUNCTUATION))
+
+
+def clean(x: Column) -> Column:
+    """Ligatures taken apart, white space collapsed; a character outside ASCII that isn't known raises."""
+    text = squeezed(_replaced(x, LIGATURES))
+    odd = F.regexp_extract(text, f"([^\\x00-\\x7e{ALLOWED}])", 1)
+    return F.when(odd == "", text).otherwise(F.raise_error(F.concat(F.lit("unknown character "), odd, F.lit(" in "), text)).cast("string"))
+
+
+def column_number(cell: Column) -> Column:
+    """The number of a cell reference's column: A1 is 1, AB7 is 28."""
+    letters = F.regexp_extract(F.upper(cell), "^([A-Z]+)[0-9]*$", 1)
+    number = F.aggregate(F.split(letters, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(acc * 26 + F.instr(F.lit(LETTERS), c)))
+    return F.when(letters != "", number)
+
+
 def escape_xml(x: Column) -> Column:
     pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, x)

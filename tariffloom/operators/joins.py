@@ -57,6 +57,23 @@ def first_match(pairs: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return pairs.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
+def recalled(asked: DataFrame, key: str, text: str, memory: DataFrame, known: str, order: str, importer: str = "importer", length: int = 20) -> DataFrame:
+    """asked with the first row of memory of the same importer and text, else (stage 2) the first where the first ``length`` characters of one text begin the other.
+
+    Texts of ``length`` or more meet by their first characters; shorter ones
+    meet the longer ones by the prefixes of their own length, which are few, so
+    every step is an equi-join. Only different texts meet, on both sides.
+    """
+    first = memory.groupBy(importer, known).agg(F.min_by(F.struct(*[c for c in memory.columns if c not in (importer, known)]), order).alias("__first")).select(importer, known, "__first.*")
+    texts = asked.select(importer, text).distinct()
+    a, m = texts.withColumn("__a", F.substring(text, 1, length)), first.withColumn("__m", F.substring(known, 1, length))
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
+    one = a.join(m.withColumn("__p", starts("__m")).drop("__m").withColumnRenamed("__p", "__a"), [importer, "__a"]).drop("__a")
+    two = a.withColumn("__p", starts("__a")).drop("__a").withColumnRenamed("__p", "__m").join(m, [importer, "__m"]).drop("__m")
+    pairs = one.unionByName(two).withColumn("stage", F.when(F.col(text) == F.col(known), 1).otherwise(2))
+    return asked.join(first_match(pairs, [importer, text], F.col("stage"), F.col(order)), [importer, text])
+
+
 def with_fallback(left: DataFrame, right: DataFrame, exact: list[str], wild: str, wild_value: str, value: str) -> DataFrame:
     """left with right's value at the exact key, else at the key whose ``wild`` column holds ``wild_value``."""
     rest = [c for c in exact if c != wild]

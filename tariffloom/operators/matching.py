@@ -23,9 +23,9 @@ def scores(ids: DataFrame, known: DataFrame) -> DataFrame:
 def decisions(ids: DataFrame, scored: DataFrame) -> DataFrame:
     """(message, decision, job, score): attach to the one best job that reaches the threshold; ambiguous if several tie; by thread alone only without a strong identifier and if one job has it."""
     messages = ids.groupBy("message").agg(F.bool_or(F.col("kind").isin(*STRONG)).alias("strong"))
-    top = scored.groupBy("message").agg(F.max("score").alias("top"), F.count_if("thread").alias("threads"), F.min(F.when(F.col("thread"), F.col("job"))).alias("thread_job"))
-    best = scored.join(top.select("message", "top"), "message").where("score = top").groupBy("message").agg(F.count("*").alias("n"), F.min("job").alias("best"))
-    joined = messages.join(top, "message", "left").join(best, "message", "left")
+    ties = scored.groupBy("message", "score").agg(F.count("*").alias("n"), F.min("job").alias("best"), F.count_if("thread").alias("t"), F.min(F.when(F.col("thread"), F.col("job"))).alias("tj"))
+    top = ties.groupBy("message").agg(F.max("score").alias("top"), F.max_by("n", "score").alias("n"), F.max_by("best", "score").alias("best"), F.sum("t").alias("threads"), F.min("tj").alias("thread_job"))
+    joined = messages.join(top, "message", "left")
     reached = F.coalesce(F.col("top"), F.lit(0)) >= NEEDED
     thread = ~reached & ~F.col("strong") & (F.col("threads") == 1)
     decision = F.when(reached & (F.col("n") > 1), "ambiguous").when(reached | thread, "attach").otherwise("none")
@@ -33,19 +33,38 @@ def decisions(ids: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.select("message", decision.alias("decision"), job.alias("job"), F.coalesce("top", F.lit(0)).cast("long").alias("score"))
 
 
+def similar_keys(asked: DataFrame, asked_id: str, master: DataFrame, master_id: str, least: int) -> DataFrame:
+    """(asked_id, master_id, sim) of the pairs of keys whose 3-gram sets have a Jaccard similarity, in ten thousandths, of ``least`` or more.
+
+    Two such sets share one of their rarest grams: of n grams the rarest
+    n - least * n + 1 are enough. Only these meet in the join, so grams that
+    every name has bring no pairs together.
+    """
+    sides = [f.select(F.col(i).alias("id"), trigrams(F.col("key")).alias("g")) for f, i in ((asked, asked_id), (master, master_id))]
+    grams = [f.select("id", F.explode("g").alias("t")) for f in sides]
+    often = grams[1].groupBy("t").agg(F.count("*").alias("n"))  # bounded by the number of different grams
+    enough = F.size("s") - F.ceil(F.size("s") * least / 10000).cast("int") + 1
+    rare = []
+    for f in grams:
+        sorted_ = f.join(often, "t", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("s"))
+        rare.append(sorted_.select("id", F.explode(F.slice("s", F.lit(1), enough)).alias("x")).select("id", "x.t"))
+    pairs = rare[0].withColumnRenamed("id", asked_id).join(rare[1].withColumnRenamed("id", master_id), "t").select(asked_id, master_id).distinct()
+    sized = pairs.join(sides[0].toDF(asked_id, "g"), asked_id).join(sides[1].toDF(master_id, "h"), master_id)
+    both = F.size(F.array_intersect("g", "h"))
+    sim = F.floor(both * 10000 / (F.size("g") + F.size("h") - both)).cast("bigint")
+    return sized.select(asked_id, master_id, sim.alias("sim")).where(F.col("sim") >= least)
+
+
 def resolve_parties(stated: DataFrame, stated_id: str, master: DataFrame, master_id: str, least: int = 5500, margin: int = 10) -> DataFrame:
     """(stated_id, status, master_id) by name key: exact if one party has it, ambiguous if more; else the one of 3-gram similarity (in ten thousandths) ``least`` or more without another within ``margin``.
 
-    Candidates come from an inverted index of 3-grams over distinct keys.
+    Candidates come from ``similar_keys`` over distinct keys.
     """
     keys = master.groupBy("key").agg(F.min(master_id).alias(master_id), F.count("*").alias("n"))
     asked = stated.select(stated_id, "key")
     exact = asked.join(keys, "key").select(stated_id, F.col("n").alias("exact"), F.col(master_id).alias("exact_party"))
-    left = asked.select("key").distinct().select("key", trigrams(F.col("key")).alias("g"))
-    right = keys.select(F.col("key").alias("other"), master_id, "n", trigrams(F.col("key")).alias("h"))
-    shared = left.select("key", F.explode("g").alias("t")).join(right.select("other", F.explode("h").alias("t")), "t").groupBy("key", "other").agg(F.count("*").alias("both"))
-    sized = shared.join(left.select("key", F.size("g").alias("a")), "key").join(right.select("other", master_id, "n", F.size("h").alias("b")), "other")
-    near = sized.withColumn("sim", F.floor(F.col("both") * 10000 / (F.col("a") + F.col("b") - F.col("both"))))
+    names = asked.select("key").distinct().withColumn("asked_key", F.col("key"))
+    near = similar_keys(names, "asked_key", keys.withColumn("other", F.col("key")), "other", least - margin).join(keys.withColumnRenamed("key", "other"), "other").withColumnRenamed("asked_key", "key")
     best = near.groupBy("key").agg(F.max("sim").alias("best"))
     close = near.join(best, "key").where(F.col("sim") >= F.col("best") - margin).groupBy("key", "best").agg(F.sum("n").alias("close"), F.min(master_id).alias("fuzzy_party"))
     joined = asked.join(exact, stated_id, "left").join(close, "key", "left")

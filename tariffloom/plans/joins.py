@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_key, trigrams
+from ..functions.text import match_key
 from ..operators import joins as J
+from ..operators.matching import similar_keys
 from .fixture import AS_OF, HS_SQL, hs, table
 
 
@@ -20,7 +21,7 @@ def overlay_masters(spark, sf_dir: str) -> DataFrame:
 def merged_ports(spark, sf_dir: str) -> DataFrame:
     """Curated and generated masters by key, aliases united."""
     curated = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string"))).alias("aliases"))
-    generated = table(spark, sf_dir, "customer").where("c_custkey < 40").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("C-"), F.col("c_custkey").cast("string"))).alias("aliases"))
+    generated = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("C-"), F.col("c_custkey").cast("string"))).alias("aliases"))
     return J.merged_masters(curated, generated, "code")
 
 
@@ -111,13 +112,10 @@ def loose_port(spark, sf_dir: str) -> DataFrame:
 
 
 def memory_recall(spark, sf_dir: str) -> DataFrame:
-    """What is known of a product: by importer and description, else by importer and the first eight characters either way."""
+    """What is known of a product: by importer and description, else by importer where the first twenty characters of one begin the other."""
     memory = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 10).alias("importer"), F.substring("p_name", 1, 40).alias("known"), hs("p_partkey").alias("ritc"))
-    asked = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", ((F.col("p_partkey") + 10) % 10).alias("importer"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" grade"))).alias("asked"))
-    exact = asked.join(memory, (asked.importer == memory.importer) & (F.col("asked") == F.col("known")))
-    near = asked.join(memory, (asked.importer == memory.importer) & (F.substring("asked", 1, 8) == F.substring("known", 1, 8)))
-    both = exact.select("p_partkey", "asked", "pos", "ritc", F.lit(1).alias("stage")).unionByName(near.select("p_partkey", "asked", "pos", "ritc", F.lit(2).alias("stage")))
-    return J.first_match(both, ["p_partkey"], F.col("stage"), F.col("pos")).select("p_partkey", "asked", "stage", "pos", "ritc")
+    asked = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("importer"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" grade"))).otherwise(F.substring("p_name", 1, 12)).alias("asked"))
+    return J.recalled(asked, "p_partkey", "asked", memory, "known", "pos").select("p_partkey", "asked", "stage", "pos", "ritc")
 
 
 def conditions_in_order(spark, sf_dir: str) -> DataFrame:
@@ -139,14 +137,13 @@ def star_summary(spark, sf_dir: str) -> DataFrame:
 
 
 def party_trigrams(spark, sf_dir: str) -> DataFrame:
-    """For each supplier the three most similar customers by shared 3-grams; pairs come from an equi-join on grams."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select("s_suppkey", trigrams(F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))).alias("g"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", trigrams(F.col("c_name")).alias("h"))
-    shared = s.select("s_suppkey", F.explode("g").alias("t")).join(c.select("c_custkey", F.explode("h").alias("t")), "t").groupBy("s_suppkey", "c_custkey").agg(F.count("*").alias("both"))
-    sized = shared.join(s.select("s_suppkey", F.size("g").alias("a")), "s_suppkey").join(c.select("c_custkey", F.size("h").alias("b")), "c_custkey")
-    score = F.floor(F.col("both") * 10000 / (F.col("a") + F.col("b") - F.col("both"))).cast("bigint")
-    w = Window.partitionBy("s_suppkey").orderBy(F.desc("score"), "c_custkey")
-    return sized.withColumn("score", score).withColumn("k", F.row_number().over(w)).where("k <= 3").select("s_suppkey", "c_custkey", "score")
+    """For each asked name the three most similar ones of the master, by shared 3-grams."""
+    p = table(spark, sf_dir, "part")
+    names = p.groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("p_partkey"))
+    asked = p.groupBy(F.concat("p_name", F.lit(" co")).alias("key")).agg(F.max("p_partkey").alias("asked"))
+    near = similar_keys(asked, "asked", names, "p_partkey", 5000)
+    w = Window.partitionBy("asked").orderBy(F.desc("sim"), "p_partkey")
+    return near.withColumn("k", F.row_number().over(w)).where("k <= 3").select("asked", "p_partkey", F.col("sim").alias("score"))
 
 
 _LONG = "regexp_replace({}, '[^0-9]', '', 'g')"
@@ -155,7 +152,7 @@ _GRAMS = "list_distinct(list_transform(range(1, length('  ' || {0} || ' ') - 1),
 QUERIES = {f.__name__: f for f in (overlay_masters, merged_ports, semi_pending, anti_new_docs, batch_is_known, lookup_with_default, validity_join, rate_fallback, chapter_rule, alias_join, containment_join, loose_port, memory_recall, conditions_in_order, star_summary, party_trigrams)}
 SQL = {
     "overlay_masters": "SELECT s_suppkey AS key, s_name AS name, 'overlay' AS origin FROM supplier UNION ALL SELECT c_custkey, c_name, 'seed' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
-    "merged_ports": """WITH a AS (SELECT s_suppkey AS code, s_name AS name, ['S-' || s_suppkey] AS aliases FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT c_custkey AS code, c_name AS name, ['C-' || c_custkey] AS aliases FROM customer WHERE c_custkey < 40)
+    "merged_ports": """WITH a AS (SELECT s_suppkey AS code, s_name AS name, ['S-' || s_suppkey] AS aliases FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT c_custkey AS code, c_name AS name, ['C-' || c_custkey] AS aliases FROM customer)
 SELECT coalesce(a.code, b.code) AS code, coalesce(a.name, b.name) AS name,
   list_sort(list_distinct(list_concat(coalesce(a.aliases, []), coalesce(b.aliases, []), CASE WHEN a.name <> b.name THEN [b.name] ELSE [] END))) AS aliases FROM a FULL JOIN b ON a.code = b.code""",
     "semi_pending": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
@@ -181,13 +178,13 @@ SELECT c_custkey, asked, s_suppkey FROM a JOIN k ON k.k = {_MK.format('asked')}"
     "loose_port": r"""WITH t AS (SELECT c_custkey, 'vessel at nation ' || (c_custkey % 30) || ' / india' AS place FROM customer), p AS (SELECT replace(n_name, '_', ' ') AS port FROM nation)
 SELECT c_custkey, place, port FROM t JOIN p ON contains(' ' || regexp_replace(upper(place), '[^A-Z0-9]+', ' ', 'g') || ' ', ' ' || port || ' ') QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(port) DESC, port) = 1""",
     "memory_recall": f"""WITH m AS (SELECT p_partkey AS pos, p_partkey % 10 AS importer, left(p_name, 40) AS known, {HS_SQL.format('p_partkey')} AS ritc FROM part),
-a AS (SELECT p_partkey, (p_partkey + 10) % 10 AS importer, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' grade' END AS asked FROM part WHERE p_partkey % 3 = 0)
-SELECT p_partkey, asked, CASE WHEN asked = known THEN 1 ELSE 2 END AS stage, pos, ritc FROM a JOIN m ON a.importer = m.importer AND left(asked, 8) = left(known, 8)
-QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN asked = known THEN 1 ELSE 2 END, pos) = 1""",
+a AS (SELECT p_partkey, p_partkey % 10 AS importer, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' grade' ELSE left(p_name, 12) END AS asked FROM part),
+x AS (SELECT p_partkey, asked, CASE WHEN asked = known THEN 1 ELSE 2 END AS stage, pos, ritc FROM a JOIN m USING (importer) WHERE asked = known OR starts_with(asked, left(known, 20)) OR starts_with(known, left(asked, 20)))
+SELECT p_partkey, asked, stage, pos, ritc FROM x QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY stage, pos) = 1""",
     "conditions_in_order": "SELECT o_orderkey, string_agg(n_name, ',' ORDER BY pos) AS names FROM (SELECT o_orderkey, unnest([o_orderkey % 25, o_orderkey % 7, o_orderkey % 40]) AS no, unnest([0, 1, 2]) AS pos FROM orders) JOIN nation ON no = n_nationkey GROUP BY o_orderkey",
     "star_summary": """SELECT o_orderkey, coalesce(c_name, 'Untitled') AS title, coalesce(n_items, 0) AS n_items, coalesce(n_open, 0) AS n_open FROM orders
 LEFT JOIN (SELECT l_orderkey, count(*) AS n_items, count(*) FILTER (l_linestatus = 'O') AS n_open FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey""",
-    "party_trigrams": f"""WITH s AS (SELECT s_suppkey, {_GRAMS.format("('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0'))")} AS g FROM supplier WHERE s_suppkey % 5 = 0), c AS (SELECT c_custkey, {_GRAMS.format('c_name')} AS h FROM customer),
-x AS (SELECT s_suppkey, c_custkey, len(g) AS a, len(h) AS b, len(list_intersect(g, h)) AS n FROM s, c)
-SELECT s_suppkey, c_custkey, (n * 10000 // (a + b - n))::BIGINT AS score FROM x WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY n * 10000 // (a + b - n) DESC, c_custkey) <= 3""",
+    "party_trigrams": f"""WITH s AS (SELECT max(p_partkey) AS asked, {_GRAMS.format("(p_name || ' co')")} AS g FROM part GROUP BY p_name), c AS (SELECT min(p_partkey) AS p_partkey, {_GRAMS.format('p_name')} AS h FROM part GROUP BY p_name),
+x AS (SELECT asked, p_partkey, floor(len(list_intersect(g, h)) * 10000 / (len(g) + len(h) - len(list_intersect(g, h))))::BIGINT AS score FROM s, c)
+SELECT asked, p_partkey, score FROM x WHERE score >= 5000 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, p_partkey) <= 3""",
 }

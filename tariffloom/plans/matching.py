@@ -18,14 +18,14 @@ def _kind(key: str):
 
 def known_identifiers(spark, sf_dir: str) -> DataFrame:
     """(job, kind, value) of what jobs are known by, from parts ordered."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
-    return li.select(F.col("l_orderkey").alias("job"), _kind("l_suppkey").alias("kind"), F.concat(F.lit("V"), (F.col("l_partkey") % 4999).cast("string")).alias("value")).distinct()
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("job"), _kind("l_suppkey").alias("kind"), F.concat(F.lit("V"), F.col("l_partkey").cast("string")).alias("value")).distinct()
 
 
 def message_identifiers(spark, sf_dir: str) -> DataFrame:
     """(message, kind, value) from orders, with repeats."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
-    values = F.array((F.col("o_custkey") % 4999), (F.col("o_orderkey") % 4999), (F.col("o_orderkey") % 4999))
+    o = table(spark, sf_dir, "orders")
+    values = F.array("o_custkey", "o_orderkey", "o_orderkey")
     made = o.select(F.col("o_orderkey").alias("message"), F.posexplode(values).alias("p", "v"))
     return made.select("message", F.element_at(F.array(*map(F.lit, _KINDS)), ((F.col("message") + F.col("p")) % 6 + 1).cast("int")).alias("kind"), F.concat(F.lit("V"), F.col("v").cast("string")).alias("value"))
 
@@ -66,8 +66,8 @@ def attachment_skips(spark, sf_dir: str) -> DataFrame:
 
 
 _KIND_SQL = "(['container','bl','awb','invoice','conversation','po'])[({} % 6 + 1)::INT]"
-_BASE = f"""known AS (SELECT DISTINCT l_orderkey AS job, {_KIND_SQL.format('l_suppkey')} AS kind, 'V' || (l_partkey % 4999) AS value FROM lineitem WHERE l_orderkey % 3 = 0),
-raw AS (SELECT o_orderkey AS message, unnest([o_custkey % 4999, o_orderkey % 4999, o_orderkey % 4999]) AS v, unnest([0, 1, 2]) AS p FROM orders WHERE o_orderkey % 5 = 0),
+_BASE = f"""known AS (SELECT DISTINCT l_orderkey AS job, {_KIND_SQL.format('l_suppkey')} AS kind, 'V' || l_partkey AS value FROM lineitem),
+raw AS (SELECT o_orderkey AS message, unnest([o_custkey, o_orderkey, o_orderkey]) AS v, unnest([0, 1, 2]) AS p FROM orders),
 ids AS (SELECT DISTINCT message, {_KIND_SQL.format('(message + p)')} AS kind, 'V' || v AS value FROM raw),
 scores AS (SELECT message, job, sum(CASE kind WHEN 'container' THEN 5 WHEN 'bl' THEN 5 WHEN 'awb' THEN 5 WHEN 'invoice' THEN 4 WHEN 'conversation' THEN 3 ELSE 2 END)::BIGINT AS score, count(*) AS matched, bool_or(kind = 'conversation') AS thread
   FROM ids JOIN known USING (kind, value) GROUP BY message, job)"""

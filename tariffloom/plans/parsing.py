@@ -60,7 +60,7 @@ def serial_gaps(spark, sf_dir: str) -> DataFrame:
 def amended_entries(spark, sf_dir: str) -> DataFrame:
     """Parts as entries, line items as their amendments in the order of ship date."""
     entries = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 30).alias("rate"))
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0")
+    li = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_quantity") > 49, "omit").when(F.col("l_quantity") > 30, "rate").when(F.col("l_quantity") > 15, "sunset").when(F.col("l_quantity") < 3, "other")
     value = F.when(F.col("l_quantity") > 30, F.col("l_quantity").cast("int").cast("string")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
     seq = F.concat_ws("/", F.date_format("l_shipdate", "yyyy-MM-dd"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lpad((F.col("l_extendedprice") * 100).cast("long").cast("string"), 12, "0"))
@@ -90,7 +90,7 @@ SELECT conv_id, entry::INT AS entry, min(turn) AS pos, count(*) AS n, md5(string
     "serial_gaps": """WITH c AS (SELECT l_orderkey, l_linenumber::BIGINT AS serial, count(*) AS n FROM lineitem GROUP BY ALL), w AS (SELECT l_orderkey, unnest(range(1, max(serial) + 1)) AS serial FROM c GROUP BY l_orderkey)
 SELECT l_orderkey, serial, 'missing' AS problem FROM w ANTI JOIN c USING (l_orderkey, serial) UNION ALL SELECT l_orderkey, serial, 'repeated' FROM c WHERE n > 1""",
     "amended_entries": """WITH c AS (SELECT l_partkey AS p_partkey, CASE WHEN l_quantity > 49 THEN 'omit' WHEN l_quantity > 30 THEN 'rate' WHEN l_quantity > 15 THEN 'sunset' WHEN l_quantity < 3 THEN 'other' END AS action,
-   CASE WHEN l_quantity > 30 THEN l_quantity::INT::VARCHAR ELSE strftime(l_shipdate, '%Y-%m-%d') END AS value, concat_ws('/', strftime(l_shipdate, '%Y-%m-%d'), lpad(l_orderkey::VARCHAR, 9, '0'), lpad(l_linenumber::VARCHAR, 3, '0'), lpad(l_suppkey::VARCHAR, 6, '0'), lpad(trunc(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0')) AS seq FROM lineitem WHERE l_orderkey % 9 = 0),
+   CASE WHEN l_quantity > 30 THEN l_quantity::INT::VARCHAR ELSE strftime(l_shipdate, '%Y-%m-%d') END AS value, concat_ws('/', strftime(l_shipdate, '%Y-%m-%d'), lpad(l_orderkey::VARCHAR, 9, '0'), lpad(l_linenumber::VARCHAR, 3, '0'), lpad(l_suppkey::VARCHAR, 6, '0'), lpad(trunc(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0')) AS seq FROM lineitem),
 a AS (SELECT p_partkey, arg_max(value, seq) FILTER (action = 'rate') AS rate, arg_max(value, seq) FILTER (action = 'sunset') AS until, bool_or(action = 'omit') AS omitted, bool_or(action = 'other') AS stale FROM c WHERE action IS NOT NULL GROUP BY p_partkey)
 SELECT p_partkey, coalesce(rate, (p_size % 30)::VARCHAR) AS rate, until, coalesce(stale, false) AS stale FROM part LEFT JOIN a USING (p_partkey) WHERE NOT coalesce(omitted, false)""",
     "media_types": "SELECT page_id, (['application/pdf', 'image/png', 'image/jpeg', 'application/zip', NULL])[(page_id % 5 + 1)::INT] AS type FROM pages",

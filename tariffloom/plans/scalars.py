@@ -135,8 +135,8 @@ FILES = ["Invoice #12 (final).pdf", "..", "été & hiver.PDF", "a/b\\c", "-x-"]
 
 
 def names_and_columns(spark, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "orders").where("o_orderkey < 1000 AND o_orderkey > 0").select("o_orderkey", _pick(FILES, "o_orderkey").alias("raw"))
-    return s.select("o_orderkey", T.safe_name(F.col("raw")).alias("file"), T.slug(F.col("raw")).alias("slug"), T.escape_xml(F.col("raw")).alias("xml"), T.column_letter(F.col("o_orderkey")).alias("letter"))
+    s = table(spark, sf_dir, "orders").select("o_orderkey", _pick(FILES, "o_orderkey").alias("raw"))
+    return s.select("o_orderkey", T.safe_name(F.col("raw")).alias("file"), T.slug(F.col("raw")).alias("slug"), T.escape_xml(F.col("raw")).alias("xml"), T.column_letter(F.col("o_orderkey") % 18278 + 1).alias("letter"))
 
 
 def day_functions(spark, sf_dir: str) -> DataFrame:
@@ -216,7 +216,7 @@ SELECT s_suppkey, s.raw, size, type, iso FROM s LEFT JOIN (VALUES ('40SD96', '40
     "hs_functions": f"""WITH p AS (SELECT p_partkey, left({HS_SQL.format('p_partkey')}, (p_partkey % 9)::INT) AS raw FROM part)
 SELECT p_partkey, CASE WHEN length(raw) BETWEEN 1 AND 8 THEN rpad(raw, 8, '0') END AS pad8, CASE WHEN length(raw) >= 4 THEN raw END AS code, CASE WHEN length(raw) >= 2 THEN array_to_string(list_transform(range(length(raw), 1, -1), lambda n: left(raw, n)), '>') END AS prefixes FROM p""",
     "voyages": f"SELECT s_suppkey, {_pick_sql(VESSELS, 's_suppkey')} AS raw, (['02621/N', NULL, '023W', '17E', NULL, NULL])[(s_suppkey % 6 + 1)::INT] AS voyage FROM supplier",
-    "names_and_columns": f"""WITH o AS (SELECT o_orderkey, {_pick_sql(FILES, 'o_orderkey')} AS raw, o_orderkey AS n FROM orders WHERE o_orderkey > 0 AND o_orderkey < 1000)
+    "names_and_columns": f"""WITH o AS (SELECT o_orderkey, {_pick_sql(FILES, 'o_orderkey')} AS raw, o_orderkey % 18278 + 1 AS n FROM orders)
 SELECT o_orderkey, left(coalesce(nullif(regexp_replace(regexp_replace(raw, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'document'), 120) AS file,
  regexp_replace(regexp_replace(lower(strip_accents(raw)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, replace(replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml,
  CASE WHEN n > 702 THEN chr((65 + (n - 703) // 676)::INT) ELSE '' END || CASE WHEN n > 26 THEN chr((65 + ((n - 1) // 26 - 1) % 26)::INT) ELSE '' END || chr((65 + (n - 1) % 26)::INT) AS letter FROM o""",

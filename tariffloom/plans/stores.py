@@ -15,7 +15,7 @@ def _stored(spark, sf_dir: str) -> DataFrame:
 
 
 def _incoming(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"), "o_orderkey")
+    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value"), "o_orderkey")
 
 
 def insert_new(spark, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def vector_topk(spark, sf_dir: str) -> DataFrame:
     return nearest(e, queries, 6).select("query_id", "vec_id", "place", F.round("score", 4).alias("score"))
 
 
-_S = "s AS (SELECT c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 3 > 0), i AS (SELECT o_custkey AS key, o_orderpriority AS value, o_orderkey FROM orders WHERE o_orderkey % 50 = 0), l AS (SELECT key, arg_max(value, o_orderkey) AS value FROM i GROUP BY key)"
+_S = "s AS (SELECT c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 3 > 0), i AS (SELECT o_custkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS value, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'), l AS (SELECT key, arg_max(value, o_orderkey) AS value FROM i GROUP BY key)"
 _SNAP = f"WITH {_S}, x AS (SELECT coalesce(s.key, l.key) AS key, CASE WHEN l.key IS NULL THEN s.value ELSE l.value END AS value, l.key IS NOT NULL AS is_active, CASE WHEN l.key IS NULL THEN 'retired' WHEN s.key IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM s FULL JOIN l ON s.key = l.key)"
 QUERIES = {f.__name__: f for f in (insert_new, replace_rows, snapshot_import, import_metrics, next_versions, tombstones, after_deletion, edited_matrix, unique_file_names, guarded_status, tenant_rows, path_tenants, rule_violations, vector_topk)}
 SQL = {

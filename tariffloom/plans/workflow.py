@@ -45,11 +45,11 @@ def latest_event(spark, sf_dir: str) -> DataFrame:
 
 
 def job_states(spark, sf_dir: str) -> DataFrame:
-    return W.replayed(table(spark, sf_dir, "events").where("event_id % 3 = 0"), "user_id", "ts", "event_id", "event_type", "open", MOVES)
+    return W.replayed(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type", "open", MOVES)
 
 
 def _jobs(spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderdate BETWEEN '1997-11-01' AND '1998-02-01'")
+    o = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     pick = lambda n, m: F.col("o_orderkey") % n == m
     return o.select(
@@ -69,7 +69,7 @@ def alert_board(spark, sf_dir: str) -> DataFrame:
 
 
 def _clearances(spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderdate BETWEEN '1997-11-01' AND '1998-02-01'")
+    o = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     pick = lambda n, m: F.col("o_orderkey") % n == m
     return o.select("o_orderkey", pick(7, 0).alias("variance_open"), F.when(pick(3, 0), F.date_sub(_as_of(), (F.col("o_orderkey") % 8).cast("int"))).alias("query_opened"), (F.col("o_orderkey") % 2).cast("int").alias("pending_nocs"), F.when(pick(5, 1), "out_of_charge").otherwise("passing").alias("status"), F.when(pick(4, 0), day).alias("planned_for"), pick(2, 0).alias("duty_paid"))
@@ -131,7 +131,7 @@ def urgent(spark, sf_dir: str) -> DataFrame:
 
 _JOBS = f"""jobs AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS eta, o_orderkey % 3 = 0 AS scrutinised, CASE WHEN o_orderkey % 10 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE END AS returned_on,
   CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 14)::INT END AS free_days, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 2 END AS free_from, CASE WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE + 5 END AS delivered_at, (o_orderkey % 3)::INT AS deposits_open, CASE WHEN o_orderkey % 2 = 1 THEN o_orderdate::DATE + 20 END AS valid_until
-  FROM orders WHERE o_orderdate BETWEEN '1997-11-01' AND '1998-02-01'),
+  FROM orders),
 due AS (SELECT o_orderkey, 'invoice_call' AS kind, eta - 1 AS due_on, 1 AS within, 3 AS ahead FROM jobs WHERE NOT scrutinised AND status <> 'closed'
   UNION ALL SELECT o_orderkey, 'free_time', coalesce(free_from, eta) + free_days, 3, 3 FROM jobs WHERE returned_on IS NULL
   UNION ALL SELECT o_orderkey, 'deposit_refund', delivered_at + 15, 3, 15 FROM jobs WHERE deposits_open > 0
@@ -146,12 +146,12 @@ SELECT ordinal, d.stage, coalesce(n, 0) AS n FROM (VALUES (0, 'new'), (1, 'docum
     "documents_per_job": "SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'A' GROUP BY o_orderkey",
     "latest_draft": "SELECT l_orderkey, l_shipdate::DATE AS day, l_partkey AS part, versions FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS versions, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) AS k FROM lineitem) WHERE k = 1",
     "latest_event": "SELECT user_id, event_type, event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "job_states": f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id % 3 = 0),
+    "job_states": f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 r AS (SELECT user_id, 0::BIGINT AS k, n, 'open' AS state FROM e WHERE k = 1 UNION ALL SELECT r.user_id, r.k + 1, r.n, CASE r.state || '>' || e.event_type {_STEP} ELSE r.state END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, state, n::INT AS n_events FROM r WHERE k = n""",
     "delivery_alerts": f"WITH {_JOBS} SELECT o_orderkey, kind, due_on, days_left, level FROM alerts",
     "alert_board": f"WITH {_JOBS} SELECT o_orderkey, (['soon','due','overdue'])[max({_RANK})] AS worst, count(*) AS n_alerts, min(days_left) AS days_left FROM alerts GROUP BY o_orderkey",
-    "clearance_alerts": f"""WITH j AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % 5 = 1 AS out FROM orders WHERE o_orderdate BETWEEN '1997-11-01' AND '1998-02-01')
+    "clearance_alerts": f"""WITH j AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % 5 = 1 AS out FROM orders)
 SELECT o_orderkey, 'duty_variance' AS kind, 'overdue' AS level FROM j WHERE o_orderkey % 7 = 0
 UNION ALL SELECT o_orderkey, 'query', CASE WHEN o_orderkey % 8 >= 4 THEN 'overdue' ELSE 'due' END FROM j WHERE o_orderkey % 3 = 0 AND o_orderkey % 8 >= 2
 UNION ALL SELECT o_orderkey, 'certificate', CASE WHEN out THEN 'due' ELSE 'soon' END FROM j WHERE o_orderkey % 2 = 1
