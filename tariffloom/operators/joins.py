@@ -30,10 +30,11 @@ def most_specific(matches: DataFrame, code: str) -> DataFrame:
     return matches.groupBy(code).agg(F.min_by("pos", F.struct(-F.col("len"), "pos")).alias("pos"), F.max("len").alias("len"))
 
 
-def unique_prefix(codes: DataFrame, code: str, master: DataFrame, key: str, length: int = 6) -> DataFrame:
-    """Codes with the key of the master row that alone begins with their first ``length`` digits."""
-    by_prefix = master.groupBy(F.substring(key, 1, length).alias("p")).agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n = 1").drop("n")
-    return codes.join(by_prefix, F.substring(F.col(code), 1, length) == F.col("p"), "left").drop("p")
+def unique_prefix(codes: DataFrame, code: str, master: DataFrame, key: str, lengths: tuple[int, ...] = (4, 5, 6, 7, 8)) -> DataFrame:
+    """Codes with the key of the master row that alone begins with them; none for codes of fewer digits. The master's prefixes of these lengths make it an equi-join."""
+    prefixes = F.explode(F.array(*[F.substring(key, 1, n) for n in lengths])).alias("__p")
+    by_prefix = master.select(key, prefixes).distinct().groupBy("__p").agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n = 1").drop("n")
+    return codes.join(by_prefix, (F.col(code) == F.col("__p")) & (F.length(code) >= min(lengths)), "left").drop("__p")
 
 
 def asof(facts: DataFrame, day: str, history: DataFrame, since: str, keys: list[str], values: list[str]) -> DataFrame:

@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import state_stem
 from ..functions.text import branch_for_export, cell_value, party_cell, party_key, plain_key, trigrams
 
-#: Forms of a state around its name, the longest first.
-STATE_FORMS = (
-    "DEMOCRATIC PEOPLE S REPUBLIC OF", "PEOPLE S DEMOCRATIC REPUBLIC OF", "CO OPERATIVE REPUBLIC OF", "BOLIVARIAN REPUBLIC OF", "PLURINATIONAL STATE OF", "FEDERATIVE REPUBLIC OF", "SOCIALIST REPUBLIC OF",
-    "ISLAMIC REPUBLIC OF", "FEDERAL REPUBLIC OF", "PEOPLE S REPUBLIC OF", "ORIENTAL REPUBLIC OF", "UNITED REPUBLIC OF", "ARAB REPUBLIC OF", "GRAND DUCHY OF", "COMMONWEALTH OF", "PRINCIPALITY OF",
-    "SULTANATE OF", "REPUBLIC OF", "KINGDOM OF", "STATE OF", "UNION OF",
-)
-AMBIGUOUS_STEMS = ("CHINA", "KOREA", "CONGO")
-
-
-def country_stem(key: Column) -> Column:
-    """A country's name key without the form of its state; null if there is none, or if the form tells two states apart."""
-    forms = "|".join(STATE_FORMS)
-    stem = F.regexp_replace(F.when(key.rlike(f"^(?:{forms}) "), F.regexp_replace(key, f"^(?:{forms}) ", "")).when(key.rlike(f" (?:{forms})$"), F.regexp_replace(key, f" (?:{forms})$", "")), "^THE ", "")
-    return F.when((stem != "") & ~stem.isin(*AMBIGUOUS_STEMS), stem)
-
-
 def country_codes(rows: DataFrame, text: str, countries: DataFrame) -> DataFrame:
     """rows with ``iso2`` of the country that ``text`` names or codes; null if none.
 
@@ -39,7 +24,7 @@ def country_codes(rows: DataFrame, text: str, countries: DataFrame) -> DataFrame
     raw, key = F.trim(text), plain_key(F.col(text))
     bare = F.regexp_replace(key, "^THE ", "")
     two = raw.rlike("^[A-Za-z]{2}$")
-    ways = [(0, "2", F.when(two, F.upper(raw))), (1, "3", F.when(raw.rlike("^[A-Za-z]{3}$"), F.upper(raw))), (2, "n", F.when(~two, key)), (3, "n", F.when(~two, bare)), (4, "n", F.when(~two, country_stem(bare)))]
+    ways = [(0, "2", F.when(two, F.upper(raw))), (1, "3", F.when(raw.rlike("^[A-Za-z]{3}$"), F.upper(raw))), (2, "n", F.when(~two, key)), (3, "n", F.when(~two, bare)), (4, "n", F.when(~two, state_stem(bare)))]
     tried = asked.select(text, F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(h).alias("how"), k.alias("key")) for r, h, k in ways])).alias("w")).select(text, "w.*").where("key != ''")
     found = tried.join(index, ["how", "key"]).groupBy(text).agg(F.min_by("iso2", "rank").alias("iso2"))
     return rows.join(found, text, "left")

@@ -12,10 +12,16 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def triples(rows: DataFrame, key: str, code: str) -> DataFrame:
-    """Three lines in a row of which the second is a code: (key, pos, name, code, place)."""
+    """Three lines in a row of which the second is a code: (key, pos, name, code, place); after a hit the search goes on behind its three lines.
+
+    The hits of a text meet in one array, which its own length bounds.
+    """
     w = Window.partitionBy(key).orderBy("pos")
     seen = rows.withColumn("second", F.lead("line", 1).over(w)).withColumn("third", F.lead("line", 2).over(w))
-    return seen.where(F.col("second").rlike(code) & F.col("third").isNotNull()).select(key, "pos", F.col("line").alias("name"), F.col("second").alias("code"), F.col("third").alias("place"))
+    hits = seen.where(F.col("second").rlike(code) & F.col("third").isNotNull()).select(key, F.struct("pos", F.col("line").alias("name"), F.col("second").alias("code"), F.col("third").alias("place")).alias("h"))
+    listed = hits.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias("h")).withColumn("none", F.slice("h", 1, 0))
+    apart = F.aggregate("h", F.col("none"), lambda acc, h: F.when((F.size(acc) == 0) | (h["pos"] >= F.element_at(acc, -1)["pos"] + 3), F.array_append(acc, h)).otherwise(acc))
+    return listed.select(key, F.explode(apart).alias("h")).select(key, "h.*")
 
 
 def folded(rows: DataFrame, key: str, starts: Column) -> DataFrame:

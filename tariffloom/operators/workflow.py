@@ -44,19 +44,25 @@ def worst_level(alerts: DataFrame, key: str) -> DataFrame:
 
 
 def clearance_alerts(jobs: DataFrame, key: str, as_of: Column) -> DataFrame:
-    """(key, kind, level) of the five kinds: open duty variance, old queries, pending certificates, delivery plans, goods out without paid duty."""
+    """(key, kind, level, due_on, days_left) of the five kinds: open duty variance, old queries, pending certificates before goods are out, delivery plans, goods out without paid duty.
+
+    jobs: variance_open, query_opened, pending_nocs, status, planned_for,
+    out_of_charge_on, duty_paid. What has no day of its own counts -1 (variance)
+    or 0 (certificates) days.
+    """
     j = F.col
+    none = F.lit(None).cast("date")
     age = F.datediff(as_of, j("query_opened"))
-    plan = days_left(j("planned_for"), as_of)
+    plan, out = days_left(j("planned_for"), as_of), j("out_of_charge_on").isNotNull()
     kinds = [
-        ("duty_variance", F.when(j("variance_open"), "overdue")),
-        ("query", F.when(age >= 4, "overdue").when(age >= 2, "due")),
-        ("certificate", F.when(j("pending_nocs") > 0, F.when(j("status") == "out_of_charge", "due").otherwise("soon"))),
-        ("delivery_plan", F.when(plan < 0, "overdue").when(plan <= 1, "due").when(plan.isNotNull(), "soon")),
-        ("duty_unpaid", F.when((j("status") == "out_of_charge") & ~j("duty_paid"), "overdue")),
+        ("duty_variance", F.when(j("variance_open"), "overdue"), none, F.lit(-1)),
+        ("query_open", F.when(age >= 4, "overdue").when(age >= 2, "due"), j("query_opened"), -age),
+        ("noc_pending", F.when((j("pending_nocs") > 0) & ~out, F.when(j("status") == "out_of_charge", "due").otherwise("soon")), none, F.lit(0)),
+        ("awaiting_cfs", F.when(plan < 0, "overdue").when(plan <= 1, "due").when(plan.isNotNull(), "soon"), j("planned_for"), plan),
+        ("ooc_without_duty", F.when(out & ~j("duty_paid"), "overdue"), j("out_of_charge_on"), days_left(j("out_of_charge_on"), as_of)),
     ]
-    found = F.explode(F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("level"))) for k, v in kinds]))).alias("a")
-    return jobs.select(key, found).select(key, "a.kind", "a.level")
+    each = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("level"), d.alias("due_on"), n.cast("int").alias("days_left"))) for k, v, d, n in kinds]
+    return jobs.select(key, F.explode(F.array_compact(F.array(*each))).alias("a")).select(key, "a.*")
 
 
 def replayed(events: DataFrame, key: str, at: str, tie: str, event: str, start: str, moves: dict[tuple[str, str], str]) -> DataFrame:

@@ -58,7 +58,7 @@ def _securities(spark, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     start = F.when(F.col("c_custkey") % 4 > 0, F.date_add(F.lit("1997-01-01").cast("date"), (F.col("c_custkey") % 500).cast("int")))
     end = F.when(F.col("c_custkey") % 3 > 0, F.date_add(F.lit("1997-06-01").cast("date"), (F.col("c_custkey") % 700).cast("int")))
-    return c.select(F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("line"), (F.col("c_custkey") % 7 > 0).alias("active"), start.alias("valid_from"), end.alias("valid_to"))
+    return c.select(F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("line"), (F.col("c_custkey") % 7 > 0).alias("active"), start.alias("valid_from"), end.alias("valid_to"), F.when(F.col("c_custkey") % 5 > 0, "FCL").otherwise("LCL").alias("mode"))
 
 
 def validity_join(spark, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def validity_join(spark, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 > 0, F.col("s_nationkey")).alias("line"))
     first = J.first_match(_securities(spark, sf_dir).where("active"), ["line"], F.col("pos"))
     day = F.lit(AS_OF).cast("date")
-    status = F.when(F.col("line").isNull(), "unknown").when(F.col("pos").isNull(), "none").when(F.col("valid_to") < day, "expired").when(F.col("valid_from") > day, "not_yet_valid").otherwise("covered")
+    status = F.when(F.col("line").isNull(), "unknown").when(F.col("pos").isNull(), "none").when(F.col("valid_to") < day, "expired").when(F.col("valid_from") > day, "not_yet_valid").when(F.col("mode") != "FCL", "mode").otherwise("covered")
     return s.join(first, "line", "left").select("s_suppkey", "pos", status.alias("status"))
 
 
@@ -161,10 +161,10 @@ SELECT coalesce(a.code, b.code) AS code, coalesce(a.name, b.name) AS name,
 SELECT source, count(*) AS digests, count(s.text) AS seen, count(*) = count(s.text) AS known FROM d LEFT JOIN s ON d.text = s.text GROUP BY source""",
     "lookup_with_default": "SELECT c_custkey, coalesce(n_name, '—') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 > 0) ON c_nationkey = n_nationkey",
     "validity_join": f"""WITH sec AS (SELECT c_custkey AS pos, c_nationkey AS line,
-    CASE WHEN c_custkey % 4 > 0 THEN '1997-01-01'::DATE + (c_custkey % 500)::INT END AS valid_from, CASE WHEN c_custkey % 3 > 0 THEN '1997-06-01'::DATE + (c_custkey % 700)::INT END AS valid_to
+    CASE WHEN c_custkey % 4 > 0 THEN '1997-01-01'::DATE + (c_custkey % 500)::INT END AS valid_from, CASE WHEN c_custkey % 3 > 0 THEN '1997-06-01'::DATE + (c_custkey % 700)::INT END AS valid_to, c_custkey % 5 = 0 AS lcl
   FROM customer WHERE c_custkey % 7 > 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1),
 s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 > 0 THEN s_nationkey END AS line FROM supplier)
-SELECT s_suppkey, pos, CASE WHEN s.line IS NULL THEN 'unknown' WHEN pos IS NULL THEN 'none' WHEN valid_to < '{AS_OF}' THEN 'expired' WHEN valid_from > '{AS_OF}' THEN 'not_yet_valid' ELSE 'covered' END AS status
+SELECT s_suppkey, pos, CASE WHEN s.line IS NULL THEN 'unknown' WHEN pos IS NULL THEN 'none' WHEN valid_to < '{AS_OF}' THEN 'expired' WHEN valid_from > '{AS_OF}' THEN 'not_yet_valid' WHEN lcl THEN 'mode' ELSE 'covered' END AS status
 FROM s LEFT JOIN sec USING (line)""",
     "rate_fallback": """WITH r AS (SELECT n_nationkey AS line, size, (n_nationkey * 100 + length(size))::BIGINT AS rate FROM nation, (VALUES ('20'), ('*')) v(size) WHERE NOT (size = '20' AND n_nationkey % 2 = 0) AND NOT (size = '*' AND n_nationkey % 5 = 0)),
 b AS (SELECT s_suppkey, s_nationkey AS line, CASE WHEN s_suppkey % 2 = 0 THEN '20' ELSE '40' END AS size FROM supplier)

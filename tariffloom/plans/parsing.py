@@ -82,8 +82,9 @@ SQL = {
     "conditions": """SELECT s_suppkey, kinds, cited FROM supplier JOIN (VALUES (0, 'igcr', ''), (1, 'bond+bank-guarantee+time-limit', ''), (2, 'other', ''), (3, 'certificate+quantity-value-cap+time-limit', '5+30'), (4, 'other', '3+19')) v(k, kinds, cited) ON s_suppkey % 5 = k""",
     "chunk_documents": f"""WITH d AS (SELECT doc_id, {_FLAT} AS t FROM documents), e AS (SELECT doc_id, t, unnest(range(greatest(1, ceil((length(t) - 200) / 3300)::INT))) AS k FROM d WHERE length(t) >= 40)
 SELECT doc_id, k::INT AS chunk, length(substring(t, k * 3300 + 1, 3500))::INT AS n, md5(substring(t, k * 3300 + 1, 3500)) AS md5 FROM e""",
-    "line_triples": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS code, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM l)
-SELECT doc_id, pos::INT AS pos, md5(line) AS name, code, md5(place) AS place FROM w WHERE regexp_matches(code, '^\S+ \S+$') AND place IS NOT NULL""",
+    "line_triples": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS code, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM l),
+h AS (SELECT doc_id, list_reduce(list([pos] ORDER BY pos), lambda a, b: CASE WHEN b[1] >= a[-1] + 3 THEN list_concat(a, b) ELSE a END) AS kept FROM w WHERE regexp_matches(code, '^\S+ \S+$') AND place IS NOT NULL GROUP BY doc_id)
+SELECT w.doc_id, w.pos::INT AS pos, md5(line) AS name, code, md5(place) AS place FROM w JOIN h ON h.doc_id = w.doc_id AND list_contains(h.kept, w.pos)""",
     "folded_entries": """WITH g AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations)
 SELECT conv_id, entry::INT AS entry, min(turn) AS pos, count(*) AS n, md5(string_agg(text, ' ' ORDER BY turn)) AS md5 FROM g WHERE entry > 0 GROUP BY conv_id, entry""",
     "turns_under_headings": "SELECT conv_id, turn AS pos, md5(h) AS heading FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations) WHERE role <> 'user'",

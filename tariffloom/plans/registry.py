@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import drafts, duty, feeds, joins, lookups, masters, matching, parsing, scalars, schedule, stores, workflow
+from . import decisions, drafts, duty, feeds, joins, lookups, masters, matching, parsing, scalars, schedule, stores, workflow
 
-MODULES = (duty, joins, lookups, schedule, scalars, matching, workflow, parsing, stores, drafts, feeds, masters)
+MODULES = (duty, joins, lookups, schedule, scalars, matching, workflow, parsing, stores, drafts, feeds, masters, decisions)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

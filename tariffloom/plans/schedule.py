@@ -61,8 +61,8 @@ def exemptions_in_force(spark, sf_dir: str) -> DataFrame:
 
 
 def tariff_unique_prefix(spark, sf_dir: str) -> DataFrame:
-    """Six-digit codes completed from the tariff if just one row begins so."""
-    asked = table(spark, sf_dir, "part").select("p_partkey", F.substring(hs("p_partkey"), 1, 6).alias("code"))
+    """Codes of three to eight digits completed from the tariff if just one row begins so; none below four digits."""
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.substring(hs("p_partkey"), F.lit(1), (F.col("p_partkey") % 6 + 3).cast("int")).alias("code"))
     tariff = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(hs("p_partkey").alias("cth"))
     return J.unique_prefix(asked, "code", tariff, "cth").select("p_partkey", "code", "cth")
 
@@ -96,8 +96,8 @@ SQL = {
     "exemptions_in_force": f"""WITH {_SCHEDULE}, n AS (SELECT m.*, e.stale, valid_until IS NULL OR valid_until >= '{AS_OF}' AS in_force FROM matches m JOIN entries e USING (pos) WHERE len > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY hs, in_force ORDER BY len DESC, pos) AS k FROM n)
 SELECT hs, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY k) FILTER (in_force AND k <= 3), '') AS candidates, count(*) FILTER (NOT in_force) AS lapsed, count(*) FILTER (in_force AND stale) AS stale FROM r GROUP BY hs""",
-    "tariff_unique_prefix": f"""WITH a AS (SELECT p_partkey, left({HS_SQL.format('p_partkey')}, 6) AS code FROM part), t AS (SELECT {HS_SQL.format('p_partkey')} AS cth FROM part WHERE p_partkey % 2 = 0)
-SELECT p_partkey, code, CASE WHEN count(cth) = 1 THEN min(cth) END AS cth FROM a LEFT JOIN t ON starts_with(cth, code) GROUP BY p_partkey, code""",
+    "tariff_unique_prefix": f"""WITH a AS (SELECT p_partkey, left({HS_SQL.format('p_partkey')}, (p_partkey % 6 + 3)::INT) AS code FROM part), t AS (SELECT {HS_SQL.format('p_partkey')} AS cth FROM part WHERE p_partkey % 2 = 0)
+SELECT p_partkey, code, CASE WHEN count(cth) = 1 THEN min(cth) END AS cth FROM a LEFT JOIN t ON starts_with(cth, code) AND length(code) >= 4 GROUP BY p_partkey, code""",
     "compliance_by_prefix": f"""WITH r AS (SELECT p_partkey AS rule, left({HS_SQL.format('p_partkey')}, (p_partkey % 4 + 2 + p_partkey % 5)::INT) AS prefix FROM part WHERE p_partkey % 4 = 0 AND p_partkey NOT IN (SELECT s_suppkey FROM supplier)),
 i AS (SELECT p_partkey, {HS_SQL.format('p_partkey')} AS hs FROM part)
 SELECT p_partkey, count(*) AS n_rules, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules FROM i JOIN r ON starts_with(hs, prefix) GROUP BY p_partkey""",

@@ -72,7 +72,7 @@ def _clearances(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     pick = lambda n, m: F.col("o_orderkey") % n == m
-    return o.select("o_orderkey", pick(7, 0).alias("variance_open"), F.when(pick(3, 0), F.date_sub(_as_of(), (F.col("o_orderkey") % 8).cast("int"))).alias("query_opened"), (F.col("o_orderkey") % 2).cast("int").alias("pending_nocs"), F.when(pick(5, 1), "out_of_charge").otherwise("passing").alias("status"), F.when(pick(4, 0), day).alias("planned_for"), pick(2, 0).alias("duty_paid"))
+    return o.select("o_orderkey", pick(7, 0).alias("variance_open"), F.when(pick(3, 0), F.date_sub(_as_of(), (F.col("o_orderkey") % 8).cast("int"))).alias("query_opened"), (F.col("o_orderkey") % 2).cast("int").alias("pending_nocs"), F.when(pick(5, 1), "out_of_charge").otherwise("passing").alias("status"), F.when(pick(4, 0), day).alias("planned_for"), F.when(pick(5, 1) | pick(5, 2), day).alias("out_of_charge_on"), pick(2, 0).alias("duty_paid"))
 
 
 def clearance_alerts(spark, sf_dir: str) -> DataFrame:
@@ -151,12 +151,12 @@ r AS (SELECT user_id, 0::BIGINT AS k, n, 'open' AS state FROM e WHERE k = 1 UNIO
 SELECT user_id, state, n::INT AS n_events FROM r WHERE k = n""",
     "delivery_alerts": f"WITH {_JOBS} SELECT o_orderkey, kind, due_on, days_left, level FROM alerts",
     "alert_board": f"WITH {_JOBS} SELECT o_orderkey, (['soon','due','overdue'])[max({_RANK})] AS worst, count(*) AS n_alerts, min(days_left) AS days_left FROM alerts GROUP BY o_orderkey",
-    "clearance_alerts": f"""WITH j AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % 5 = 1 AS out FROM orders)
-SELECT o_orderkey, 'duty_variance' AS kind, 'overdue' AS level FROM j WHERE o_orderkey % 7 = 0
-UNION ALL SELECT o_orderkey, 'query', CASE WHEN o_orderkey % 8 >= 4 THEN 'overdue' ELSE 'due' END FROM j WHERE o_orderkey % 3 = 0 AND o_orderkey % 8 >= 2
-UNION ALL SELECT o_orderkey, 'certificate', CASE WHEN out THEN 'due' ELSE 'soon' END FROM j WHERE o_orderkey % 2 = 1
-UNION ALL SELECT o_orderkey, 'delivery_plan', CASE WHEN day < '{AS_OF}' THEN 'overdue' WHEN day - '{AS_OF}'::DATE <= 1 THEN 'due' ELSE 'soon' END FROM j WHERE o_orderkey % 4 = 0
-UNION ALL SELECT o_orderkey, 'duty_unpaid', 'overdue' FROM j WHERE out AND o_orderkey % 2 = 1""",
+    "clearance_alerts": f"""WITH j AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % 5 = 1 AS held, o_orderkey % 5 IN (1, 2) AS gone, '{AS_OF}'::DATE AS today FROM orders)
+SELECT o_orderkey, 'duty_variance' AS kind, 'overdue' AS level, NULL::DATE AS due_on, -1 AS days_left FROM j WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 'query_open', CASE WHEN o_orderkey % 8 >= 4 THEN 'overdue' ELSE 'due' END, today - (o_orderkey % 8)::INT, (-(o_orderkey % 8))::INT FROM j WHERE o_orderkey % 3 = 0 AND o_orderkey % 8 >= 2
+UNION ALL SELECT o_orderkey, 'noc_pending', CASE WHEN held THEN 'due' ELSE 'soon' END, NULL, 0 FROM j WHERE o_orderkey % 2 = 1 AND NOT gone
+UNION ALL SELECT o_orderkey, 'awaiting_cfs', CASE WHEN day < today THEN 'overdue' WHEN day - today <= 1 THEN 'due' ELSE 'soon' END, day, (day - today)::INT FROM j WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'ooc_without_duty', 'overdue', day, (day - today)::INT FROM j WHERE gone AND o_orderkey % 2 = 1""",
     "settled": """WITH s AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, n = f AS every, n > 0 AND n = f AS some_and_every, f > 0 AS "any" FROM s""",
     "deposit_expected": "SELECT l_orderkey, sum(CASE WHEN l_suppkey % 4 = 0 THEN 0 WHEN l_partkey % 5 = 0 THEN l_quantity::DECIMAL(14,2) WHEN l_suppkey % 3 > 0 THEN 100 ELSE 150 END)::DECIMAL(18,2) AS expected, count(*) FILTER (l_suppkey % 4 = 0) AS covered FROM lineitem GROUP BY 1",
     "plan_queue": f"""WITH q AS (SELECT o_orderkey, 'pending' AS queue, o_custkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'decided', o_custkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderdate::DATE > '{AS_OF}'::DATE - 30 AND o_orderdate::DATE <= '{AS_OF}')
