@@ -233,7 +233,9 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """docs with a column ``__score`` from 0 to 1, higher for better texts; from the text alone.
 
     Rows are judged alone, so ties, repeated rows and nulls in other columns are
-    harmless; a null text scores as an empty one; an empty table gives no rows.
+    harmless; a null text scores as an empty one; texts are measured whole; an
+    empty table gives no rows. Other columns pass as they are, but one named
+    ``__score`` is replaced.
     """
     docs = docs.drop("__score")
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
-from .shared import table
+from .shared import cut, table
 from .textops import slices
 
 #: From letter to letter; digits and a few signs inside may stand for letters and count as misspellings.
@@ -252,7 +252,7 @@ def learn_lexicon(sample: DataFrame, most_terms: int = 400, least_docs: int = 4)
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, **options) -> ToxicityModel:
     """Fits lexicon and model on at most ``most`` documents with a toxicity label that aren't held out."""
-    sample = labelled_sample(docs, labels, "toxic", ~held_out(5, 0), most)
+    sample = cut(labelled_sample(docs, labels, "toxic", ~held_out(5, 0), most))  # read three times
     terms = learn_lexicon(sample, **options)
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(_featured(terms, None), "doc_id long, label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))
@@ -263,8 +263,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, **optio
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score (0 to 1) of each row, from its whole text alone.
 
-    A null or empty text scores as one without hits. Rows are judged alone, so
-    ties and repeats are harmless; an empty table gives no rows.
+    A null or empty text scores as one without hits. Texts are read whole, in
+    slices of rows, so a long one costs its own length. Rows are judged alone, so
+    ties and repeats are harmless; only doc_id and text are read, so other
+    columns do no harm; an empty table gives no rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_featured(model.terms, model), "doc_id long, score double")
 
