@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +66,16 @@ def rupees(x: Column) -> Column:
 def backoff(base: Column, failures: Column) -> Column:
     """base times two to the number of failures, 32 times at most; null from ten failures on."""
     return F.when(failures < 10, base * F.least(F.pow(F.lit(2), failures), F.lit(32.0)).cast("long"))
+
+
+@lru_cache(maxsize=16)
+def to_fixed(places: int) -> Callable[[Column], Column]:
+    """Text with ``places`` of the double's exact binary value, half up: what no built-in function gives, so it runs on Arrow batches."""
+    unit = Decimal(1).scaleb(-places)
+
+    @F.pandas_udf("string")
+    def cells(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        return pd.Series([format(Decimal(v).quantize(unit, ROUND_HALF_UP), "f") for v in x[known].tolist()], index=x.index[known], dtype=object).reindex(x.index)
+
+    return cells

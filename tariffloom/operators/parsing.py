@@ -126,6 +126,18 @@ def amended(entries: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.where(~F.col("s.omitted")).select(key, F.col("s.rate").alias("rate"), F.col("s.until").alias("until"), F.col("s.stale").alias("stale"))
 
 
+def asserted(entries: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects) after changes (key, seq, old, new) in order: each applies only if the entry's rate is ``old`` at that point; others are rejects (key, seq).
+
+    An entry's changes meet in one array, bounded by how often it was amended.
+    """
+    ordered = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("c"))
+    start = F.struct(F.col("rate").alias("rate"), F.array().cast("array<int>").alias("bad"))
+    step = lambda acc, c: F.struct(F.when(acc["rate"] == c["old"], c["new"]).otherwise(acc["rate"]).alias("rate"), F.when(acc["rate"] == c["old"], acc["bad"]).otherwise(F.array_append(acc["bad"], c["seq"])).alias("bad"))
+    done = entries.join(ordered, key, "left").withColumn("s", F.when(F.col("c").isNull(), start).otherwise(F.aggregate("c", start, step)))
+    return done.select(key, F.col("s.rate").alias("rate")), done.select(key, F.explode("s.bad").alias("seq"))
+
+
 def chunked(docs: DataFrame, key: str, text: str, size: int = 3500, overlap: int = 200, least: int = 40) -> DataFrame:
     """(key, chunk, text): windows over text with white space collapsed; the last one reaches the end; short texts have none."""
     flat = docs.select(key, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("t")).where(F.length("t") >= least)
