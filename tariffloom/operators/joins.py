@@ -52,6 +52,17 @@ def asof(facts: DataFrame, day: str, history: DataFrame, since: str, keys: list[
     return joined.select(*[facts[c] for c in facts.columns], *[spans[v] for v in values])
 
 
+def asof_map(facts: DataFrame, day: str, history: DataFrame, since: str, key: str, value: str, columns: list[str], name: str) -> DataFrame:
+    """facts with a map ``name`` from the keys in ``columns`` to their values on ``day``, as ``asof`` finds them.
+
+    Only the different pairs of day and key meet the history; the maps, one a
+    day, are then joined by equality, so many lookups cost one join.
+    """
+    pairs = facts.select(day, F.explode(F.array(*columns)).alias(key)).distinct()
+    found = asof(pairs, day, history, since, [key], [value]).where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    return facts.join(found.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name)), day, "left")
+
+
 def first_match(pairs: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first of each key's pairs in the stated order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rupees_in_words
 from ..operators import duty as D
-from ..operators.joins import asof
+from ..operators.joins import asof, asof_map
 from .fixture import CHARGE_FX_SQL, CHARGES, FX_SQL, INVOICE_FX_SQL, INVOICES_SQL, ITEMS_SQL, exchange_rates, invoices, items, table
 from .words_sql import words_sql
 
@@ -18,11 +18,10 @@ def fx_asof(spark, sf_dir: str) -> DataFrame:
 
 
 def _priced(spark, sf_dir: str) -> DataFrame:
-    rated = asof(invoices(spark, sf_dir), "day", exchange_rates(spark), "since", ["currency"], ["fx"])
-    for c in (*CHARGES, "insurance"):  # tables of a few rows, which Spark broadcasts by its own size check
-        rates = exchange_rates(spark).select(F.col("currency").alias(f"{c}_currency"), "since", F.col("fx").alias(f"{c}_fx"))
-        rated = asof(rated, "day", rates, "since", [f"{c}_currency"], [f"{c}_fx"])
-    return D.charges_home(rated)
+    charges = [*CHARGES, "insurance"]
+    rated = asof_map(invoices(spark, sf_dir), "day", exchange_rates(spark), "since", "currency", "fx", ["currency", *(f"{c}_currency" for c in charges)], "rates")
+    rate = lambda c: F.try_element_at("rates", F.col(c))
+    return D.charges_home(rated.select("*", rate("currency").alias("fx"), *[rate(f"{c}_currency").alias(f"{c}_fx") for c in charges]).drop("rates"))
 
 
 def _valued(spark, sf_dir: str) -> DataFrame:
