@@ -18,6 +18,8 @@ def percent(amount: Column, rate: Column) -> Column:
 
 #: The additions to an invoice's goods value: what is added, and what is taken off.
 ADDED, OFF = ("freight", "misc", "loading"), ("discount",)
+#: Terms of invoice that leave insurance to the importer.
+UNINSURED = ("FOB", "C&F")
 #: The heads of duty in the order of the cascade.
 HEADS = ("bcd", "aidc", "health_cess", "sws", "igst", "cess")
 
@@ -30,6 +32,18 @@ def charges_home(invoices: DataFrame) -> DataFrame:
     return invoices.withColumn("charges_home", total.cast("decimal(20,8)")).withColumn("insurance_home", insurance)
 
 
+def with_open_policy(invoices: DataFrame) -> DataFrame:
+    """Insurance by the importer's open policy where terms leave it out and none is stated; adds ``by_policy``, so that duty is computed anew on it.
+
+    invoices: terms, insurance_percent, insurance_amount, policy_rate. Without
+    any insurance the percentage is nil.
+    """
+    unstated = F.col("insurance_percent").isNull() & F.col("insurance_amount").isNull()
+    applies = F.coalesce(unstated & F.col("terms").isin(*UNINSURED) & (F.col("policy_rate") > 0), F.lit(False))
+    percentage = F.when(applies, F.col("policy_rate")).when(unstated, F.lit(0)).otherwise(F.col("insurance_percent"))
+    return invoices.withColumn("by_policy", applies).withColumn("insurance_percent", percentage.cast("decimal(8,4)"))
+
+
 def valued(items: DataFrame, invoices: DataFrame) -> DataFrame:
     """Items with their assessable value.
 

@@ -17,9 +17,9 @@ def fx_asof(spark, sf_dir: str) -> DataFrame:
     return asof(invoices(spark, sf_dir), "day", exchange_rates(spark), "since", ["currency"], ["fx"]).select("invoice", "day", "currency", "fx")
 
 
-def _priced(spark, sf_dir: str) -> DataFrame:
+def _priced(spark, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
     charges = [*CHARGES, "insurance"]
-    rated = asof_map(invoices(spark, sf_dir), "day", exchange_rates(spark), "since", "currency", "fx", ["currency", *(f"{c}_currency" for c in charges)], "rates")
+    rated = asof_map(invoices(spark, sf_dir) if made is None else made, "day", exchange_rates(spark), "since", "currency", "fx", ["currency", *(f"{c}_currency" for c in charges)], "rates")
     rate = lambda c: F.try_element_at("rates", F.col(c))
     return D.charges_home(rated.select("*", rate("currency").alias("fx"), *[rate(f"{c}_currency").alias(f"{c}_fx") for c in charges]).drop("rates"))
 
@@ -50,6 +50,16 @@ def duty_in_words(spark, sf_dir: str) -> DataFrame:
     return duty_by_order(spark, sf_dir).select("invoice", "payable", rupees_in_words(F.col("payable")).alias("words"))
 
 
+def recomputed_duty(spark, sf_dir: str) -> DataFrame:
+    """Duty of each order after its importer's open policy insures what has no insurance."""
+    unstated = F.col("invoice") % 3 == 0
+    inv = invoices(spark, sf_dir)
+    bare = inv.select(*[F.when(~unstated, F.col(c)).alias(c) if c in ("insurance_percent", "insurance_amount") else c for c in inv.columns], F.element_at(F.array(*map(F.lit, ("FOB", "C&F", "CIF"))), (F.col("invoice") % 5 % 3 + 1).cast("int")).alias("terms"))
+    rates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("importer"), F.when(F.col("c_custkey") % 4 > 0, (F.col("c_custkey") % 7 * F.lit("0.25").cast("decimal(3,2)")).cast("decimal(8,4)")).alias("policy_rate"))
+    insured = D.with_open_policy(bare.join(rates, "importer", "left"))
+    return D.by_invoice(D.item_duty(D.valued(items(spark, sf_dir), _priced(spark, sf_dir, insured))), "invoice", "by_policy")
+
+
 def duty_failures(spark, sf_dir: str) -> DataFrame:
     """Invoices whose duty can't be computed, with the reason; one without goods, or with charges in a third currency that its table lacks."""
     inv = invoices(spark, sf_dir).withColumn("charge_currency", F.when(F.col("invoice") % 13 == 0, "CHF").otherwise(F.col("currency")))
@@ -87,13 +97,18 @@ _SUMS = f"""count(*) AS n_items, {', '.join(f'round(sum({c}), 2)::DECIMAL(18,2)
   round({_PAYABLE}, 0)::BIGINT AS payable"""
 _R = "round({0}, 2)::DECIMAL(18,2)"
 
-QUERIES = {f.__name__: f for f in (fx_asof, item_valuation, item_duty, duty_by_order, duty_totals_by_nation, duty_in_words, duty_failures)}
+_POLICY = "o_orderkey % 3 = 0 AND o_orderkey % 5 % 3 < 2 AND o_custkey % 4 > 0 AND o_custkey % 7 > 0"
+_POLICY_SQL = DUTY_SQL.replace(INVOICES_SQL, f"""base_{INVOICES_SQL}, invoices AS (SELECT b.* REPLACE ((CASE WHEN {_POLICY} THEN (o_custkey % 7) * 0.25 WHEN o_orderkey % 3 = 0 THEN 0 ELSE insurance_percent END)::DECIMAL(8,4) AS insurance_percent,
+  CASE WHEN o_orderkey % 3 > 0 THEN insurance_amount END AS insurance_amount) FROM base_invoices b JOIN orders ON invoice = o_orderkey)""")
+
+QUERIES = {f.__name__: f for f in (fx_asof, item_valuation, item_duty, duty_by_order, duty_totals_by_nation, duty_in_words, recomputed_duty, duty_failures)}
 SQL = {
     "duty_in_words": f"{DUTY_SQL}, p AS (SELECT invoice, round({_PAYABLE}, 0)::BIGINT AS payable FROM duty GROUP BY invoice) SELECT invoice, payable, 'Rs. ' || {words_sql('payable')} || ' Only' AS words FROM p",
     "fx_asof": f"WITH {INVOICES_SQL}, {FX_SQL}, {INVOICE_FX_SQL} SELECT invoice, day, currency, fx FROM invoice_fx",
     "item_valuation": f"{VALUED_SQL} SELECT invoice, sl_no, {_R.format('value')} AS value, {_R.format('additions')} AS additions, {_R.format('assessable')} AS assessable FROM valued",
     "item_duty": f"{DUTY_SQL}, r AS (SELECT invoice, sl_no, hs, {', '.join(f'{_R.format(c)} AS {c}' for c in _AMOUNTS)} FROM duty) SELECT *, (bcd + aidc + health_cess + sws + igst + cess)::DECIMAL(18,2) AS total FROM r",
     "duty_by_order": f"{DUTY_SQL} SELECT invoice, {_SUMS} FROM duty GROUP BY invoice",
+    "recomputed_duty": f"{_POLICY_SQL} SELECT invoice, {_POLICY} AS by_policy, {_SUMS} FROM duty JOIN orders ON invoice = o_orderkey GROUP BY ALL",
     "duty_totals_by_nation": f"{DUTY_SQL} SELECT n_name AS nation, {_SUMS} FROM duty JOIN customer ON importer = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "duty_failures": f"""WITH {INVOICES_SQL}, {ITEMS_SQL}, {FX_SQL}, g AS (SELECT invoice, sum(quantity * unit_price) AS goods FROM items GROUP BY invoice)
 SELECT invoice, CASE WHEN coalesce(goods, 0) = 0 THEN 'no goods value' ELSE 'no exchange rate' END AS reason

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
+from ..operators.matching import WEIGHTS
 from .fixture import HS_SQL, hs, table
 
 
@@ -40,6 +41,27 @@ def stream_enriched(spark, sf_dir: str) -> DataFrame:
     return streaming.drained(joined.groupBy("c_mktsegment", "event_type").agg(F.count("*").alias("n")), "enriched", "complete")
 
 
+def message_stream(stream: DataFrame) -> DataFrame:
+    """Events as messages with identifiers of kinds that vary; the user is the company."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    of = lambda shift, most: F.concat(F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("event_id") + shift) % len(WEIGHTS) + 1).cast("int")), F.lit(":V"), (k % most).cast("string"))
+    return stream.select(F.col("user_id").alias("company"), F.col("event_id").alias("message"), "ts", F.array(of(0, 5), of(1, 3), of(3, 4)).alias("identifiers"), (F.col("event_id") % 3).alias("recognised"))
+
+
+def stream_matched(spark, sf_dir: str) -> DataFrame:
+    """Messages scored against what earlier messages of the company gave to jobs; a stateful fold, held to brute force in the tests."""
+    return streaming.matched(message_stream(_events(spark, sf_dir)), "matched")
+
+
+def stream_facts(spark, sf_dir: str) -> DataFrame:
+    """Codes and stage of each user's job as documents come in, in update mode."""
+    e = _events(spark, sf_dir)
+    code = F.substring(hs("event_id"), 1, 2)
+    docs = e.select(F.col("user_id").alias("job"), F.when(F.col("event_id") % 4 > 0, F.array(code, F.lit("39"))).alias("codes"), (F.col("event_id") % 7).cast("int").alias("stage_rank"))
+    found = streaming.merged_updates(streaming.job_facts(docs), "facts", ["job"])
+    return found.select("job", F.array_join("codes", ",").alias("codes"), "stage_rank")
+
+
 def _lines(spark, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     code = F.when(F.col("p_partkey") % 7 == 0, "x12").otherwise(F.substring(hs("p_partkey"), F.lit(1), (F.col("p_partkey") % 10).cast("int")))
@@ -61,12 +83,14 @@ def csv_rejects(spark, sf_dir: str) -> DataFrame:
 
 
 _CSV = f"WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'x12' ELSE left({HS_SQL.format('p_partkey')}, (p_partkey % 10)::INT) END AS hs FROM part), d AS (SELECT *, CASE WHEN NOT regexp_matches(hs, '^[0-9]{{2,8}}$') THEN 'code digits' WHEN p_partkey % 5 = 0 THEN 'no code' END AS reason FROM c)"
-QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, csv_accepted, csv_rejects)}
+QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, csv_accepted, csv_rejects)}
 SQL = {
     "stream_unique": "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events",
     "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
     "stream_attached": "SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id) AS job FROM events",
     "stream_enriched": "SELECT c_mktsegment, event_type, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY ALL",
+    "stream_facts": f"""WITH d AS (SELECT user_id AS job, event_id % 7 AS r, CASE WHEN event_id % 4 > 0 THEN [left({HS_SQL.format('event_id')}, 2), '39'] ELSE [NULL] END AS codes FROM events), u AS (SELECT job, r, unnest(codes) AS code FROM d)
+SELECT job, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes, max(r)::INT AS stage_rank FROM u GROUP BY job""",
     "csv_accepted": f"""{_CSV} SELECT p_partkey, hs, 'C' || p_partkey AS code, replace(p_name, ' ', ', "q" ') AS title FROM d WHERE reason IS NULL""",
     "csv_rejects": f"{_CSV} SELECT p_partkey, reason FROM d WHERE reason IS NOT NULL",
 }

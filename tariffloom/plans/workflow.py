@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,18 @@ def urgent(spark, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(w)).select("place", "o_orderkey", "kind", "days_left")
 
 
+def board(spark, sf_dir: str) -> DataFrame:
+    """The dashboard: open jobs among the latest 500 by stage, and those with each kind of alert, with the fewest days left."""
+    latest = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(500).where("o_orderstatus <> 'F'")
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    mine = latest.select("o_orderkey", stage.alias("line"), F.lit(None).cast("int").alias("days_left"))
+    ours = lambda jobs: jobs.join(mine.select("o_orderkey"), "o_orderkey", "left_semi")
+    late = W.delivery_alerts(ours(_jobs(spark, sf_dir)), "o_orderkey", _as_of()).where("kind IN ('free_time', 'deposit_refund')")
+    held = W.clearance_alerts(ours(_clearances(spark, sf_dir)), "o_orderkey", _as_of()).where("kind IN ('duty_variance', 'awaiting_cfs', 'query_open')")
+    lines = reduce(DataFrame.unionByName, [mine, *(a.select("o_orderkey", F.col("kind").alias("line"), "days_left") for a in (late, held))])
+    return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("days_left").alias("days_left"))
+
+
 _JOBS = f"""jobs AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS eta, o_orderkey % 3 = 0 AS scrutinised, CASE WHEN o_orderkey % 10 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE END AS returned_on,
   CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 14)::INT END AS free_days, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 2 END AS free_from, CASE WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE + 5 END AS delivered_at, (o_orderkey % 3)::INT AS deposits_open, CASE WHEN o_orderkey % 2 = 1 THEN o_orderdate::DATE + 20 END AS valid_until
   FROM orders),
@@ -139,7 +153,7 @@ due AS (SELECT o_orderkey, 'invoice_call' AS kind, eta - 1 AS due_on, 1 AS withi
 alerts AS (SELECT o_orderkey, kind, due_on, (due_on - '{AS_OF}'::DATE)::INT AS days_left, CASE WHEN due_on < '{AS_OF}' THEN 'overdue' WHEN due_on - '{AS_OF}'::DATE <= within THEN 'due' ELSE 'soon' END AS level FROM due WHERE due_on - '{AS_OF}'::DATE <= ahead)"""
 _RANK = "CASE level WHEN 'overdue' THEN 3 WHEN 'due' THEN 2 ELSE 1 END"
 _STEP = " ".join(f"WHEN '{s}>{e}' THEN '{t}'" for (s, e), t in MOVES.items())
-QUERIES = {f.__name__: f for f in (stage_counts, documents_per_job, latest_draft, latest_event, job_states, delivery_alerts, alert_board, clearance_alerts, settled, deposit_expected, plan_queue, poll_counters, pending_messages, claim, urgent)}
+QUERIES = {f.__name__: f for f in (stage_counts, documents_per_job, latest_draft, latest_event, job_states, delivery_alerts, alert_board, clearance_alerts, settled, deposit_expected, plan_queue, poll_counters, pending_messages, claim, urgent, board)}
 SQL = {
     "stage_counts": """WITH l AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500), c AS (SELECT (['new','documents_received','scrutiny','exported'])[(o_orderkey % 4 + 1)::INT] AS stage, count(*) AS n FROM l WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT ordinal, d.stage, coalesce(n, 0) AS n FROM (VALUES (0, 'new'), (1, 'documents_received'), (2, 'scrutiny'), (3, 'exported'), (4, 'closed')) d(ordinal, stage) LEFT JOIN c ON c.stage = d.stage""",
@@ -166,3 +180,6 @@ SELECT o_orderkey, queue FROM q WHERE o_custkey IN (SELECT c_custkey FROM custom
     "claim": "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND (c_custkey % 3 > 0 OR c_acctbal < 0) ORDER BY c_acctbal, c_custkey LIMIT 1",
     "urgent": f"WITH {_JOBS} SELECT (row_number() OVER (ORDER BY days_left, {_RANK} DESC, o_orderkey, kind))::INT AS place, o_orderkey, kind, days_left FROM alerts QUALIFY place <= 50",
 }
+SQL["board"] = f"""WITH mine AS (SELECT * FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500) WHERE o_orderstatus <> 'F'),
+a AS (SELECT o_orderkey, kind, days_left FROM ({SQL['delivery_alerts']}) WHERE kind IN ('free_time', 'deposit_refund') UNION ALL SELECT o_orderkey, kind, days_left FROM ({SQL['clearance_alerts']}) WHERE kind IN ('duty_variance', 'awaiting_cfs', 'query_open'))
+SELECT (['new','documents_received','scrutiny','exported'])[(o_orderkey % 4 + 1)::INT] AS line, count(*) AS n, NULL::INT AS days_left FROM mine GROUP BY 1 UNION ALL SELECT kind, count(*), min(days_left) FROM a WHERE o_orderkey IN (SELECT o_orderkey FROM mine) GROUP BY kind"""

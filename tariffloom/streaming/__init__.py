@@ -8,9 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.matching import NEEDED, STRONG, WEIGHTS
 from ..storage import fresh_path
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """Parquet files as a stream; offsets live in the query's checkpoint, so nothing is read twice."""
@@ -21,8 +26,10 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote.
 
     Append goes to a Parquet sink, whose log makes each batch count once. Complete
-    and update results replace the table batch by batch.
+    results replace the table batch by batch; for update results see ``merged_updates``.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"no such mode here: {mode}")
     spark = stream.sparkSession
     target, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
@@ -57,3 +64,95 @@ def _attach(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def attached(stream: DataFrame) -> DataFrame:
     """Messages with the job that earlier messages of the same user, or they themselves, opened; stream: user_id, event_id, ts, identifier."""
     return stream.groupBy("user_id").applyInPandasWithState(_attach, "user_id long, event_id long, job long", "identifiers array<long>, jobs array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def merged_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode over all that is there and returns the latest row of each key.
+
+    A batch overwrites the folder of its own number, so one that is run again
+    after a failure counts once.
+    """
+    spark = stream.sparkSession
+    target, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(f"{_ddl(stream)}, batch long").option("basePath", target).parquet(target)
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+
+
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+
+class _Matcher(StatefulProcessor):
+    """Who owns each identifier of a company, as a map in the state store: a message reads and writes only its own identifiers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.owners = handle.getMapState("owners", "identifier string", "job long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["ts", "message"])
+        out = [(key[0], m, *self._decided(m, sorted(set(ids)), n)) for m, ids, n in zip(batch.message, batch.identifiers, batch.recognised, strict=True)]
+        made = pd.DataFrame(out, columns=["company", "message", "outcome", "job", "score"])
+        yield made.assign(job=made.job.astype("Int64"))
+
+    def _decided(self, message: int, ids: list[str], recognised: int) -> tuple[str, int | None, int]:
+        kinds = [i.split(":", 1)[0] for i in ids]
+        score: dict[int, int] = {}
+        threads = set()
+        for i, kind in zip(ids, kinds, strict=True):
+            if self.owners.containsKey((i,)):
+                job = self.owners.getValue((i,))[0]
+                score[job] = score.get(job, 0) + WEIGHTS[kind]
+                if kind == "conversation":
+                    threads.add(job)
+        top = max(score.values(), default=0)
+        best = [j for j, s in score.items() if s == top]
+        if top >= NEEDED and len(best) > 1:
+            return "ambiguous", None, top
+        job = best[0] if top >= NEEDED else threads.pop() if len(threads) == 1 and not set(kinds) & set(STRONG) else None
+        if job is None and not recognised:
+            return "skipped", None, top
+        outcome, job = ("created", message) if job is None else ("attached", job)
+        for i in ids:
+            if not self.owners.containsKey((i,)):  # the first job keeps an identifier
+                self.owners.updateValue((i,), (job,))
+        return outcome, job, top
+
+    def close(self) -> None:
+        pass
+
+
+def matched(stream: DataFrame, name: str) -> DataFrame:
+    """(company, message, outcome, job, score): each message scored against the identifiers that earlier messages of its company gave to jobs, oldest first.
+
+    stream: company, message, ts, identifiers (array of kind:value), recognised
+    (number of known documents). One job that reaches the threshold takes the
+    message, several of the same score make it ambiguous, a thread alone decides
+    without a strong identifier; what fits no job opens one if it has a known
+    document. Messages of a later batch see all of an earlier one. The order
+    within a company is part of the meaning, so a company's batch is one task;
+    ``source`` bounds it by the files of a trigger.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)  # map state needs it; the session's own setting comes back
+    try:
+        none = F.array().cast("array<string>")
+        keyed = stream.select("company", "message", "ts", F.array_compact(F.coalesce("identifiers", none)).alias("identifiers"), F.coalesce("recognised", F.lit(0)).alias("recognised")).groupBy("company")
+        return drained(keyed.transformWithStateInPandas(_Matcher(), "company long, message long, outcome string, job long, score long", "Append", "None"), name)
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
+def job_facts(stream: DataFrame) -> DataFrame:
+    """(job, codes, stage_rank) for update mode: the codes of a job's documents united, its stage the furthest seen; late documents add and never take back.
+
+    stream: job, codes (array), stage_rank.
+    """
+    each = stream.select("job", "stage_rank", F.explode_outer("codes").alias("code"))
+    return each.groupBy("job").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.max("stage_rank").alias("stage_rank"))
