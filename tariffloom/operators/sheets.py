@@ -11,6 +11,8 @@ from ..functions import codes as C
 CONTAINERS = ("IGM Sr.No", "Container No", "Seal No", "FCL_LCL", "ContainerTypeCode", "ContainerSize", "Truck Number", "EmptyContainerLocation", "PackagesStuffed", "GrWt")
 EXCHANGE_RATE = ("CURRENCY_CODE", "EXCHANGE_RATE", "BANK_NAME", "BANK_CERTIFICATE", "BANK_CERTIFICATE_DATE")
 STATEMENT = ("Inv_SrNo", "Item_SrNo", "StatementType", "StatementCode", "StatementRemarks")
+SW_ADDL_INFO = ("Inv_SrNo", "Item_SrNo", "Info_Type", "info_Qualifier", "Info_Code_Description", "Information", "Measure", "Measure_Unit")
+SW_PRODUCTION = ("Inv_SrNo", "Item_SrNo", "Prod_Batch_ID", "Prod_Batch_Quantity", "Prod_Batch_Unit", "Prod_Manufacturer_Date", "Prod_Expiry_Date", "Prod_Best_before_Date")
 #: Standing declarations and what each is about.
 DECLARATIONS = {"CUG00": "job", "CUG01": "job", "CUV01": "invoice", "CUV02": "invoice", "CUV03": "invoice", "PC002": "item"}
 
@@ -66,6 +68,28 @@ def statements(items: DataFrame, key: str, serial: str) -> DataFrame:
     return sheet(rows[0].unionByName(rows[1]).unionByName(rows[2]), STATEMENT, {"Inv_SrNo": F.col("i"), "Item_SrNo": F.col("s"), "StatementType": F.lit("DEC"), "StatementCode": F.col("c")}, key)
 
 
+def product_information(rows: DataFrame, key: str, serial: str) -> tuple[DataFrame, DataFrame]:
+    """The sheet of additional product information, and a warning for each row whose labels have no code, which is left out.
+
+    rows: info_type, qualifier, code, information, measurement, unit.
+    """
+    coded = rows.withColumn("t", C.code_of(F.col("info_type"), C.INFO_TYPE_CODES, passing=True)).withColumn("q", C.code_of(F.col("qualifier"), C.QUALIFIER_CODES, passing=True))
+    known = F.col("t").isNotNull() & F.col("q").isNotNull()
+    cells = {"Inv_SrNo": F.lit(1), "Item_SrNo": F.col(serial), "Info_Type": F.col("t"), "info_Qualifier": F.col("q"), "Info_Code_Description": F.col("code"), "Information": F.col("information"), "Measure": F.coalesce("measurement", F.lit(0)).cast("decimal(18,6)"), "Measure_Unit": F.col("unit")}
+    return sheet(coded.where(known), SW_ADDL_INFO, cells, key), issue(coded, key, "warning", "SW_ADDL_INFO", ~known)
+
+
+def production(rows: DataFrame, key: str, serial: str) -> tuple[DataFrame, DataFrame]:
+    """The sheet of batches, and a warning for each batch without both dates, which is left out; the best-before day is the day of expiry.
+
+    rows: batch, batch_quantity, unit, made, expires; one for each item that has a batch.
+    """
+    whole = F.col("made").isNotNull() & F.col("expires").isNotNull()
+    unit = F.when(F.col("batch_quantity").isNotNull(), F.col("unit"))
+    cells = {"Inv_SrNo": F.lit(1), "Item_SrNo": F.col(serial), "Prod_Batch_ID": F.col("batch"), "Prod_Batch_Quantity": F.col("batch_quantity").cast("decimal(18,6)"), "Prod_Batch_Unit": unit, "Prod_Manufacturer_Date": F.col("made").cast("date"), "Prod_Expiry_Date": F.col("expires").cast("date"), "Prod_Best_before_Date": F.col("expires").cast("date")}
+    return sheet(rows.where(whole), SW_PRODUCTION, cells, key), issue(rows, key, "warning", "SW_PRODUCTION", ~whole)
+
+
 def unblocked(rows: DataFrame, issues: DataFrame, key: str) -> DataFrame:
     """Rows of keys without a blocker: one holds up the whole job."""
     return rows.join(issues.where("severity = 'blocker'").select(key).distinct(), key, "left_anti")

@@ -169,6 +169,36 @@ def statement_sheet(spark, sf_dir: str) -> DataFrame:
     return s.select("invoice", F.col("Inv_SrNo").alias("inv"), F.col("Item_SrNo").alias("item"), F.col("StatementCode").alias("code"))
 
 
+def _product_rows(spark, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    return i.select("invoice", "sl_no", _pick("part", "Item Characteristics", "chr", "Storage Condition", "Product Name", F.lit(None).cast("string")).alias("info_type"), _pick("sl_no", "Standard UQC", "CAS", "Shelf").alias("qualifier"), "hs", F.when(F.col("part") % 2 == 0, F.col("quantity")).alias("measurement"))
+
+
+def _product_information(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _product_rows(spark, sf_dir).withColumn("code", F.lit(None).cast("string")).withColumn("information", F.col("hs")).withColumn("unit", F.lit("KGS"))
+    return S.product_information(rows, "invoice", "sl_no")
+
+
+def product_information_sheet(spark, sf_dir: str) -> DataFrame:
+    return _product_information(spark, sf_dir)[0].select("invoice", F.col("Item_SrNo").alias("item"), F.col("Info_Type").alias("type"), F.col("info_Qualifier").alias("qualifier"), F.col("Information").alias("information"), F.col("Measure").alias("measure"))
+
+
+def _production(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    day = F.date_add(F.lit("1997-01-01").cast("date"), F.col("sl_no"))
+    rows = items(spark, sf_dir).where("part % 3 = 0").select("invoice", "sl_no", F.concat(F.lit("B"), F.col("part").cast("string")).alias("batch"), F.when(F.col("part") % 4 > 0, F.col("quantity")).alias("batch_quantity"), F.lit("NOS").alias("unit"), F.when(F.col("part") % 5 > 0, day).alias("made"), F.when(F.col("part") % 7 > 0, F.date_add(day, 365)).alias("expires"))
+    return S.production(rows, "invoice", "sl_no")
+
+
+def production_sheet(spark, sf_dir: str) -> DataFrame:
+    return _production(spark, sf_dir)[0].select("invoice", F.col("Item_SrNo").alias("item"), F.col("Prod_Batch_ID").alias("batch"), F.col("Prod_Batch_Quantity").alias("quantity"), F.col("Prod_Batch_Unit").alias("unit"), F.col("Prod_Manufacturer_Date").alias("made"), F.col("Prod_Best_before_Date").alias("best_before"))
+
+
+def single_window_issues(spark, sf_dir: str) -> DataFrame:
+    """Rows left out of the two sheets, counted by order."""
+    left_out = _product_information(spark, sf_dir)[1].unionByName(_production(spark, sf_dir)[1])
+    return left_out.groupBy("invoice", "path").agg(F.count("*").alias("n"))
+
+
 def _replay_sql(targets: tuple[str, ...], start: str, step: str) -> str:
     return f"""WITH RECURSIVE e AS (SELECT user_id, ({list(targets)})[(event_id % {len(targets)} + 1)::INT] AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 r AS (SELECT user_id, 0::BIGINT AS k, n, '{start}' AS s FROM e WHERE k = 1 UNION ALL SELECT r.user_id, r.k + 1, r.n, CASE WHEN {step} THEN w ELSE s END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
@@ -182,8 +212,10 @@ _CLEAR_STEP = """(w = 'passing' AND s = 'noting') OR (w = 'duty_payment' AND s I
 _JOB_STEP = """(w = 'documents_received' AND s = 'new') OR (w = 'exported' AND s IN ('new', 'documents_received')) OR (w = 'scrutiny' AND s IN ('new', 'documents_received', 'exported', 'checklist_revision', 'noting'))
  OR (w IN ('awaiting_shipper', 'checklist_revision', 'noting') AND s IN ('scrutiny', 'awaiting_shipper')) OR (w = 'closed' AND s = 'noting')"""
 _BILL = """bill AS (SELECT invoice AS job, row_number() OVER (PARTITION BY invoice ORDER BY sl_no) - 1 AS k, 'MSKU' || lpad(part::VARCHAR, 7, '0') AS number, CASE WHEN part % 3 > 0 THEN 'S' || part END AS seal, part, quantity FROM items WHERE quantity > 25)"""
-_FN = (do_states, clearance_states, job_stages, guarded_updates, message_outcomes, upload_outcomes, library_proposals, general_descriptions, split_entries, instructions_read, codes_of_orders, cess_of_code, clearance_star, containers_sheet, container_issues, exchange_sheet, statement_sheet)
+_FN = (do_states, clearance_states, job_stages, guarded_updates, message_outcomes, upload_outcomes, library_proposals, general_descriptions, split_entries, instructions_read, codes_of_orders, cess_of_code, clearance_star, containers_sheet, container_issues, exchange_sheet, statement_sheet, product_information_sheet, production_sheet, single_window_issues)
 QUERIES = {f.__name__: f for f in _FN}
+_SW = f"""WITH {ITEMS_SQL}, info AS (SELECT invoice, sl_no, hs, (['CHR', 'CHR', NULL, 'PNM', NULL])[(part % 5 + 1)::INT] AS t, (['SQC', 'CAS', NULL])[(sl_no % 3 + 1)::INT] AS q, CASE WHEN part % 2 = 0 THEN quantity ELSE 0 END AS m FROM items),
+batches AS (SELECT *, part % 5 > 0 AND part % 7 > 0 AS whole FROM items WHERE part % 3 = 0)"""
 _DECIDED = """m AS (SELECT message, bool_or(kind IN ('container', 'bl', 'awb', 'invoice')) AS strong FROM ids GROUP BY message),
 t AS (SELECT message, max(score) AS top, count(*) FILTER (score = mx) AS n, min(job) FILTER (score = mx) AS job, count(*) FILTER (thread) AS threads, min(job) FILTER (thread) AS thread_job FROM (SELECT *, max(score) OVER (PARTITION BY message) AS mx FROM scores) GROUP BY message),
 d AS (SELECT message, top >= 4 AND n > 1 AS tied, CASE WHEN top >= 4 AND n = 1 THEN job WHEN coalesce(top, 0) < 4 AND NOT strong AND threads = 1 THEN thread_job END AS job FROM m LEFT JOIN t USING (message)),
@@ -270,4 +302,8 @@ SQL |= {
     "index_appended": "SELECT label, label >= 4 AS is_new, count(*) AS n FROM embeddings GROUP BY 1, 2",
     "search_in_sources": """WITH m AS (SELECT doc_id AS vec_id, source, lang FROM documents WHERE source LIKE 'src1%'), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, source, lang FROM embeddings q, embeddings e JOIN m ON m.vec_id = e.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS place, round(score, 4) AS score, source, lang FROM s QUALIFY place <= 5""",
+    "product_information_sheet": f"{_SW} SELECT invoice, sl_no::VARCHAR AS item, t AS type, q AS qualifier, hs AS information, m::DECIMAL(18,6)::VARCHAR AS measure FROM info WHERE t IS NOT NULL AND q IS NOT NULL",
+    "production_sheet": f"""{_SW} SELECT invoice, sl_no::VARCHAR AS item, 'B' || part AS batch, CASE WHEN part % 4 > 0 THEN quantity::DECIMAL(18,6)::VARCHAR ELSE '' END AS quantity, CASE WHEN part % 4 > 0 THEN 'NOS' ELSE '' END AS unit,
+ ('1997-01-01'::DATE + sl_no)::VARCHAR AS made, ('1998-01-01'::DATE + sl_no)::VARCHAR AS best_before FROM batches WHERE whole""",
+    "single_window_issues": f"{_SW} SELECT invoice, 'SW_ADDL_INFO' AS path, count(*) AS n FROM info WHERE t IS NULL OR q IS NULL GROUP BY 1 UNION ALL SELECT invoice, 'SW_PRODUCTION', count(*) FROM batches WHERE NOT whole GROUP BY 1",
 }
