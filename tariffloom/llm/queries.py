@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import op11_conversation_repair
 from .decontaminate import op10_decontamination
 from .html_text import op8_html_extraction
 from .jaccard_join import op3_ngram_jaccard_join
@@ -12,6 +13,7 @@ from .quality_model import op4_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .substring_dedup import op7_substring_dedup
 from .toxicity import op5_toxicity
+from .warc import op13_warc
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +28,8 @@ QUERIES = {
         op8_html_extraction,
         op9_language_id,
         op10_decontamination,
+        op11_conversation_repair,
+        op13_warc,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}

@@ -27,8 +27,8 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 HOT = 2000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, deal: str = "doc_id", total: int | None = None) -> DataFrame:
-    """``rows`` with the ``value`` of their group, where ``groups`` has a row (keys, n, value) for each group of n rows; rows without a group go.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, deal: str = "doc_id", total: int | None = None, outer: bool = False) -> DataFrame:
+    """``rows`` with the ``value`` of their group, where ``groups`` has a row (keys, n, value) for each group of n rows; rows without a group go, or with ``outer`` have a null.
 
     Groups with more than one in HOT of all grouped rows, HOT of them at most,
     are broadcast; their rows meet them where they are and are dealt by ``deal`` in
@@ -46,7 +46,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], value: str,
     same = F.col("of_hot").isNull()
     for k in keys:
         same = (F.col(f"to_{k}") == F.col(f"of_{k}")) & same
-    return met.join(cold, same, "left").select(*rows.columns, F.coalesce("of_hot", value).alias(value)).where(F.col(value).isNotNull())
+    out = met.join(cold, same, "left").select(*rows.columns, F.coalesce("of_hot", value).alias(value))
+    return out if outer else out.where(F.col(value).isNotNull())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
