@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP12_SQL, op12_phrase_collocations
 from .conversation_repair import op11_conversation_repair
 from .decontaminate import op10_decontamination
 from .html_text import op8_html_extraction
@@ -29,7 +30,8 @@ QUERIES = {
         op9_language_id,
         op10_decontamination,
         op11_conversation_repair,
+        op12_phrase_collocations,
         op13_warc,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op12_phrase_collocations": OP12_SQL}
