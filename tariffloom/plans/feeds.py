@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..operators.matching import WEIGHTS
+from ..sources.feed import Subscription, expire, publish
+from ..storage import fresh_path
 from .fixture import HS_SQL, hs, table
 
 
@@ -53,6 +55,42 @@ def stream_matched(spark, sf_dir: str) -> DataFrame:
     return streaming.matched(message_stream(_events(spark, sf_dir)), "matched")
 
 
+CHANGES = "seq long, user_id long, event_type string, value double"
+
+
+def _published(spark, sf_dir: str) -> tuple[DataFrame, int, str]:
+    """Events as numbered changes, how many, and an empty feed for them."""
+    changes = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), "user_id", "event_type", "value", (F.col("event_type") == "error").alias("deleted"), (F.col("user_id") % 9 == 0).alias("draft"))
+    return changes, changes.count(), fresh_path(spark, "feed")
+
+
+def feed_read(spark, sf_dir: str) -> DataFrame:
+    """A feed primed after its first quarter, then polled page by page until it has no more; tombstones and drafts are left out."""
+    changes, n, folder = _published(spark, sf_dir)
+    publish(changes.where(F.col("seq") <= n // 4), "seq", folder, chunk=max(1000, n // 64))
+    reader = Subscription(spark, folder, CHANGES, page=25, pages=max(50, n // 50))
+    reader.prime()
+    publish(changes.where(F.col("seq") > n // 4), "seq", folder, chunk=max(1000, n // 64))
+    reader.drain()
+    return reader.messages()
+
+
+def feed_expired(spark, sf_dir: str) -> DataFrame:
+    """A feed read from its start to a quarter; by the next poll changes up to a half have expired, so it goes on at the latest one then, three quarters."""
+    changes, n, folder = _published(spark, sf_dir)
+    part = lambda a, b: changes.where((F.col("seq") > n * a // 4) & (F.col("seq") <= n * b // 4))
+    size = max(1000, n // 64)
+    publish(part(0, 1), "seq", folder, chunk=size)
+    reader = Subscription(spark, folder, CHANGES, start=0, pages=max(50, n // 25))
+    reader.drain()
+    publish(part(1, 3), "seq", folder, chunk=size)
+    expire(folder, n // 2)
+    reader.poll()
+    publish(part(3, 4), "seq", folder, chunk=size)
+    reader.drain()
+    return reader.messages()
+
+
 def stream_facts(spark, sf_dir: str) -> DataFrame:
     """Codes and stage of each user's job as documents come in, in update mode."""
     e = _events(spark, sf_dir)
@@ -83,12 +121,14 @@ def csv_rejects(spark, sf_dir: str) -> DataFrame:
 
 
 _CSV = f"WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'x12' ELSE left({HS_SQL.format('p_partkey')}, (p_partkey % 10)::INT) END AS hs FROM part), d AS (SELECT *, CASE WHEN NOT regexp_matches(hs, '^[0-9]{{2,8}}$') THEN 'code digits' WHEN p_partkey % 5 = 0 THEN 'no code' END AS reason FROM c)"
-QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, csv_accepted, csv_rejects)}
+QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, feed_read, feed_expired, csv_accepted, csv_rejects)}
 SQL = {
     "stream_unique": "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events",
     "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
     "stream_attached": "SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id) AS job FROM events",
     "stream_enriched": "SELECT c_mktsegment, event_type, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY ALL",
+    "feed_read": "SELECT event_id + 1 AS seq, user_id, event_type, value FROM events WHERE event_type <> 'error' AND user_id % 9 <> 0 AND event_id + 1 > (SELECT count(*) // 4 FROM events)",
+    "feed_expired": "WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id + 1 AS seq, user_id, event_type, value FROM events, n WHERE event_type <> 'error' AND user_id % 9 <> 0 AND (event_id + 1 <= n // 4 OR event_id + 1 > n * 3 // 4)",
     "stream_facts": f"""WITH d AS (SELECT user_id AS job, event_id % 7 AS r, CASE WHEN event_id % 4 > 0 THEN [left({HS_SQL.format('event_id')}, 2), '39'] ELSE [NULL] END AS codes FROM events), u AS (SELECT job, r, unnest(codes) AS code FROM d)
 SELECT job, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes, max(r)::INT AS stage_rank FROM u GROUP BY job""",
     "csv_accepted": f"""{_CSV} SELECT p_partkey, hs, 'C' || p_partkey AS code, replace(p_name, ' ', ', "q" ') AS title FROM d WHERE reason IS NULL""",
