@@ -31,7 +31,7 @@ from .textops import BYTE_BASE, mix, powers, text_bytes
 
 LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
 RANKS, PAIRS = 1 << 22, 1 << 24
-GATHER_BYTES, SALT_ROWS = 8 << 20, 100_000
+GATHER_BYTES, SALT_ROWS = 2 << 20, 100_000
 _U = np.uint64
 #: Bytes that end a piece, and those that end a word only.
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
