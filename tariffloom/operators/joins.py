@@ -107,8 +107,3 @@ def merged_masters(curated: DataFrame, generated: DataFrame, key: str) -> DataFr
     displaced = F.when(F.col("a.name").isNotNull() & F.col("b.name").isNotNull() & (F.col("a.name") != F.col("b.name")), F.array("b.name")).otherwise(none)
     aliases = F.array_distinct(F.concat(F.coalesce("a.aliases", none), F.coalesce("b.aliases", none), displaced))
     return joined.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.coalesce("a.name", "b.name").alias("name"), F.sort_array(aliases).alias("aliases"))
-
-
-def containing(left: DataFrame, text: str, master: DataFrame, name: str) -> DataFrame:
-    """Pairs of which one text holds the other, over a master small enough to be compared whole (it is broadcast by Spark's own size check)."""
-    return left.join(master, F.contains(F.col(text), F.col(name)) | F.contains(F.col(name), F.col(text)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from ..operators import containment as C
 from ..operators import joins as J
 from ..operators.matching import similar_keys
 from .fixture import AS_OF, HS_SQL, hs, table
@@ -98,7 +99,7 @@ def alias_join(spark, sf_dir: str) -> DataFrame:
 def containment_join(spark, sf_dir: str) -> DataFrame:
     """The first nation whose name holds, or is held by, a stated text."""
     asked = table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("PORT OF NATION_"), F.col("r_regionkey").cast("string")).alias("asked"))
-    pairs = J.containing(asked, "asked", table(spark, sf_dir, "nation"), "n_name")
+    pairs = C.containing(asked, "asked", table(spark, sf_dir, "nation"), "n_name")
     return J.first_match(pairs, ["r_regionkey"], F.col("n_nationkey")).select("r_regionkey", "asked", "n_name")
 
 
@@ -106,8 +107,8 @@ def loose_port(spark, sf_dir: str) -> DataFrame:
     """The longest master name that stands in a text at word bounds."""
     ports = table(spark, sf_dir, "nation").select(F.regexp_replace("n_name", "_", " ").alias("port"))
     texts = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("vessel at nation "), (F.col("c_custkey") % 30).cast("string"), F.lit(" / india")).alias("place"))
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.upper("place"), "[^A-Z0-9]+", " "), F.lit(" "))
-    pairs = texts.join(ports, F.contains(padded, F.concat(F.lit(" "), F.col("port"), F.lit(" "))))
+    words = texts.withColumn("words", F.trim(F.regexp_replace(F.upper("place"), "[^A-Z0-9]+", " ")))
+    pairs = C.with_words(words, "words", ports, "port")
     return J.first_match(pairs, ["c_custkey"], -F.length("port"), F.col("port")).select("c_custkey", "place", "port")
 
 
