@@ -190,8 +190,11 @@ def distinct(columns: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray
     for c in columns:
         same &= c[first[of]] == c
     sums = np.bincount(of[same], weights[same], minlength=len(first)).astype(np.int64)
+    if same.all():
+        return first, sums
     other = np.flatnonzero(~same)
-    return np.concatenate([first, other]), np.concatenate([sums, weights[other]])
+    more, rest = distinct([c[other] for c in columns], weights[other])
+    return np.concatenate([first, other[more]]), np.concatenate([sums, rest])
 
 
 def joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
@@ -200,8 +203,8 @@ def joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return pc.binary_join_element_wise(*parts, " ", null_handling="skip")
 
 
-WINDOW = "lang string, pivot long, salt int, at int, window string, weight long"
-_WINDOW = pa.schema([("lang", pa.string()), ("pivot", pa.int64()), ("salt", pa.int32()), ("at", pa.int32()), ("window", pa.string()), ("weight", pa.int64())])
+WINDOW = "lang string, pivot long, salt int, shares int, at int, window string, weight long"
+_WINDOW = pa.schema([("lang", pa.string()), ("pivot", pa.int64()), *[(c, pa.int32()) for c in ("salt", "shares", "at")], ("window", pa.string()), ("weight", pa.int64())])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -236,7 +239,7 @@ def _windows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, bits: np.ndar
             spread = mix(spread + np.where(c < 0, _U(1), v.hashes[c]))
         salt = (spread % shares.astype(_U)).astype(np.int32)
         words = joined(v.words, [np.where(c < 0, -1, v.word_of[c]) for c in columns])
-        made = pa.RecordBatch.from_arrays([v.langs.take(pa.array(v.lang_of[pivot])), pa.array(order_of[pivot].view(np.int64)), pa.array(salt), pa.array(left.astype(np.int32)), words, pa.array(weight)], schema=_WINDOW)
+        made = pa.RecordBatch.from_arrays([v.langs.take(pa.array(v.lang_of[pivot])), pa.array(order_of[pivot].view(np.int64)), pa.array(salt), pa.array(shares.astype(np.int32)), pa.array(left.astype(np.int32)), words, pa.array(weight)], schema=_WINDOW)
         for k in range(0, made.num_rows, 50_000):
             yield made.slice(k, 50_000)
 
@@ -244,9 +247,27 @@ def _windows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, bits: np.ndar
 _PHRASE = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of each window that hold its pivot."""
-    for batch in gathered(batches, "window", GATHER_BYTES * 2):
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches, sorted by pivot, joined so that none but the pivots of many shares is split."""
+    held = None
+    for batch in gathered(batches, "window"):
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        pivot = batch.column("pivot").to_numpy()
+        start = int(np.searchsorted(pivot, pivot[-1]))  # sorted by pivot first
+        if start:
+            yield batch.slice(0, start)
+        held = batch.slice(start)
+        if pc.min(held.column("shares")).as_py() > 1:
+            yield held
+            held = None
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _mine(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of each window that hold its pivot; of pivots in one share those of ``least`` only, as their counts are final."""
+    for batch in _pivots(batches):
         raw, offsets = text_bytes(batch.column("window"))
         space = raw == 32
         ends = np.flatnonzero(np.concatenate([space, np.zeros(1, bool)]))
@@ -260,17 +281,20 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = pa.StringArray.from_buffers(len(bounds), pa.py_buffer(starts), pa.py_buffer(raw[~space]))
         v = Vocabulary(words, batch.column("lang"), np.repeat(np.arange(batch.num_rows), size))
         at, weight = batch.column("at").to_numpy().astype(np.int64), batch.column("weight").to_numpy()
+        shared = batch.column("shares").to_numpy() > 1
         found, weights = [], []
         for before in range(LONGEST):
             for more in range(LONGEST - before):
                 if before + more:
                     rows = np.flatnonzero((at >= before) & (at + more < size))
                     place = first[rows] + at[rows] - before
-                    found.append([np.where(k <= before + more, v.ids[np.minimum(place + k, len(v.ids) - 1)], -1) for k in range(LONGEST)])
+                    found.append([np.where(k <= before + more, v.ids[np.minimum(place + k, len(v.ids) - 1)], -1) for k in range(LONGEST)] + [shared[rows].astype(np.int64)])
                     weights.append(weight[rows])
         columns, weights = [np.concatenate(c) for c in zip(*found, strict=True)], np.concatenate(weights)
         keep, n = distinct(columns, weights)
-        columns = [c[keep] for c in columns]
+        final = (n >= least) | (columns[-1][keep] > 0)
+        keep, n = keep[final], n[final]
+        columns = [c[keep] for c in columns[:-1]]
         phrases = joined(v.words, [np.where(c < 0, -1, v.word_of[c]) for c in columns])
         made = pa.RecordBatch.from_arrays([v.langs.take(pa.array(v.lang_of[columns[0]])), phrases, pa.array(n)], schema=_PHRASE)
         for k in range(0, made.num_rows, 50_000):
@@ -290,7 +314,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     counts = written(word_counts(texts, least), "word-counts")
     ranks, bits = (sc.broadcast(t) for t in tables_of(counts))
     windows = texts.mapInArrow(lambda batches: _windows(batches, ranks.value, bits.value), WINDOW)
-    local = windows.repartition("lang", "pivot", "salt").mapInArrow(_mine, "lang string, phrase string, n long")
+    dealt = windows.repartition("lang", "pivot", "salt").sortWithinPartitions("pivot", "lang")
+    local = dealt.mapInArrow(lambda batches: _mine(batches, least), "lang string, phrase string, n long")
     phrases = local.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     words = counts.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
     found = phrases.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "n").unionByName(words)
