@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import containment, decisions, drafts, duty, extras, feeds, joins, lookups, masters, matching, parsing, scalars, schedule, stores, workflow
+from . import containment, decisions, drafts, duty, extras, feeds, joins, lookups, masters, matching, merged, parsing, scalars, schedule, stores, workflow
 
-MODULES = (duty, joins, containment, lookups, schedule, scalars, matching, workflow, parsing, stores, drafts, feeds, masters, decisions, extras)
+MODULES = (duty, joins, containment, lookups, schedule, scalars, matching, merged, workflow, parsing, stores, drafts, feeds, masters, decisions, extras)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
