@@ -5,10 +5,11 @@ negative; a linear scan finds the contiguous stretch of largest sum. The scores
 come from labelled pages, here pages that mark their article themselves: a tag
 costs the more, the more often it stands outside the marked text. Elements that
 never show text or never hold an article (scripts, menus, asides ...) are barred.
-Elements that look like noise by their class, id or role, and forms, only get a
-penalty, which the share of the page's words in them, or an article or main
-heading in them, outweighs. Words that stay noise cost a little and are left out
-of the text, so an advert inside the article doesn't tear it.
+Elements that look like noise by their class, id or role are left out whatever
+their share of the page, unless the page's main article stands in them or they are
+its only text; an article among comments is a comment. Forms, and names that only
+hint at noise, are kept if they hold most of the page. Words of noise cost a little
+and are left out of the text, so an advert inside the article doesn't tear it.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 LISTS = frozenset("ul ol menu dl table select".split())
 GROUP = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 #: Words in class, id and role names that hint at noise; words that only describe a box; words that describe a state of it.
-NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination popup promo promos promotion related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments complementary contentinfo cookie cookies consent discussion disqus footer login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination popup promo promos promotion related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe talkback toolbar widget".split())
+TALK = frozenset("comment comments commentlist disqus discussion replies reply responses talkback".split())
 BOX = frozenset("area bar block body box button buttons container content group holder inner item items link links list panel section slot text top bottom wrap wrapper".split())
 STATE = frozenset("has with no is without enabled disabled open closed visible hidden active on off".split())
 ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
@@ -47,8 +49,8 @@ NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"\S+")
-#: The share of a page's words above which an element counts as content, by how much its name hints at noise.
-HINT, CLEAR = 0.5, 0.9
+#: The share of a page's words above which a form, and an element whose name only hints at noise, count as content; others never do.
+FORM, HINT, CLEAR, TALKING = 0.5, 0.9, 2.0, 3.0
 
 
 @dataclass(slots=True)
@@ -66,11 +68,10 @@ class Element:
     barred: bool
     penalty: float
     words: int = 0  # in it, without barred elements
-    anchor: bool = False  # holds an article, a main part or a heading of first rank
 
 
 def name_penalty(attributes: str) -> float:
-    """0, HINT or CLEAR: how much class, id and role names hint at noise; a name counts clearly if all but its describing parts do."""
+    """0, HINT, CLEAR or TALKING: how much class, id and role names hint at noise; a name counts clearly if the last but its describing parts does, and one of comments wherever it says so."""
     worst = 0.0
     for m in NAMES.finditer(attributes):
         for name in (m.group(1) or m.group(2) or m.group(3) or "").split():
@@ -78,7 +79,7 @@ def name_penalty(attributes: str) -> float:
             if not NOISE.intersection(parts) or STATE.intersection(parts):
                 continue
             telling = [p for p in parts if p not in BOX]
-            worst = max(worst, CLEAR if telling[-1] in NOISE else HINT)
+            worst = max(worst, TALKING if TALK.intersection(telling) else CLEAR if telling and telling[-1] in NOISE else HINT)
     return worst
 
 
@@ -173,11 +174,11 @@ def tokens(page: str) -> tuple[list[Token], list[Element]]:
             up = elements[parent]
             inside = open_names["article"] or open_names["main"]
             barred = up.barred or name in BARRED or (name == "header" and not inside)
-            penalty = 0.0 if name in ("html", "body", "article", "main") else max(name_penalty(attributes), HINT if name == "form" else 0.0)
+            penalty = 0.0 if name in ("html", "body", "article", "main") else max(name_penalty(attributes), FORM if name == "form" else 0.0)
             if name in INLINE and not penalty:
                 continue
             out[-1].element = len(elements)
-            elements.append(Element(parent, name, barred, penalty, 0, name in ("article", "main", "h1") and not barred))
+            elements.append(Element(parent, name, barred, penalty))
             stack.append(len(elements) - 1)
             open_names[name] += 1
             if name in LISTS:
@@ -185,18 +186,36 @@ def tokens(page: str) -> tuple[list[Token], list[Element]]:
             elif name in GROUP:
                 groups[-1][name] += 1
     for e in reversed(elements[1:]):
-        up = elements[e.parent]
-        up.words += e.words
-        up.anchor |= e.anchor
+        elements[e.parent].words += e.words
     return out, elements
 
 
+def _main_article(elements: list[Element]) -> int:
+    """The article or main part with the most words outside noise; else one in noise that holds more words than all that is outside, but none among comments. 0 if there is none."""
+    worst, own, best = [0.0], [e.words for e in elements], {True: (0, 0), False: (0, 0)}
+    for k, e in enumerate(elements[1:], 1):
+        worst.append(max(worst[e.parent], e.penalty if e.penalty >= CLEAR else 0.0))
+        own[e.parent] -= e.words
+        if e.name in ("article", "main") and not e.barred and worst[k] < TALKING and e.words > best[not worst[k]][0]:
+            best[not worst[k]] = e.words, k
+    outside = sum(n for n, w in zip(own, worst, strict=True) if not w)
+    return best[True][1] or (best[False][1] if best[False][0] > outside else 0)
+
+
 def noisy(elements: list[Element]) -> list[bool]:
-    """Which elements are left out: barred ones, those whose penalty isn't outweighed, and all in them."""
-    out = [False]
-    for e in elements[1:]:
-        support = (e.words / elements[0].words if elements[0].words else 0.0) + e.anchor
-        out.append(out[e.parent] or e.barred or e.penalty > support)
+    """Which elements are left out: barred ones, noise, and all in them; noise around the main article stays, and all noise of a page that has no other text."""
+    spared, at = set(), _main_article(elements)
+    while at:
+        spared.add(at)
+        at = elements[at].parent
+    total, out, own = max(1, elements[0].words), [False], [e.words for e in elements]
+    for k, e in enumerate(elements[1:], 1):
+        out.append(out[e.parent] or e.barred or (e.penalty > 0 and k not in spared and e.words <= e.penalty * total))
+        own[e.parent] -= e.words
+    if not any(n for n, left in zip(own, out, strict=True) if not left):
+        out = [False]
+        for e in elements[1:]:
+            out.append(out[e.parent] or e.barred)
     return out
 
 
@@ -307,7 +326,8 @@ def extract_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each page; a page without words, or null, has an empty text.
 
     Pages are judged alone, whatever their order, repeats or other columns; an
-    empty table gives no rows.
+    empty table gives no rows. A very long page is read whole, in one linear scan
+    whose tokens a task holds.
     """
     weights = learn_weights(pages) if weights is None else weights
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_extracted(weights), "page_id long, url string, text string, n_chars long")

@@ -68,6 +68,19 @@ TEMPLATES = {
     "item": f'<ul><li class="share">Share it<li>{BODY}</li></ul>',
     "comments": f'<main>{BODY}</main><section id="comments"><p>{"I agree. " * 70}</p></section>',
     "table": f'<table><tr><td class="navigation">Home<td>{BODY}<tr><td class="ad">Buy<td></table>',
+    "comment articles": f'<div class="post">{BODY}</div><ol class="comment-list">' + "".join(f'<li><article class="comment"><p>{"I think so too. " * 9}</p></article>' for _ in range(9)) + "</ol>",
+    "comment article": f'<main>{BODY}</main><div class="comments"><article><h1>Reply</h1><p>{"No, not at all. " * 200}</p></article></div>',
+    "cookie heading": f'<div class="cookie-notice"><h1>We value your privacy</h1><p>{"Accept this now. " * 9}</p></div><div>{BODY}</div>',
+    "sidebar heading": f'<div>{BODY}</div><div class="sidebar"><h1>Most read</h1><p>{"A story of today. " * 9}</p></div>',
+    "many comments": f'<div id="content">{BODY}</div><div id="comments"><p>{"Yes I agree with all. " * 120}</p></div>',
+    "comments by": f'<article>{BODY}</article><section class="comments-by-readers"><p>{"Yes I agree with all. " * 120}</p></section>',
+    "widget": f'<div class="elementor-widget"><article>{BODY}</article></div><div class="widget"><p>Tags and more</p></div>',
+    "popup": f'<div class="page">{BODY}</div><div class="newsletter-popup"><article><h2>Join</h2><p>Get our letter every day of the week.</p></article></div>',
+    "discussion": f'<article>{BODY}<div id="disqus_thread"><p>{"First one here. " * 40}</p></div></article>',
+    "related": f'<article>{BODY}</article><section class="related-posts">' + "<article><h3>Another</h3><p>Its first words are these here.</p></article>" * 6 + "</section>",
+    "promo": f'<div role="banner"><p>{"Big sale this week only. " * 30}</p></div><div role="main">{BODY}</div>',
+    "sidebar layout": f'<div class="sidebar-layout"><div>{BODY}</div></div><p class="share">Share</p>',
+    "only noise": f'<div class="widget">{BODY}</div>',
     "old": f'<center><font size=2><!-- x --><a name=top></a></font></center><div id=content>{BODY}</div><div class=\'footer\'>(c) us</div>',
 }
 
