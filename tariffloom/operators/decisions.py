@@ -127,18 +127,28 @@ def sub_entries(entries: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "k", F.col("x.labels").alias("label"), F.col("x.texts").alias("text"), value.alias("rate"), cited.alias("conditions"))
 
 
-#: Forms of amending instructions, in the order in which they are tried.
+#: Forms of amending instructions, in the order in which they are tried, with the names of their groups.
 INSTRUCTIONS = [
-    ("sunset", r"against S\. ?No\. ([0-9]+[A-Z]?), in column \(3\), in the proviso, for the figures, letters and word\s*[“\"‘'][^”\"’']+[”\"’'], the figures, letters and word\s*[“\"‘']([^”\"’']+)[”\"’']"),
-    ("omit", r"S\. ?No\. ([0-9]+[A-Z]?) and the entries relating thereto shall be omitted()"),
-    ("rate", r"against S\. ?No\. ([0-9]+[A-Z]?), in column \(4\), for the entry\s*[“\"‘'][^”\"’']+[”\"’'](?:, at both the places)?, the entry\s*[“\"‘']([^”\"’']+)[”\"’']"),
-    ("insert", r"after S\. ?No\. ([0-9]+[A-Z]?) and the entries relating thereto, the following()"),
-    ("replace", r"for S\. ?No\. ([0-9]+[A-Z]?) and the entries relating thereto, the following()"),
-    ("column3", r"against S\. ?No\. ([0-9]+[A-Z]?), in column \(3\),(?! in the proviso)()"),
-    ("condition", r"against S\. ?No\. ([0-9]+[A-Z]?), in column \((?:5|6|7)\)()"),
-    ("list", r"in the LISTS appended to TABLE\s*(\w+), in List ([0-9]+)"),
-    ("page", r"at page ([0-9]+),?\s*-?\s*in lines? ([0-9 and,]+)"),
+    (
+        "sunset",
+        r"against S\. ?No\. ([0-9]+[A-Z]?), in column \(3\), in the proviso, for the figures, letters and word\s*[“\"‘']([^”\"’']+)[”\"’'], the figures, letters and word\s*[“\"‘']([^”\"’']+)[”\"’']",
+        ("serial", "old", "new"),
+    ),
+    ("omit", r"S\. ?No\. ([0-9]+[A-Z]?) and the entries relating thereto shall be omitted", ("serial",)),
+    (
+        "rate",
+        r"against S\. ?No\. ([0-9]+[A-Z]?), in column \(4\), for the entry\s*[“\"‘']([^”\"’']+)[”\"’'](, at both the places)?, the entry\s*[“\"‘']([^”\"’']+)[”\"’']",
+        ("serial", "old", "both", "new"),
+    ),
+    ("insert", r"after S\. ?No\. ([0-9]+[A-Z]?) and the entries relating thereto, the following", ("serial",)),
+    ("replace", r"for S\. ?No\. ([0-9]+[A-Z]?) and the entries relating thereto, the following", ("serial",)),
+    ("column3", r"against S\. ?No\. ([0-9]+[A-Z]?), in column \(3\),(?! in the proviso)", ("serial",)),
+    ("condition", r"against S\. ?No\. ([0-9]+[A-Z]?), in column \((?:5|6|7)\)", ("serial",)),
+    ("list", r"in the LISTS appended to TABLE\s*(\w+), in List ([0-9]+)", ("table", "list")),
+    ("page", r"at page ([0-9]+),?\s*-?\s*in lines? ([0-9 and,]+)", ("page", "lines")),
 ]
+#: Names of the parts that a form can have; ``both`` is whether an edit is of both places.
+PARTS = ("serial", "old", "new", "table", "list", "page", "lines")
 COMPOUND = r"S\. ?No\. ([0-9]+[A-Z]?),\s*-\s*(?=\(a\))"
 
 
@@ -152,11 +162,16 @@ def clauses(instructions: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def classified(rows: DataFrame, text: str) -> DataFrame:
-    """rows with kind, serial and new of the first form that the text has; a null kind is for a person."""
-    kind = F.coalesce(*[F.when(F.col(text).rlike(f"(?i){p}"), k) for k, p in INSTRUCTIONS])
+    """rows with kind and the named parts of the first form that the text has, null where a form has none; a null kind is for a person."""
+    kind = F.coalesce(*[F.when(F.col(text).rlike(f"(?i){p}"), k) for k, p, _ in INSTRUCTIONS])
     out = rows.withColumn("kind", kind)
-    part = lambda g: F.coalesce(*[F.when(F.col("kind") == k, F.nullif(F.regexp_replace(F.regexp_extract(text, f"(?i){p}", g), "[, ]+$", ""), F.lit(""))) for k, p in INSTRUCTIONS])
-    return out.withColumn("serial", part(1)).withColumn("new", part(2))
+
+    def part(name: str) -> Column:
+        found = [F.when(F.col("kind") == k, F.regexp_extract(text, f"(?i){p}", names.index(name) + 1)) for k, p, names in INSTRUCTIONS if name in names]
+        return F.nullif(F.coalesce(*found), F.lit(""))
+
+    out = out.withColumns({name: part(name) for name in PARTS} | {"both": F.coalesce(part("both").isNotNull(), F.lit(False))})
+    return out.withColumn("lines", F.regexp_replace("lines", "[, ]+$", ""))
 
 
 def united_codes(rows: DataFrame, key: str, order: str, codes: str) -> DataFrame:

@@ -112,7 +112,7 @@ INSTRUCTION_TEXTS = [
 
 def instructions_read(spark, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", _pick("s_suppkey", *INSTRUCTION_TEXTS).alias("text"))
-    return D.classified(D.clauses(s, "s_suppkey", "text"), "clause").select("s_suppkey", "k", "kind", "serial", "new")
+    return D.classified(D.clauses(s, "s_suppkey", "text"), "clause").select("s_suppkey", "k", "kind", *D.PARTS)
 
 
 def codes_of_orders(spark, sf_dir: str) -> DataFrame:
@@ -234,7 +234,8 @@ SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN '39021000' WHEN used AND leng
  CASE WHEN used THEN 'error:qty:x,warning:ritc:library_proposal' WHEN p_partkey % 3 = 0 THEN 'error:ritc:x,error:qty:x' WHEN p_partkey % 3 = 1 THEN 'warning:ritc:x' ELSE '' END AS flags FROM p""",
     "general_descriptions": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE 'goods' END AS general FROM part",
     "split_entries": """SELECT s_suppkey, k, label, text, rate::DECIMAL(8,3) AS rate, conditions FROM supplier JOIN (VALUES (0, 0, 'i', 'newsprint', 0, '3+19'), (0, 1, 'ii', 'paper and paperboard', 0, '3'), (0, 2, 'iii', 'other goods', 2.5, ''), (2, 0, 'i', 'one thing', 0, ''), (2, 1, 'ii', 'another', 10, '')) v(m, k, label, text, rate, conditions) ON s_suppkey % 5 = m""",
-    "instructions_read": """SELECT s_suppkey, k, kind, serial, new FROM supplier JOIN (VALUES (0, 0, 'rate', '12A', '7.5%'), (1, 0, 'omit', '77', NULL), (2, 0, 'column3', '140', NULL), (2, 1, 'condition', '140', NULL), (3, 0, 'page', '12', '3 and 4'), (4, 0, NULL, NULL, NULL), (5, 0, 'list', 'I', '33')) v(m, k, kind, serial, new) ON s_suppkey % 6 = m""",
+    "instructions_read": """SELECT s_suppkey, k, kind, serial, old, new, "table", list, page, lines FROM supplier JOIN (VALUES (0, 0, 'rate', '12A', '5%', '7.5%', NULL, NULL, NULL, NULL), (1, 0, 'omit', '77', NULL, NULL, NULL, NULL, NULL, NULL), (2, 0, 'column3', '140', NULL, NULL, NULL, NULL, NULL, NULL), (2, 1, 'condition', '140', NULL, NULL, NULL, NULL, NULL, NULL),
+ (3, 0, 'page', NULL, NULL, NULL, NULL, NULL, '12', '3 and 4'), (4, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, 0, 'list', NULL, NULL, NULL, 'I', '33', NULL, NULL)) v(m, k, kind, serial, old, new, "table", list, page, lines) ON s_suppkey % 6 = m""",
     "codes_of_orders": f"""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, unnest([left({HS_SQL.format('l_partkey')}, 2), left({HS_SQL.format('l_suppkey')}, 1)]) AS c FROM lineitem), f AS (SELECT l_orderkey, c, min(l_partkey) AS p FROM l GROUP BY ALL)
 SELECT l_orderkey, string_agg(c, ',' ORDER BY p, c) AS codes FROM f GROUP BY l_orderkey""",
     "cess_of_code": f"""{_RANKED}, n AS (SELECT hs, pos, len, k, top, CASE WHEN pos % 4 = 1 THEN 'Rs.' || rate || ' per tonne' ELSE rate || '%' END AS rate_text, CASE WHEN pos % 4 <> 1 THEN rate END AS rate FROM r WHERE len > 0),
