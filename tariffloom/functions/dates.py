@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: English month names, in order.
-MONTHS = "january february march april may june july august september october november december".split()
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
 
 
 def days_left(due: Column, as_of: Column) -> Column:
@@ -55,6 +57,7 @@ def shelf_life_left(made: Column, expires: Column, now: Column) -> Column:
 
 def sunset(text: Column) -> Column:
     """The day after which an entry says it shall have no effect."""
+    # a fixed pattern
     pattern = r"(?i)shall have effect after the ([0-9]{1,2})(?:st|nd|rd|th)?\s+([A-Z][a-z]+),?\s+([0-9]{4})"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, 2)))
     day = F.concat_ws("-", F.regexp_extract(text, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, pattern, 1), 2, "0"))

@@ -9,16 +9,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal forms dropped from a party's name key.
-PARTY_SUFFIXES = "PRIVATE LIMITED CORPORATION COMPANY INCORPORATED PVT LTD LLP LLC INC CORP CO GMBH SPA SRL PTE SDN BHD FZE FZCO FZC DMCC BV NV SA AG KG OY AB AS".split()
+PARTY_SUFFIXES = [
+    "PRIVATE", "LIMITED", "CORPORATION", "COMPANY", "INCORPORATED", "PVT", "LTD", "LLP", "LLC", "INC", "CORP", "CO", "GMBH", "SPA",
+    "SRL", "PTE", "SDN", "BHD", "FZE", "FZCO", "FZC", "DMCC", "BV", "NV", "SA", "AG", "KG", "OY",
+    "AB", "AS",
+]
 #: Words dropped from an importer's name, and from a master's match key.
-IMPORTER_SUFFIXES = "MS PVT PRIVATE LTD LIMITED LLP CO COMPANY INC".split()
-MATCH_SUFFIXES = "PVT PRIVATE LTD LIMITED LLP INC CO COMPANY FZE FZCO GMBH".split()
+IMPORTER_SUFFIXES = [
+    "MS", "PVT", "PRIVATE", "LTD", "LIMITED", "LLP", "CO", "COMPANY", "INC",
+]
+MATCH_SUFFIXES = [
+    "PVT", "PRIVATE", "LTD", "LIMITED", "LLP", "INC", "CO", "COMPANY", "FZE", "FZCO", "GMBH",
+]
 #: Cells that stand for no value.
 NULLISH = ("", "NULL", ".", "..", "-", "--", "NA", "N/A", "NIL")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE36 = "0123456789" + LETTERS
 #: Letter values of container numbers: from 10 on, without multiples of 11.
-CONTAINER_VALUES = [v for v in range(10, 39) if v % 11]
+CONTAINER_VALUES = [10, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 34, 35, 36, 37, 38]
 
 
 def _words(names: list[str]) -> str:
@@ -300,8 +308,13 @@ def column_letter(n: Column) -> Column:
     return F.concat(F.when(n > 702, one(second - 1 + 26)).otherwise(""), F.when(n > 26, one(first - 1)).otherwise(""), one(n - 1))
 
 
-ONES = "Zero One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve Thirteen Fourteen Fifteen Sixteen Seventeen Eighteen Nineteen".split()
-TENS = "Zero Ten Twenty Thirty Forty Fifty Sixty Seventy Eighty Ninety".split()
+ONES = [
+    "Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine", "Ten", "Eleven", "Twelve", "Thirteen",
+    "Fourteen", "Fifteen", "Sixteen", "Seventeen", "Eighteen", "Nineteen",
+]
+TENS = [
+    "Zero", "Ten", "Twenty", "Thirty", "Forty", "Fifty", "Sixty", "Seventy", "Eighty", "Ninety",
+]
 
 
 def _below_hundred(n: Column) -> Column:

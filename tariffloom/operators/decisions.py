@@ -104,6 +104,7 @@ def general_description(stated: Column, general: Column, proposal: Column, most:
     return F.when(F.coalesce(good, F.lit(False)), proposal).otherwise(general)
 
 
+#: Rates, conditions and labels of stacked end uses.
 RATES = r"(?i)(Nil|Free|[0-9]+(?:\.[0-9]+)?%)"
 SLOTS = r"([0-9]+(?:\s+and\s+[0-9]+)*|-)"
 LABELS = r"(?i)\((i|ii|iii|iv|v|vi|vii|viii|ix|x)\)\s*"
@@ -149,6 +150,7 @@ INSTRUCTIONS = [
 ]
 #: Names of the parts that a form can have; ``both`` is whether an edit is of both places.
 PARTS = ("serial", "old", "new", "table", "list", "page", "lines")
+#: An instruction with lettered clauses.
 COMPOUND = r"S\. ?No\. ([0-9]+[A-Z]?),\s*-\s*(?=\(a\))"
 
 

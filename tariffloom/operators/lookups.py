@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +32,22 @@ def by_priority(frames: list[DataFrame], key: str, columns: list[str]) -> DataFr
     return every.groupBy(key).agg(F.min(F.struct("source", *columns)).alias("r")).select(key, "r.*")
 
 
-def reached(edges: DataFrame, parent: str, child: str, roots: DataFrame, root: str, most_levels: int = 64) -> DataFrame:
+def reached(edges: DataFrame, parent: str, child: str, roots: DataFrame, root: str) -> DataFrame:
     """(node, depth) of all that is reached from the roots; each node once, at its least depth.
 
     A level is one join with what is new; the walk ends when a level brings
-    nothing new, so cycles do no harm.
+    nothing new, so cycles do no harm and no depth is too deep. (A recursive common
+    table expression keeps no visited set, so a cycle in it never ends, and it has
+    a bound on its rows.)
     """
     level = roots.select(F.col(root).alias("node"), F.lit(0).alias("depth"))
     seen = level
-    for depth in range(1, most_levels + 1):
+    for depth in count(1):
         step = level.join(edges, F.col("node") == F.col(parent)).select(F.col(child).alias("node"), F.lit(depth).alias("depth")).distinct()
         level = step.join(seen.select("node"), "node", "left_anti").select("node", "depth").checkpoint()
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-    raise RuntimeError(f"the tree is deeper than {most_levels} levels")
 
 
 def natural_key(x: Column) -> list[Column]:

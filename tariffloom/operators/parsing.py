@@ -64,6 +64,7 @@ def _codes(text: Column) -> tuple[Column, Column]:
     return F.flatten(F.array_compact(F.transform(tokens, read))), F.filter(tokens, lambda t: read(t).isNull())
 
 
+#: How a description of codes excludes some, and names any chapter.
 EXCLUSION = r"(?i)[\[(]\s*(?:other than|except)\s*([^\])]*)(?:[\])]|$)"
 ANY_CHAPTER = r"(?i)\bany\s+(?:other\s+)?chapter\b"
 

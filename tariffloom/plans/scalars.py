@@ -182,11 +182,11 @@ def words_of_amounts(spark, sf_dir: str) -> DataFrame:
 _ALNUM = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 _DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
 _SQ = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-_PARTY = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(upper({0}), '^\s*(?:M/S|MESSRS)\b[.\s]*', ''), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g'), '\b(?:" + "|".join(T.PARTY_SUFFIXES) + r")\b', ' ', 'g'), '\s+', ' ', 'g'))"
-_IMPORTER = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9 ]', ' ', 'g'), '\b(?:" + "|".join(T.IMPORTER_SUFFIXES) + r")\b', '', 'g'), '\s+', ' ', 'g'))"
-_MASTER = r"regexp_replace(regexp_replace(upper({0}), '\b(?:" + "|".join(T.MATCH_SUFFIXES) + r")\b', '', 'g'), '[^A-Z0-9]', '', 'g')"
-_CONTAINER = "regexp_matches({0}, '^[A-Z]{{4}}[0-9]{{7}}$') AND list_sum(list_transform(range(10), lambda i: ([" + ",".join(map(str, [*range(10), *T.CONTAINER_VALUES])) + "])[instr('" + T.BASE36 + "', substring({0}, i + 1, 1))] * (1 << i))) % 11 % 10 = try_cast(substring({0}, 11, 1) AS INT)"
-_NULLISH = "(" + ", ".join(f"'{x}'" for x in T.NULLISH) + ")"
+_PARTY = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(upper({0}), '^\s*(?:M/S|MESSRS)\b[.\s]*', ''), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g'), '\b(?:PRIVATE|LIMITED|CORPORATION|COMPANY|INCORPORATED|PVT|LTD|LLP|LLC|INC|CORP|CO|GMBH|SPA|SRL|PTE|SDN|BHD|FZE|FZCO|FZC|DMCC|BV|NV|SA|AG|KG|OY|AB|AS)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_IMPORTER = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9 ]', ' ', 'g'), '\b(?:MS|PVT|PRIVATE|LTD|LIMITED|LLP|CO|COMPANY|INC)\b', '', 'g'), '\s+', ' ', 'g'))"
+_MASTER = r"regexp_replace(regexp_replace(upper({0}), '\b(?:PVT|PRIVATE|LTD|LIMITED|LLP|INC|CO|COMPANY|FZE|FZCO|GMBH)\b', '', 'g'), '[^A-Z0-9]', '', 'g')"
+_CONTAINER = "regexp_matches({0}, '^[A-Z]{{4}}[0-9]{{7}}$') AND list_sum(list_transform(range(10), lambda i: ([0,1,2,3,4,5,6,7,8,9,10,12,13,14,15,16,17,18,19,20,21,23,24,25,26,27,28,29,30,31,32,34,35,36,37,38])[instr('" + T.BASE36 + "', substring({0}, i + 1, 1))] * (1 << i))) % 11 % 10 = try_cast(substring({0}, 11, 1) AS INT)"
+_NULLISH = "('', 'NULL', '.', '..', '-', '--', 'NA', 'N/A', 'NIL')"
 _SQ0 = _SQ.replace('{}', '{0}')
 _CELL = f"CASE WHEN upper({_SQ0}) NOT IN {_NULLISH} THEN {_SQ0} END"
 _CHECK36 = f"substring('{T.BASE36}', ((36 - list_sum(list_transform(range(1, 15), lambda i: (instr('{T.BASE36}', substring(base, i, 1)) - 1) * (2 - i % 2) // 36 + (instr('{T.BASE36}', substring(base, i, 1)) - 1) * (2 - i % 2) % 36)) % 36) % 36 + 1)::INT, 1)"
