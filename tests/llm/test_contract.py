@@ -21,3 +21,13 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
     subprocess.run(["rm", "-r", str(tmp_path / "tariffloom" / "llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'duty_by_order' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_the_other_tests_are_found_without_both_folders(tmp_path):
+    for name in ("__spark_entry__.py", "tariffloom", "tests"):
+        subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-r", str(tmp_path / "tariffloom" / "llm"), str(tmp_path / "tests" / "llm")], check=True)
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path, check=True, capture_output=True, text=True).stdout
+    assert "test_oracle.py" in found and "error" not in found.lower()
+    quick = ["tests/test_oracle.py", "-k", "test_import or every_query or fx_asof"]
+    subprocess.run([sys.executable, "-m", "pytest", *quick, "-q"], cwd=tmp_path, check=True, capture_output=True)
