@@ -9,6 +9,7 @@ from .. import sources, streaming
 from ..operators.matching import WEIGHTS
 from ..sources.feed import Subscription, expire, publish
 from ..storage import fresh_path
+from ..streaming.retries import retried
 from .fixture import HS_SQL, hs, table
 
 
@@ -91,6 +92,18 @@ def feed_expired(spark, sf_dir: str) -> DataFrame:
     return reader.messages()
 
 
+def retry_messages(events: DataFrame) -> DataFrame:
+    """Events of a user as one message's fate: sign-ups bring it in, errors and views fail it, purchases finish it."""
+    kind = F.create_map(*[F.lit(x) for x in ("signup", "received", "error", "failed", "view", "failed", "purchase", "done")])[F.col("event_type")]
+    return events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+def stream_retried(spark, sf_dir: str) -> DataFrame:
+    """Attempts at each user's message with back-off from two hours on, given up after five or after five days without an outcome."""
+    with streaming.with_timers(spark):
+        return streaming.drained(retried(retry_messages(_events(spark, sf_dir)), 2 * 3_600_000, 5 * 86_400_000), "retried")
+
+
 def stream_facts(spark, sf_dir: str) -> DataFrame:
     """Codes and stage of each user's job as documents come in, in update mode."""
     e = _events(spark, sf_dir)
@@ -121,7 +134,7 @@ def csv_rejects(spark, sf_dir: str) -> DataFrame:
 
 
 _CSV = f"WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'x12' ELSE left({HS_SQL.format('p_partkey')}, (p_partkey % 10)::INT) END AS hs FROM part), d AS (SELECT *, CASE WHEN NOT regexp_matches(hs, '^[0-9]{{2,8}}$') THEN 'code digits' WHEN p_partkey % 5 = 0 THEN 'no code' END AS reason FROM c)"
-QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, feed_read, feed_expired, csv_accepted, csv_rejects)}
+QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects)}
 SQL = {
     "stream_unique": "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events",
     "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -135,13 +136,19 @@ def matched(stream: DataFrame, name: str) -> DataFrame:
     within a company is part of the meaning, so a company's batch is one task;
     ``source`` bounds it by the files of a trigger.
     """
-    spark = stream.sparkSession
+    none = F.array().cast("array<string>")
+    keyed = stream.select("company", "message", "ts", F.array_compact(F.coalesce("identifiers", none)).alias("identifiers"), F.coalesce("recognised", F.lit(0)).alias("recognised")).groupBy("company")
+    with with_timers(stream.sparkSession):
+        return drained(keyed.transformWithStateInPandas(_Matcher(), "company long, message long, outcome string, job long, score long", "Append", "None"), name)
+
+
+@contextmanager
+def with_timers(spark: SparkSession) -> Iterator[None]:
+    """The state store that keeps maps and timers, while streams start; the session's own setting comes back."""
     before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKSDB)  # map state needs it; the session's own setting comes back
+    spark.conf.set(_STORE, _ROCKSDB)
     try:
-        none = F.array().cast("array<string>")
-        keyed = stream.select("company", "message", "ts", F.array_compact(F.coalesce("identifiers", none)).alias("identifiers"), F.coalesce("recognised", F.lit(0)).alias("recognised")).groupBy("company")
-        return drained(keyed.transformWithStateInPandas(_Matcher(), "company long, message long, outcome string, job long, score long", "Append", "None"), name)
+        yield
     finally:
         if before is None:
             spark.conf.unset(_STORE)
