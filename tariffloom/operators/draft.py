@@ -355,3 +355,24 @@ def draft_duty(made: DataFrame) -> DataFrame:
         d = d.withColumn("x", F.transform("x", step))
     payable = sum((sums("x", h) for h in HEADS[1:]), sums("x", HEADS[0])).cast("decimal(30,8)")
     return d.select("job", F.size("x").cast("long").alias("n_items"), *[money(sums("x", c)).alias(c) for c in ("assessable", *HEADS)], F.round(sums("x", "base"), 0).cast("bigint").alias("igst_base"), F.round(payable, 0).cast("bigint").alias("payable"), F.col("x").alias("items"))
+
+
+def recomputed(made: DataFrame) -> DataFrame:
+    """Drafts after a review, with ``duty`` anew: null without goods, and null with the failure as the last flag, in place of an earlier one, where a rate is missing."""
+    amounts = ("n_items", "assessable", *HEADS, "igst_base", "payable")
+    duty = draft_duty(made).select(F.col("job").alias("__job"), F.struct(*amounts).alias("duty"))
+    joined = made.drop("duty").join(duty, F.col("job") == F.col("__job"), "left").drop("__job")
+    charged = F.coalesce(F.col("invoice.charges") > 0, F.lit(False)) & F.col("invoice.charges_fx").isNull()
+    failed = (F.size("items") > 0) & (F.col("invoice.fx").isNull() | charged)
+    failure = F.struct(F.lit("error").alias("severity"), F.lit(None).cast("string").alias("path"), F.lit("duty_failed").alias("code"))
+    others = F.filter("flags", lambda f: f["code"] != "duty_failed")
+    return joined.withColumn("flags", F.when(failed, F.array_append(others, failure)).otherwise(F.col("flags")))
+
+
+def learned_tariff(made: DataFrame, tariff: DataFrame) -> DataFrame:
+    """Rows that approved drafts add to the tariff: whole codes that it lacks, with a rate, from the first item of the first job that has them."""
+    rows = made.select("job", F.explode("items").alias("i"))
+    whole = rows.where(F.col("i.ritc").rlike("^[0-9]{8}$") & ((F.col("i.bcd_rate") > 0) | (F.col("i.igst_rate") > 0)))
+    values = F.struct(F.substring("i.description", 1, 80).alias("description"), "i.unit", *[F.col(f"i.{c}_rate").alias(c) for c in ("bcd", "igst", "aidc", "cess")], F.col("job").alias("learned_from"))
+    first = whole.groupBy(F.col("i.ritc").alias("cth")).agg(F.min_by(values, F.struct("job", "i.sl_no")).alias("r"))
+    return first.join(tariff.select("cth"), "cth", "left_anti").select("cth", "r.*")

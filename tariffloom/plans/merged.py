@@ -150,7 +150,22 @@ def draft_duty(spark, sf_dir: str) -> DataFrame:
     return D.draft_duty(_made(spark, sf_dir)).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (draft_shipments, draft_invoices, draft_items, draft_rules, draft_single_window, draft_duty)}
+def draft_recomputed(spark, sf_dir: str) -> DataFrame:
+    """Drafts after a reviewer has put in the rates that orders of even number lacked."""
+    put = lambda c: F.when((F.col("job") % 2 == 0) & F.col(f"invoice.{c}").isNull(), F.lit(2).cast("decimal(8,4)")).otherwise(F.col(f"invoice.{c}"))
+    made = _made(spark, sf_dir).withColumn("invoice", F.col("invoice").withField("fx", put("fx")).withField("charges_fx", put("charges_fx")))
+    out = D.recomputed(made)
+    failures = F.filter("flags", lambda f: f["code"] == "duty_failed")
+    return out.select("job", F.col("duty.payable").alias("payable"), F.size("flags").alias("n_flags"), F.size(failures).alias("failures"))
+
+
+def draft_learned_tariff(spark, sf_dir: str) -> DataFrame:
+    """What the drafts of every second order teach the tariff."""
+    approved = _made(spark, sf_dir).where("job % 2 = 0")
+    return D.learned_tariff(approved, masters(spark, sf_dir).tariff)
+
+
+QUERIES = {f.__name__: f for f in (draft_shipments, draft_invoices, draft_items, draft_rules, draft_single_window, draft_duty, draft_recomputed, draft_learned_tariff)}
 
 
 def _literal(value: str) -> str:
@@ -301,6 +316,15 @@ SQL = {
     "draft_rules": f"{_BASE}, f AS ({_rules_sql()}) SELECT job, (row_number() OVER (PARTITION BY job ORDER BY s, i, r) - 1)::INT AS k, severity, path, code FROM f",
     "draft_single_window": f"""{_BASE} SELECT job, (idx + 1)::INT AS sl_no, 'Item Characteristics' AS info, 'Standard UQC' AS qualifier, CASE WHEN final_unit = 'KGS' THEN final_quantity END AS measurement, CASE WHEN final_unit = 'KGS' THEN 'KGS' END AS unit FROM lined
  UNION ALL SELECT job, (idx + 1)::INT, agency || ' ' || q, q, NULL, NULL FROM lined, (VALUES ('origin'), ('use')) t(q) WHERE agency IS NOT NULL""",
+    "draft_recomputed": f"""{_BASE}, f AS ({_rules_sql()}), he AS (SELECT * REPLACE (CASE WHEN job % 2 = 0 AND fx IS NULL THEN 2 ELSE fx END AS fx, CASE WHEN job % 2 = 0 AND charges_fx IS NULL THEN 2 ELSE charges_fx END AS charges_fx) FROM h),
+{_DUTY_SQL.replace('JOIN h USING', 'JOIN he h USING')},
+{_HEADS_SQL},
+paid AS (SELECT job, round(sum(d_bcd) + sum(d_aidc) + sum(d_sws) + sum(d_igst) + sum(d_cess), 0)::BIGINT AS payable FROM h4d GROUP BY job),
+counted AS (SELECT job, count(*) AS n, count(*) FILTER (code = 'duty_failed') AS failures FROM f GROUP BY job),
+again AS (SELECT job, n_goods > 0 AND (fx IS NULL OR (charges > 0 AND charges_fx IS NULL)) AS failed FROM he)
+SELECT job, payable, (CASE WHEN failed THEN n - failures + 1 ELSE n END)::INT AS n_flags, (CASE WHEN failed THEN 1 ELSE failures END)::INT AS failures FROM counted JOIN again USING (job) LEFT JOIN paid USING (job)""",
+    "draft_learned_tariff": f"""{_BASE} SELECT ritc AS cth, left(description, 80) AS description, final_unit AS unit, bcd_rate AS bcd, igst_rate AS igst, aidc_rate AS aidc, cess_rate AS cess, job AS learned_from FROM lined
+ WHERE job % 2 = 0 AND regexp_matches(ritc, '^[0-9]{{8}}$') AND ritc NOT IN (SELECT cth FROM m_tariff) AND (bcd_rate > 0 OR igst_rate > 0) QUALIFY row_number() OVER (PARTITION BY ritc ORDER BY job, idx) = 1""",
     "draft_duty": f"""{_BASE},
 {_DUTY_SQL},
 {_HEADS_SQL} SELECT job, count(*) AS n_items, {', '.join(_MONEY.format(c) + f' AS {n}' for c, n in (('av', 'assessable'), ('d_bcd', 'bcd'), ('d_aidc', 'aidc'), ('0::DECIMAL(24,8)', 'health_cess'), ('d_sws', 'sws'), ('d_igst', 'igst'), ('d_cess', 'cess')))},
