@@ -245,7 +245,7 @@ lined AS (
     coalesce(bcd, 0)::DECIMAL(8,4) AS bcd_rate, coalesce(t_igst, i_rate, 0)::DECIMAL(8,4) AS igst_rate, coalesce(aidc, 0)::DECIMAL(8,4) AS aidc_rate, coalesce(t_cess, CASE WHEN NOT c_res AND c_oth = 0 THEN c_rate END, 0)::DECIMAL(8,4) AS cess_rate FROM it)"""
 _DUTY_SQL = """valued AS (SELECT l.*, h.fx, h.charges, h.charges_fx, (final_quantity * final_price)::DECIMAL(20,4) AS v, sum((final_quantity * final_price)::DECIMAL(20,4)) OVER (PARTITION BY l.job) AS goods_v FROM lined l JOIN h USING (job)),
 added AS (SELECT *, CASE WHEN charges > 0 THEN (charges::DECIMAL(12,2) * charges_fx)::DECIMAL(18,6) ELSE 0 END AS plus FROM valued WHERE goods_v > 0 AND fx IS NOT NULL),
-assessed AS (SELECT *, ((v * fx)::DECIMAL(26,8) + (plus::DECIMAL(18,6) * round(v / goods_v::DOUBLE, 14)::DECIMAL(16,14))::DECIMAL(28,8))::DECIMAL(24,8) AS av FROM added WHERE plus IS NOT NULL)"""
+assessed AS (SELECT *, ((v * fx)::DECIMAL(26,8) + (plus::DECIMAL(18,6) * ((((v * 10000)::HUGEINT * 200000000000000 + (goods_v::DECIMAL(20,4) * 10000)::HUGEINT) // (2 * (goods_v::DECIMAL(20,4) * 10000)::HUGEINT))::DECIMAL(18,0) * 0.00000000000001::DECIMAL(15,14))::DECIMAL(16,14))::DECIMAL(28,8))::DECIMAL(24,8) AS av FROM added WHERE plus IS NOT NULL)"""
 
 
 def _rule(severity: str, path: str | None, code: str, condition: str) -> tuple:
