@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import amendments, containment, decisions, drafts, duty, extras, feeds, joins, lookups, machines, masters, matching, merged, parsing, scalars, schedule, stores, workflow
+from . import amendments, calls, containment, decisions, drafts, duty, extras, feeds, joins, layout, lookups, machines, masters, matching, merged, parsing, scalars, schedule, stores, workflow
 
-MODULES = (duty, joins, amendments, containment, lookups, schedule, scalars, matching, merged, machines, workflow, parsing, stores, drafts, feeds, masters, decisions, extras)
+MODULES = (duty, joins, amendments, calls, containment, layout, lookups, schedule, scalars, matching, merged, machines, workflow, parsing, stores, drafts, feeds, masters, decisions, extras)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
