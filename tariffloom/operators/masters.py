@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import state_stem
-from ..functions.text import branch_for_export, cell_value, party_cell, party_key, plain_key, trigrams
+from ..functions.text import branch_for_export, cell_value, clean, party_cell, party_key, plain_key, trigrams
 
 def country_codes(rows: DataFrame, text: str, countries: DataFrame) -> DataFrame:
     """rows with ``iso2`` of the country that ``text`` names or codes; null if none.
@@ -85,3 +85,22 @@ def with_needs(entries: DataFrame, conditions: DataFrame, key: str, kind: str =
     cited = entries.select(key, F.explode("cited").alias("no"))
     hit = cited.join(conditions.where(F.array_contains("kinds", kind)).select("no"), "no", "left_semi").select(key).distinct()
     return entries.select(key).join(hit.withColumn("needs", F.lit(True)), key, "left").select(key, F.coalesce("needs", F.lit(False)).alias("needs"))
+
+
+#: What the name of a custom house tells of its mode; the first that fits counts.
+MODES = [
+    ("air", r"\bACC\b|AIR CARGO|\bAIRPORT\b|\bAIR\b"),
+    ("icd", r"\bICD\b|\bCFS\b|\bDRY PORT\b|\bINLAND\b"),
+    ("sea", r"\bSEA\b|\bPORT\b|\bHARBOU?R\b|\bDOCK\b|\bJETTY\b|\bWHARF\b"),
+    ("land", r"\bLCS\b|\bLAND\b|\bBORDER\b|\bRAIL\b"),
+    ("sez", r"\bSEZ\b|\bEPZ\b|\bFTZ\b"),
+]
+
+
+def custom_house_master(rows: DataFrame, order: str) -> DataFrame:
+    """(code, edi_code, name, mode, email) of rows (name, unece, edi, email): those with a name and a code of six letters or digits, the first of each code in the stated order; mode is null if the name tells none."""
+    tidy = lambda c: clean(F.coalesce(c, F.lit("")))
+    read = rows.select(F.upper(tidy("unece")).alias("code"), F.upper(tidy("edi")).alias("edi_code"), tidy("name").alias("name"), F.lower(tidy("email")).alias("email"), F.col(order).alias("__at"))
+    first = read.where("name <> '' AND code RLIKE '^[A-Z0-9]{6}$'").groupBy("code").agg(F.min_by(F.struct("edi_code", "name", "email"), "__at").alias("h"))
+    mode = F.coalesce(*[F.when(F.upper("h.name").rlike(pattern), kind) for kind, pattern in MODES])
+    return first.select("code", "h.edi_code", "h.name", mode.alias("mode"), "h.email")

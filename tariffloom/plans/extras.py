@@ -12,6 +12,7 @@ from ..functions.text import memory_keys
 from ..operators import joins as J
 from ..operators import parsing as P
 from ..operators import versions as V
+from ..operators.masters import custom_house_master
 from ..sources import tenant_table
 from .fixture import AS_OF, table
 from .masters import _case, _pick
@@ -38,13 +39,12 @@ def deposit_prices(spark, sf_dir: str) -> DataFrame:
 
 
 def custom_houses(spark, sf_dir: str) -> DataFrame:
-    """Codes of six characters, the first row of each, with the mode that the name tells; the first pattern wins."""
-    s = table(spark, sf_dir, "supplier")
-    rows = s.select("s_suppkey", F.concat(F.lit("IN"), F.lpad((F.col("s_suppkey") % 40).cast("string"), 3, "A"), F.when(F.col("s_suppkey") % 7 > 0, "4").otherwise("")).alias("code"), _pick("s_suppkey", "Nhava Sheva Sea", "Air Cargo Complex", "ICD Tughlakabad", "Petrapole LCS", "Sahar Air Sea", "Head Office").alias("name"))
-    first = J.first_match(rows.where(F.length("code") == 6), ["code"], F.col("s_suppkey"))
-    n = F.col("name")
-    mode = F.when(n.rlike(r"(?i)\bair\b"), "Air").when(n.rlike(r"(?i)\bsea\b"), "Sea").when(n.rlike(r"(?i)\bicd\b"), "ICD").when(n.rlike(r"(?i)\blcs\b"), "Land")
-    return first.select("code", "name", mode.alias("mode"))
+    """Custom houses from rows with codes that repeat, lack a place or stand in small letters, and names of all modes."""
+    k = F.col("c_custkey")
+    code = F.concat(F.when(k % 2 == 0, "IN").otherwise(" in"), F.lpad((k % 4000).cast("string"), 3, "a"), F.when(k % 7 > 0, "4").otherwise(""))
+    place = _pick("c_custkey", "Sahar  Air Sea", "Air Cargo Complex", "ICD Sea Port", "Harbor of", "JNPT Dock", "Petrapole LCS", "Kandla SEZ", "Airoli", "", "CFS Airways Land")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", code.alias("unece"), F.concat(F.lit("e"), F.substring("c_mktsegment", 1, 2)).alias("edi"), place.alias("name"), F.when(k % 3 > 0, F.concat(F.lit("Desk@"), "c_name")).alias("email"))
+    return custom_house_master(rows, "c_custkey")
 
 
 def zip_entries(spark, sf_dir: str) -> DataFrame:
@@ -134,8 +134,9 @@ SQL = {
     "deposit_prices": f"""WITH l AS (SELECT l_orderkey, l_suppkey % 25 AS line, l_partkey % 3 = 0 AS big, CASE WHEN l_partkey % 5 = 0 THEN l_quantity::DECIMAL(14,2) END AS paid FROM lineitem),
 p AS (SELECT l_orderkey, paid, CASE WHEN line % 3 = 0 AND line >= 12 THEN NULL WHEN big THEN line * 10 + 2 WHEN line % 4 <> 0 THEN line * 10 + 1 END AS rate FROM l)
 SELECT l_orderkey, CASE WHEN paid IS NOT NULL THEN 'paid' WHEN rate IS NULL THEN 'not_applicable' ELSE 'pending' END AS status, count(*) AS n, coalesce(sum(coalesce(paid, rate)), 0)::DECIMAL(18,2) AS expected FROM p GROUP BY 1, 2""",
-    "custom_houses": f"""WITH s AS (SELECT s_suppkey, 'IN' || lpad((s_suppkey % 40)::VARCHAR, 3, 'A') || '4' AS code, s_suppkey % 6 AS m FROM supplier WHERE s_suppkey % 7 > 0), f AS (SELECT code, arg_min(m, s_suppkey) AS m FROM s GROUP BY code)
-SELECT code, {_case('m', "'Nhava Sheva Sea'", "'Air Cargo Complex'", "'ICD Tughlakabad'", "'Petrapole LCS'", "'Sahar Air Sea'", "'Head Office'")} AS name, {_case('m', "'Sea'", "'Air'", "'ICD'", "'Land'", "'Air'", 'NULL')} AS mode FROM f""",
+    "custom_houses": """WITH r AS (SELECT c_custkey AS k, 'IN' || CASE WHEN c_custkey % 4000 < 1000 THEN lpad((c_custkey % 4000)::VARCHAR, 3, 'A') ELSE left((c_custkey % 4000)::VARCHAR, 3) END || CASE WHEN c_custkey % 7 > 0 THEN '4' ELSE '' END AS code, upper('e' || left(c_mktsegment, 2)) AS edi_code, lower('desk@' || c_name) AS mail FROM customer)
+SELECT code, arg_min(edi_code, k) AS edi_code, (['Sahar Air Sea', 'Air Cargo Complex', 'ICD Sea Port', 'Harbor of', 'JNPT Dock', 'Petrapole LCS', 'Kandla SEZ', 'Airoli', '', 'CFS Airways Land'])[(min(k) % 10 + 1)::INT] AS name,
+ (['air', 'air', 'icd', 'sea', 'sea', 'land', 'sez', NULL, NULL, 'icd'])[(min(k) % 10 + 1)::INT] AS mode, CASE WHEN min(k) % 3 > 0 THEN arg_min(mail, k) ELSE '' END AS email FROM r WHERE length(code) = 6 AND k % 10 <> 8 GROUP BY code""",
     "plan_recipients": """SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 AND c_custkey IS NOT NULL THEN 'u' || c_custkey || '@x' ELSE 'desk@' || lower(n_name) END AS recipient FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND s_nationkey % 3 = 0 LEFT JOIN nation ON n_nationkey = s_nationkey
 WHERE c_custkey IS NOT NULL OR n_nationkey % 5 > 0""",
     "relative_times": """WITH o AS (SELECT o_orderkey, trunc(pow(1.7, o_orderkey % 30))::BIGINT AS s FROM orders)

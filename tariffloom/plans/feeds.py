@@ -133,8 +133,29 @@ def csv_rejects(spark, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir)[1].select("p_partkey", "reason")
 
 
+def _files(spark, sf_dir: str) -> DataFrame:
+    """Documents as files of requirements: some with a heading, blank records, one good record with the whole text in quotes, three bad ones, a last good one; all three kinds of line end."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    end = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r")), (k % 3 + 1).cast("int"))
+    quoted = F.concat(F.lit('" say ""x"", '), F.coalesce(F.replace("text", F.lit('"'), F.lit('""')), F.lit("")), F.lit(' "'))
+    code = F.concat(F.lit("C"), k.cast("string"))
+    first = F.concat(F.substring(hs("doc_id"), 1, 4), F.lit("."), F.substring(hs("doc_id"), 5, 2), F.lit(", "), code, F.lit(","), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit('"a ""title"", of "'), "source")), F.lit(","), quoted)
+    lines = F.array(F.when(k % 4 > 0, "HS Code,Requirement Code,Title,Text"), F.lit(""), F.lit(' ,"", '), first, F.concat(F.lit("123456789,"), code, F.lit(",t,x")), F.lit("0101,,t,x"), F.concat(F.lit("0101,"), code, F.lit(",t")), F.concat(F.lit('"01""02",'), code, F.lit(',"un"qu"oted","open, ""'), "source"))
+    return d.select("doc_id", F.array_join(lines, "\u0001").alias("t"), end.alias("e")).select("doc_id", F.replace("t", F.lit("\u0001"), F.col("e")).alias("text"))
+
+
+def csv_imported(spark, sf_dir: str) -> DataFrame:
+    rows = sources.requirement_rows(_files(spark, sf_dir), "doc_id", "text")[0]
+    return rows.select("doc_id", "line", "hs", "code", "title", F.md5("requirement").alias("requirement"))
+
+
+def csv_import_errors(spark, sf_dir: str) -> DataFrame:
+    return sources.requirement_rows(_files(spark, sf_dir), "doc_id", "text")[1]
+
+
 _CSV = f"WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'x12' ELSE left({HS_SQL.format('p_partkey')}, (p_partkey % 10)::INT) END AS hs FROM part), d AS (SELECT *, CASE WHEN NOT regexp_matches(hs, '^[0-9]{{2,8}}$') THEN 'code digits' WHEN p_partkey % 5 = 0 THEN 'no code' END AS reason FROM c)"
-QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects)}
+QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects, csv_imported, csv_import_errors)}
 SQL = {
     "stream_unique": "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events",
     "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
@@ -146,4 +167,8 @@ SQL = {
 SELECT job, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes, max(r)::INT AS stage_rank FROM u GROUP BY job""",
     "csv_accepted": f"""{_CSV} SELECT p_partkey, hs, 'C' || p_partkey AS code, replace(p_name, ' ', ', "q" ') AS title FROM d WHERE reason IS NULL""",
     "csv_rejects": f"{_CSV} SELECT p_partkey, reason FROM d WHERE reason IS NOT NULL",
+    "csv_imported": f"""WITH d AS (SELECT *, (doc_id % 4 > 0)::INT AS h, {HS_SQL.format('doc_id')} AS c FROM documents)
+SELECT doc_id, h + 1 AS line, left(c, 6) AS hs, 'C' || doc_id AS code, CASE WHEN doc_id % 2 = 0 THEN 'C' || doc_id ELSE 'a "title", of ' || source END AS title, md5(regexp_replace('say "x", ' || coalesce(text, ''), '\\s+$', '')) AS requirement FROM d
+UNION ALL SELECT doc_id, h + 5, '0102', 'C' || doc_id, 'unquoted', md5('open, "' || source) FROM d""",
+    "csv_import_errors": "SELECT doc_id, k + (doc_id % 4 > 0)::INT AS line, raw, reason FROM documents, (VALUES (2, '123456789', 'not an HS code'), (3, '0101', 'no requirement code'), (4, '0101', 'no requirement text')) v(k, raw, reason)",
 }

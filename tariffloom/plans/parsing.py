@@ -69,9 +69,10 @@ def amended_entries(spark, sf_dir: str) -> DataFrame:
 
 
 def media_types(spark, sf_dir: str) -> DataFrame:
-    """What the first bytes tell; made bytes, since the fixture has no files."""
-    heads = F.element_at(F.array(*[F.lit(h) for h in ("25504446", "89504E470D0A", "FFD8FFE0", "504B030414", "3C68746D6C")]), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", sniffed(F.unhex(heads)).alias("type"))
+    """What first bytes and extension tell; made bytes before each page's own, since the fixture has no files."""
+    heads = F.element_at(F.array(*[F.lit(h) for h in ("255044462D", "25504446", "89504E470D0A1A0A", "89504E470D0A", "FFD8FFE0", "504B030414", "504B0506", "504B0102", "D0CF11E0A1B11AE1", "")]), (F.col("page_id") % 10 + 1).cast("int"))
+    name = F.concat("url", F.element_at(F.array(*map(F.lit, (".docx", ".XLSX", ".doc", ".xls", ".zip", "", ".xls.pdf"))), (F.col("page_id") % 7 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", sniffed(F.concat(F.unhex(heads), F.encode("html", "UTF-8")), name).alias("type"))
 
 
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -94,5 +95,6 @@ SELECT l_orderkey, serial, 'missing' AS problem FROM w ANTI JOIN c USING (l_orde
    CASE WHEN l_quantity > 30 THEN l_quantity::INT::VARCHAR ELSE strftime(l_shipdate, '%Y-%m-%d') END AS value, concat_ws('/', strftime(l_shipdate, '%Y-%m-%d'), lpad(l_orderkey::VARCHAR, 9, '0'), lpad(l_linenumber::VARCHAR, 3, '0'), lpad(l_suppkey::VARCHAR, 6, '0'), lpad(trunc(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0')) AS seq FROM lineitem),
 a AS (SELECT p_partkey, arg_max(value, seq) FILTER (action = 'rate') AS rate, arg_max(value, seq) FILTER (action = 'sunset') AS until, bool_or(action = 'omit') AS omitted, bool_or(action = 'other') AS stale FROM c WHERE action IS NOT NULL GROUP BY p_partkey)
 SELECT p_partkey, coalesce(rate, (p_size % 30)::VARCHAR) AS rate, until, coalesce(stale, false) AS stale FROM part LEFT JOIN a USING (p_partkey) WHERE NOT coalesce(omitted, false)""",
-    "media_types": "SELECT page_id, (['application/pdf', 'image/png', 'image/jpeg', 'application/zip', NULL])[(page_id % 5 + 1)::INT] AS type FROM pages",
+    "media_types": """SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 4 THEN 'image/jpeg' WHEN 1 THEN NULL WHEN 3 THEN NULL WHEN 7 THEN NULL WHEN 9 THEN NULL
+ ELSE CASE page_id % 7 WHEN 0 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 2 THEN 'application/msword' WHEN 3 THEN 'application/vnd.ms-excel' END END AS type FROM pages""",
 }
