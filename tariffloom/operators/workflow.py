@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_left, level, level_rank
@@ -74,3 +74,40 @@ def replayed(events: DataFrame, key: str, at: str, tie: str, event: str, start:
     ordered = F.array_sort(F.collect_list(F.struct(at, tie, event)))
     final = F.aggregate("events", F.lit(start), lambda state, e: F.coalesce(F.try_element_at(step, F.concat(state, F.lit(">"), e[event])), state))
     return events.groupBy(key).agg(ordered.alias("events")).select(key, final.alias("state"), F.size("events").alias("n_events"))
+
+
+def plan_queue(plans: DataFrame, jobs: DataFrame, stations: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Each station's delivery plans: pending ones in the order of their day, and those decided in the last hours, the latest first, with ``place`` from 1.
+
+    plans: plan, job, station, planned_for, status, decided_at, note,
+    notified_at; jobs: job, number, title, importer; stations: station, name.
+    Places are counted by station and queue, so no task sees all plans; plans
+    without a station are counted together. Ties go by plan.
+    """
+    pending = F.col("status") == "pending"
+    recent = F.col("decided_at") >= now - F.make_dt_interval(hours=F.lit(hours))
+    queue = F.when(pending, "pending").when(~pending & recent, "decided")
+    listed = plans.withColumn("queue", queue).where("queue IS NOT NULL")
+    w = Window.partitionBy("station", "queue").orderBy(F.when(F.col("queue") == "pending", F.col("planned_for")).asc_nulls_last(), F.when(F.col("queue") == "decided", F.col("decided_at")).desc(), "plan")
+    named = listed.withColumn("place", F.row_number().over(w)).join(jobs, "job", "left").join(stations, "station", "left")
+    return named.select(
+        "station", "queue", "place", "plan", "job", "planned_for", F.coalesce("name", F.lit("—")).alias("station_name"), F.coalesce("number", "title", F.lit("Untitled job")).alias("label"),
+        "importer", "status", "note", F.col("notified_at").isNotNull().alias("notified"),
+    )
+
+
+def board_rows(alerts: DataFrame, jobs: DataFrame, key: str, order: str) -> DataFrame:
+    """The board's lines in order: (kind, place, key, label, importer, days_left) of alerts (key, kind, days_left) of jobs (key, label, importer, order), by days left, then by the jobs' order.
+
+    Places are counted by kind, over the jobs that a board shows.
+    """
+    w = Window.partitionBy("kind").orderBy("days_left", order, key)
+    return alerts.select(key, "kind", "days_left").join(jobs, key).withColumn("place", F.row_number().over(w)).select("kind", "place", key, "label", "importer", "days_left")
+
+
+def requested(missing: DataFrame, known: DataFrame, stored: DataFrame, at: str) -> DataFrame:
+    """New requests (job, name, reason, code) of missing documents (job, name, reason, code and their order ``at``): the first of a job's equal names, none that is stored, and a code only if it is among those known of the job."""
+    first = missing.groupBy("job", "name").agg(F.min_by(F.struct("reason", "code"), at).alias("m"))
+    new = first.join(stored.select("job", "name"), ["job", "name"], "left_anti").select("job", "name", "m.reason", F.col("m.code").alias("__cited"))
+    supplied = known.select("job", F.col("code")).distinct()
+    return new.join(supplied.withColumnRenamed("code", "__cited").withColumn("code", F.col("__cited")), ["job", "__cited"], "left").select("job", "name", "reason", "code")

@@ -96,13 +96,18 @@ def deposit_expected(spark, sf_dir: str) -> DataFrame:
 
 
 def plan_queue(spark, sf_dir: str) -> DataFrame:
-    """Pending plans and those decided in the last day, of one station; a user without a station sees nothing."""
-    o = table(spark, sf_dir, "orders")
-    day = F.to_date("o_orderdate")
-    pending = o.where("o_orderstatus = 'P'").select("o_orderkey", F.lit("pending").alias("queue"), "o_custkey")
-    decided = o.where(F.col("o_orderstatus").isin("O", "F") & (day > F.date_sub(_as_of(), 30)) & (day <= _as_of())).select("o_orderkey", F.lit("decided").alias("queue"), "o_custkey")
-    station = table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey")
-    return pending.unionByName(decided).join(station, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "queue")
+    """Orders as delivery plans of their customer's nation, decided some minutes before the day of reference, many on the very edge of the last day."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    now = F.lit(f"{AS_OF} 00:00:00").cast("timestamp_ntz")
+    k = F.col("o_orderkey")
+    minutes = F.make_dt_interval(mins=(k % 97 * 30).cast("int"))
+    plans = o.select(
+        k.alias("plan"), (k - k % 2).alias("job"), F.when(k % 13 > 0, F.col("c_nationkey")).alias("station"), F.to_date("o_orderdate").alias("planned_for"), F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "accepted").otherwise("rejected").alias("status"),
+        F.when(F.col("o_orderstatus") != "P", now - minutes).alias("decided_at"), F.when(k % 5 == 0, F.col("o_orderpriority")).alias("note"), F.when(k % 3 == 0, now).alias("notified_at"),
+    )
+    jobs = o.where("o_orderkey % 2 = 0").select(k.alias("job"), F.when(k % 3 > 0, F.concat(F.lit("J"), k.cast("string"))).alias("number"), F.when(k % 9 > 0, F.concat(F.lit("Goods of "), "c_name")).alias("title"), F.when(k % 4 == 0, F.col("c_name")).alias("importer"))
+    stations = table(spark, sf_dir, "nation").where("n_nationkey % 6 > 0").select(F.col("n_nationkey").alias("station"), F.col("n_name").alias("name"))
+    return W.plan_queue(plans, jobs, stations, now)
 
 
 def poll_counters(spark, sf_dir: str) -> DataFrame:
@@ -143,6 +148,27 @@ def board(spark, sf_dir: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("days_left").alias("days_left"))
 
 
+def board_rows(spark, sf_dir: str) -> DataFrame:
+    """Alerts of the open jobs among the latest 500, line by line, the soonest first."""
+    latest = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(500).where("o_orderstatus <> 'F'")
+    named = latest.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    jobs = named.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("J"), F.col("o_orderkey").cast("string"))).otherwise("Untitled job").alias("label"), F.col("c_name").alias("importer"), (-F.unix_date(F.to_date("o_orderdate"))).alias("at"))
+    late = W.delivery_alerts(_jobs(spark, sf_dir), "o_orderkey", _as_of()).where("kind IN ('free_time', 'deposit_refund')")
+    held = W.clearance_alerts(_clearances(spark, sf_dir), "o_orderkey", _as_of()).where("kind IN ('duty_variance', 'awaiting_cfs', 'query_open')")
+    return W.board_rows(late.select("o_orderkey", "kind", "days_left").unionByName(held.select("o_orderkey", "kind", "days_left")), jobs, "o_orderkey", "at")
+
+
+def cited_requests(spark, sf_dir: str) -> DataFrame:
+    """Line items as missing documents that cite a requirement; an order knows ten of them, and some requests are stored."""
+    k, code = F.col("l_orderkey"), lambda c: F.concat(F.lit("C"), c.cast("string"))
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    missing = table(spark, sf_dir, "lineitem").select(k.alias("job"), F.concat(F.lit("Document "), (F.col("l_partkey") % 9).cast("string")).alias("name"), F.col("l_linestatus").alias("reason"), F.when(F.col("l_suppkey") % 4 > 0, code(F.col("l_suppkey") % 20)).alias("code"), at.alias("at"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"))
+    known = o.select("job", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("j")).select("job", code((F.col("job") + F.col("j") % 10) % 20).alias("code"))
+    stored = o.where("job % 5 = 0").select("job", F.concat(F.lit("Document "), (F.col("job") % 9).cast("string")).alias("name"))
+    return W.requested(missing, known, stored, "at")
+
+
 _JOBS = f"""jobs AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS eta, o_orderkey % 3 = 0 AS scrutinised, CASE WHEN o_orderkey % 10 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE END AS returned_on,
   CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 14)::INT END AS free_days, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 2 END AS free_from, CASE WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE + 5 END AS delivered_at, (o_orderkey % 3)::INT AS deposits_open, CASE WHEN o_orderkey % 2 = 1 THEN o_orderdate::DATE + 20 END AS valid_until
   FROM orders),
@@ -153,7 +179,7 @@ due AS (SELECT o_orderkey, 'invoice_call' AS kind, eta - 1 AS due_on, 1 AS withi
 alerts AS (SELECT o_orderkey, kind, due_on, (due_on - '{AS_OF}'::DATE)::INT AS days_left, CASE WHEN due_on < '{AS_OF}' THEN 'overdue' WHEN due_on - '{AS_OF}'::DATE <= within THEN 'due' ELSE 'soon' END AS level FROM due WHERE due_on - '{AS_OF}'::DATE <= ahead)"""
 _RANK = "CASE level WHEN 'overdue' THEN 3 WHEN 'due' THEN 2 ELSE 1 END"
 _STEP = " ".join(f"WHEN '{s}>{e}' THEN '{t}'" for (s, e), t in MOVES.items())
-QUERIES = {f.__name__: f for f in (stage_counts, documents_per_job, latest_draft, latest_event, job_states, delivery_alerts, alert_board, clearance_alerts, settled, deposit_expected, plan_queue, poll_counters, pending_messages, claim, urgent, board)}
+QUERIES = {f.__name__: f for f in (stage_counts, documents_per_job, latest_draft, latest_event, job_states, delivery_alerts, alert_board, clearance_alerts, settled, deposit_expected, plan_queue, poll_counters, pending_messages, claim, urgent, board, board_rows, cited_requests)}
 SQL = {
     "stage_counts": """WITH l AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500), c AS (SELECT (['new','documents_received','scrutiny','exported'])[(o_orderkey % 4 + 1)::INT] AS stage, count(*) AS n FROM l WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT ordinal, d.stage, coalesce(n, 0) AS n FROM (VALUES (0, 'new'), (1, 'documents_received'), (2, 'scrutiny'), (3, 'exported'), (4, 'closed')) d(ordinal, stage) LEFT JOIN c ON c.stage = d.stage""",
@@ -173,8 +199,12 @@ UNION ALL SELECT o_orderkey, 'awaiting_cfs', CASE WHEN day < today THEN 'overdue
 UNION ALL SELECT o_orderkey, 'ooc_without_duty', 'overdue', day, (day - today)::INT FROM j WHERE gone AND o_orderkey % 2 = 1""",
     "settled": """WITH s AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, n = f AS every, n > 0 AND n = f AS some_and_every, f > 0 AS "any" FROM s""",
     "deposit_expected": "SELECT l_orderkey, sum(CASE WHEN l_suppkey % 4 = 0 THEN 0 WHEN l_partkey % 5 = 0 THEN l_quantity::DECIMAL(14,2) WHEN l_suppkey % 3 > 0 THEN 100 ELSE 150 END)::DECIMAL(18,2) AS expected, count(*) FILTER (l_suppkey % 4 = 0) AS covered FROM lineitem GROUP BY 1",
-    "plan_queue": f"""WITH q AS (SELECT o_orderkey, 'pending' AS queue, o_custkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'decided', o_custkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderdate::DATE > '{AS_OF}'::DATE - 30 AND o_orderdate::DATE <= '{AS_OF}')
-SELECT o_orderkey, queue FROM q WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""",
+    "plan_queue": f"""WITH o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
+q AS (SELECT o_orderkey AS plan, o_orderkey // 2 * 2 AS job, CASE WHEN o_orderkey % 13 > 0 THEN c_nationkey END AS station, o_orderdate::DATE AS planned_for, o_orderstatus = 'P' AS p, o_orderkey % 97 AS halves, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'accepted' ELSE 'rejected' END AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS note, o_orderkey % 3 = 0 AS notified FROM o WHERE o_orderstatus = 'P' OR o_orderkey % 97 <= 48),
+j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 3 > 0 THEN 'J' || o_orderkey END AS number, CASE WHEN o_orderkey % 9 > 0 THEN 'Goods of ' || c_name END AS title, CASE WHEN o_orderkey % 4 = 0 THEN c_name END AS importer FROM o WHERE o_orderkey % 2 = 0)
+SELECT station, CASE WHEN p THEN 'pending' ELSE 'decided' END AS queue, (row_number() OVER (PARTITION BY station, p ORDER BY CASE WHEN p THEN planned_for END, CASE WHEN NOT p THEN halves END, plan))::INT AS place, plan, job, planned_for,
+ CASE WHEN station % 6 > 0 THEN n_name ELSE '—' END AS station_name, coalesce(number, title, 'Untitled job') AS label, importer, status, note, notified FROM q LEFT JOIN j USING (job) LEFT JOIN nation ON n_nationkey = station""",
     "poll_counters": "SELECT user_id, count(*) AS seen, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("signup", "purchase", "error", "view", "click")) + " FROM events GROUP BY user_id",
     "pending_messages": "SELECT user_id, event_id, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE (event_type = 'error' OR event_id % 2 = 0) AND event_id % 7 < 5) WHERE k <= 25",
     "claim": "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND (c_custkey % 3 > 0 OR c_acctbal < 0) ORDER BY c_acctbal, c_custkey LIMIT 1",
@@ -183,3 +213,8 @@ SELECT o_orderkey, queue FROM q WHERE o_custkey IN (SELECT c_custkey FROM custom
 SQL["board"] = f"""WITH mine AS (SELECT * FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500) WHERE o_orderstatus <> 'F'),
 a AS (SELECT o_orderkey, kind, days_left FROM ({SQL['delivery_alerts']}) WHERE kind IN ('free_time', 'deposit_refund') UNION ALL SELECT o_orderkey, kind, days_left FROM ({SQL['clearance_alerts']}) WHERE kind IN ('duty_variance', 'awaiting_cfs', 'query_open'))
 SELECT (['new','documents_received','scrutiny','exported'])[(o_orderkey % 4 + 1)::INT] AS line, count(*) AS n, NULL::INT AS days_left FROM mine GROUP BY 1 UNION ALL SELECT kind, count(*), min(days_left) FROM a WHERE o_orderkey IN (SELECT o_orderkey FROM mine) GROUP BY kind"""
+SQL["board_rows"] = f"""WITH mine AS (SELECT * FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500) LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'),
+a AS (SELECT o_orderkey, kind, days_left FROM ({SQL['delivery_alerts']}) WHERE kind IN ('free_time', 'deposit_refund') UNION ALL SELECT o_orderkey, kind, days_left FROM ({SQL['clearance_alerts']}) WHERE kind IN ('duty_variance', 'awaiting_cfs', 'query_open'))
+SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY days_left, o_orderdate::DATE DESC, o_orderkey))::INT AS place, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'J' || o_orderkey ELSE 'Untitled job' END AS label, c_name AS importer, days_left FROM a JOIN mine USING (o_orderkey)"""
+SQL["cited_requests"] = """WITH m AS (SELECT l_orderkey AS job, l_partkey % 9 AS d, l_linestatus AS reason, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 9 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
+SELECT job, 'Document ' || d AS name, reason, CASE WHEN l_suppkey % 4 > 0 AND (l_suppkey % 20 - job % 20 + 20) % 20 < 10 AND EXISTS (FROM orders WHERE o_orderkey = job) THEN 'C' || l_suppkey % 20 END AS code FROM m WHERE k = 1 AND NOT (job % 5 = 0 AND d = job % 9 AND EXISTS (FROM orders WHERE o_orderkey = job))"""
