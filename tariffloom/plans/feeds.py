@@ -9,6 +9,7 @@ from .. import sources, streaming
 from ..operators.matching import WEIGHTS
 from ..sources.feed import Subscription, expire, publish
 from ..storage import fresh_path
+from ..streaming.expiry import attached
 from ..streaming.retries import retried
 from .fixture import HS_SQL, hs, table
 
@@ -31,10 +32,20 @@ def stream_tumbling(spark, sf_dir: str) -> DataFrame:
     return streaming.drained(windows, "tumbling").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
+def _identified(spark, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").alias("identifier"))
+
+
 def stream_attached(spark, sf_dir: str) -> DataFrame:
     """Messages attached by what earlier ones of the user have brought."""
-    keyed = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").cast("long").alias("identifier"))
-    return streaming.drained(streaming.attached(keyed), "attached")
+    with streaming.with_timers(spark):
+        return streaming.drained(attached(_identified(spark, sf_dir)), "attached")
+
+
+def stream_expiring(spark, sf_dir: str) -> DataFrame:
+    """The same where an identifier expires after six silent days."""
+    with streaming.with_timers(spark):
+        return streaming.drained(attached(_identified(spark, sf_dir), 6 * 86_400_000), "expiring")
 
 
 def stream_enriched(spark, sf_dir: str) -> DataFrame:
@@ -155,11 +166,15 @@ def csv_import_errors(spark, sf_dir: str) -> DataFrame:
 
 
 _CSV = f"WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'x12' ELSE left({HS_SQL.format('p_partkey')}, (p_partkey % 10)::INT) END AS hs FROM part), d AS (SELECT *, CASE WHEN NOT regexp_matches(hs, '^[0-9]{{2,8}}$') THEN 'code digits' WHEN p_partkey % 5 = 0 THEN 'no code' END AS reason FROM c)"
-QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects, csv_imported, csv_import_errors)}
+QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_expiring, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects, csv_imported, csv_import_errors)}
 SQL = {
     "stream_unique": "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events",
     "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
     "stream_attached": "SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id) AS job FROM events",
+    "stream_expiring": """WITH m AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, coalesce(json_extract_string(props, '$.k'), '') AS i FROM events),
+g AS (SELECT *, coalesce(us - lag(us) OVER w > 6 * 86400000000, true)::INT AS opens FROM m WINDOW w AS (PARTITION BY user_id, i ORDER BY us, event_id)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, i ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id, i, k ORDER BY us, event_id) AS job FROM n""",
     "stream_enriched": "SELECT c_mktsegment, event_type, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY ALL",
     "feed_read": "SELECT event_id + 1 AS seq, user_id, event_type, value FROM events WHERE event_type <> 'error' AND user_id % 9 <> 0 AND event_id + 1 > (SELECT count(*) // 4 FROM events)",
     "feed_expired": "WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id + 1 AS seq, user_id, event_type, value FROM events, n WHERE event_type <> 'error' AND user_id % 9 <> 0 AND (event_id + 1 <= n // 4 OR event_id + 1 > n * 3 // 4)",

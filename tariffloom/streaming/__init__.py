@@ -8,7 +8,6 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.matching import NEEDED, STRONG, WEIGHTS
@@ -53,20 +52,6 @@ def tumbling(stream: DataFrame, at: str, delay: str, width: str, *keys: str) ->
     return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n")
 
 
-def _attach(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A message goes to the job that first had its identifier, else it opens one; the state keeps identifier and job."""
-    known = dict(zip(*state.get, strict=True)) if state.exists else {}
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    jobs = [known.setdefault(i, e) for i, e in zip(rows.identifier, rows.event_id, strict=True)]
-    state.update((list(known), list(known.values())))
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows.event_id, "job": jobs})
-
-
-def attached(stream: DataFrame) -> DataFrame:
-    """Messages with the job that earlier messages of the same user, or they themselves, opened; stream: user_id, event_id, ts, identifier."""
-    return stream.groupBy("user_id").applyInPandasWithState(_attach, "user_id long, event_id long, job long", "identifiers array<long>, jobs array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def merged_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Runs a stream in update mode over all that is there and returns the latest row of each key.
 
