@@ -161,12 +161,12 @@ def csv_imported(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line", "hs", "code", "title", F.md5("requirement").alias("requirement"))
 
 
-def csv_import_errors(spark, sf_dir: str) -> DataFrame:
+def csv_import_rejects(spark, sf_dir: str) -> DataFrame:
     return sources.requirement_rows(_files(spark, sf_dir), "doc_id", "text")[1]
 
 
 _CSV = f"WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'x12' ELSE left({HS_SQL.format('p_partkey')}, (p_partkey % 10)::INT) END AS hs FROM part), d AS (SELECT *, CASE WHEN NOT regexp_matches(hs, '^[0-9]{{2,8}}$') THEN 'code digits' WHEN p_partkey % 5 = 0 THEN 'no code' END AS reason FROM c)"
-QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_expiring, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects, csv_imported, csv_import_errors)}
+QUERIES = {f.__name__: f for f in (stream_unique, stream_tumbling, stream_attached, stream_expiring, stream_enriched, stream_matched, stream_facts, stream_retried, feed_read, feed_expired, csv_accepted, csv_rejects, csv_imported, csv_import_rejects)}
 SQL = {
     "stream_unique": "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events",
     "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
@@ -185,5 +185,5 @@ SELECT job, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes,
     "csv_imported": f"""WITH d AS (SELECT *, (doc_id % 4 > 0)::INT AS h, {HS_SQL.format('doc_id')} AS c FROM documents)
 SELECT doc_id, h + 1 AS line, left(c, 6) AS hs, 'C' || doc_id AS code, CASE WHEN doc_id % 2 = 0 THEN 'C' || doc_id ELSE 'a "title", of ' || source END AS title, md5(regexp_replace('say "x", ' || coalesce(text, ''), '\\s+$', '')) AS requirement FROM d
 UNION ALL SELECT doc_id, h + 5, '0102', 'C' || doc_id, 'unquoted', md5('open, "' || source) FROM d""",
-    "csv_import_errors": "SELECT doc_id, k + (doc_id % 4 > 0)::INT AS line, raw, reason FROM documents, (VALUES (2, '123456789', 'not an HS code'), (3, '0101', 'no requirement code'), (4, '0101', 'no requirement text')) v(k, raw, reason)",
+    "csv_import_rejects": "SELECT doc_id, k + (doc_id % 4 > 0)::INT AS line, raw, reason FROM documents, (VALUES (2, '123456789', 'not an HS code'), (3, '0101', 'no requirement code'), (4, '0101', 'no requirement text')) v(k, raw, reason)",
 }
