@@ -108,6 +108,8 @@ def board_rows(alerts: DataFrame, jobs: DataFrame, key: str, order: str) -> Data
 def requested(missing: DataFrame, known: DataFrame, stored: DataFrame, at: str) -> DataFrame:
     """New requests (job, name, reason, code) of missing documents (job, name, reason, code and their order ``at``): the first of a job's equal names, none that is stored, and a code only if it is among those known of the job."""
     first = missing.groupBy("job", "name").agg(F.min_by(F.struct("reason", "code"), at).alias("m"))
-    new = first.join(stored.select("job", "name"), ["job", "name"], "left_anti").select("job", "name", "m.reason", F.col("m.code").alias("__cited"))
-    supplied = known.select("job", F.col("code")).distinct()
-    return new.join(supplied.withColumnRenamed("code", "__cited").withColumn("code", F.col("__cited")), ["job", "__cited"], "left").select("job", "name", "reason", "code")
+    # joins by sorting: the sizes of filtered or exploded rows are guessed far too small, so Spark would broadcast what grows with the jobs
+    new = first.join(stored.select("job", "name").hint("merge"), ["job", "name"], "left_anti")
+    supplied = known.groupBy("job").agg(F.collect_set("code").alias("__known"))  # bounded by the codes of a job
+    cited = F.when(F.array_contains("__known", F.col("m.code")), F.col("m.code"))
+    return new.join(supplied.hint("merge"), "job", "left").select("job", "name", "m.reason", cited.alias("code"))
