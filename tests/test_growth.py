@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 
+from tariffloom.operators import containment as C
 from tariffloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +14,34 @@ def plan(frame: DataFrame) -> str:
 
 def test_requests_are_never_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(QUERIES["cited_requests"](spark, SF))
+
+
+def most_rows(frame: DataFrame) -> int:
+    """The most rows that a step of the plan gave, after it has run."""
+    frame.collect()
+
+    def rows(node) -> int:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return rows(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return rows(node.plan())
+        own = node.metrics().get("numOutputRows")
+        below = node.children()
+        return max([own.get().value() if own.isDefined() else 0, *(rows(below.apply(i)) for i in range(below.size()))])
+
+    return rows(frame._jdf.queryExecution().executedPlan())
+
+
+def test_shared_codes_and_texts_do_not_multiply(spark):
+    asked = spark.range(400).selectExpr("id AS k", "CASE WHEN id % 2 = 0 THEN 'a1' ELSE 'air x' END AS t")
+    carriers = spark.range(400).selectExpr("id AS answer", "id AS pos", "'001' AS prefix", "'A1' AS iata", "'ABC' AS icao", "'The air x lines' AS name")
+    found = C.airlines(asked, "k", "t", carriers)
+    assert most_rows(found) <= 2000
+    assert {(r.t, r.stage, r.answer) for r in found.collect()} == {("a1", 2, 0), ("air x", None, None)}
+    one = found.sparkSession.range(1).selectExpr("7L AS answer", "7L AS pos", "'001' AS prefix", "'B1' AS iata", "'ABC' AS icao", "'The air x lines' AS name")
+    assert {(r.t, r.stage, r.answer) for r in C.airlines(asked, "k", "t", one).collect()} == {("a1", None, None), ("air x", 5, 7)}
+    houses = carriers.selectExpr("answer", "pos", "'A1' AS code", "CAST(NULL AS STRING) AS edi", "name")
+    assert most_rows(C.custom_houses(asked, "k", "t", houses)) <= 2000
+    ports = carriers.selectExpr("answer", "pos", "'A1' AS code", "'air x' AS name", "array('a1') AS aliases")
+    assert most_rows(C.foreign_ports(asked, "k", "t", ports)) <= 2000
