@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 
 from tariffloom.operators import containment as C
+from tariffloom.operators import lookups as L
 from tariffloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,10 @@ def test_shared_codes_and_texts_do_not_multiply(spark):
     assert most_rows(C.custom_houses(asked, "k", "t", houses)) <= 2000
     ports = carriers.selectExpr("answer", "pos", "'A1' AS code", "'air x' AS name", "array('a1') AS aliases")
     assert most_rows(C.foreign_ports(asked, "k", "t", ports)) <= 2000
+
+
+def test_only_codes_of_one_answer_are_joined(spark):
+    master = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (3, "B"), (4, None)], "answer int, code string")
+    assert [(r.code, r.answer) for r in L.single(master, "code").where("code IS NOT NULL").collect()] == [("B", 3)]
+    plain = QUERIES["airline_lookup"](spark, SF)
+    assert most_rows(plain) <= 6 * 150
