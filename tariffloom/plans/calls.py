@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calls as M
@@ -42,9 +42,8 @@ def _requests(spark, sf_dir: str) -> DataFrame:
     part = table(ship(spark), sf_dir, "part")
     goods = part.groupBy(hs("p_partkey").alias("hs")).agg(F.min("p_name").alias("goods"))
     entries = _entries(part)
-    named = J.prefix_join(goods.select("hs"), "hs", entries.drop("rate", "p_name")).join(entries.select("pos", "rate", "p_name"), "pos")
-    k = F.row_number().over(Window.partitionBy("hs").orderBy(F.desc("len"), "pos"))
-    offered = named.withColumn("k", k).where(F.col("k") <= CANDIDATES).groupBy("hs").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "rate", "p_name"))).alias("c")).where(F.size("c") > 1)
+    named = J.best_prefixes(goods.select("hs"), "hs", entries.drop("rate", "p_name"), CANDIDATES).join(entries.select("pos", "rate", "p_name"), "pos")
+    offered = named.groupBy("hs").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "rate", "p_name"))).alias("c")).where(F.size("c") > 1)
     listed = F.transform("c", lambda x: F.concat(F.lit("["), (x["k"] - 1).cast("string"), F.lit("] "), x["rate"].cast("string"), F.lit(": "), x["p_name"]))
     return offered.join(goods, "hs").select("hs", "c", F.concat_ws("\n", F.concat(F.lit("Code "), "hs"), F.concat(F.lit("Goods "), "goods"), F.array_join(listed, "\n")).alias("prompt"))
 

@@ -1,8 +1,11 @@
 """Steps whose cost must grow no faster than their input."""
 
+import random
+
 from pyspark.sql import DataFrame
 
 from tariffloom.operators import containment as C
+from tariffloom.operators import joins as J
 from tariffloom.operators import lookups as L
 from tariffloom.plans.registry import QUERIES
 
@@ -53,3 +56,17 @@ def test_only_codes_of_one_answer_are_joined(spark):
     assert [(r.code, r.answer) for r in L.single(master, "code").where("code IS NOT NULL").collect()] == [("B", 3)]
     plain = QUERIES["airline_lookup"](spark, SF)
     assert most_rows(plain) <= 6 * 150
+
+
+def test_shared_prefixes_keep_the_entries_that_can_count(spark):
+    rng = random.Random(5)
+    codes = spark.createDataFrame([(f"{rng.randrange(40):02d}{rng.randrange(3):02d}{i % 100:02d}",) for i in range(300)], "hs string")
+    rows = [(i, rng.sample(["01", "0100", "02", "0201", "03", "010102"], rng.randint(1, 3)), [f"01{rng.randrange(3):02d}"] if i % 2 else [], i == 7) for i in range(120)]
+    schedule = spark.createDataFrame(rows, "pos int, include array<string>, exclude array<string>, any_chapter boolean")
+    best, seen = J.best_prefixes(codes, "hs", schedule, 3), {}
+    for r in sorted(J.prefix_join(codes, "hs", schedule).where("len > 0").collect(), key=lambda r: (r.hs, -r.len, r.pos)):
+        seen.setdefault(r.hs, []).append((r.pos, r.len))
+    assert sorted((r.hs, r.k, r.pos, r.len) for r in best.collect()) == sorted((c, k, *x) for c, xs in seen.items() for k, x in enumerate(xs[:3], 1))
+    same = spark.range(500).selectExpr("id AS pos", "array('01') AS include", "CASE WHEN id = 0 THEN array('010203') ELSE CAST(array() AS array<string>) END AS exclude", "false AS any_chapter")
+    many = spark.range(500).selectExpr("concat('0102', lpad(id, 4, '0')) AS hs")
+    assert most_rows(J.best_prefixes(many, "hs", same, 3)) <= 5000
