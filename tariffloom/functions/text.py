@@ -132,12 +132,19 @@ def trade_description(x: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(1), F.greatest(plain, F.least(F.size(words), F.lit(2)))), " ")
 
 
+def _once(x: Column, f) -> Column:
+    """f of x where x is computed once a row, however often f uses it; plain columns are put in for each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def gstin_check(first14: Column) -> Column:
     """The modulo-36 check character: factors one and two in turn, quotient and remainder by 36 summed."""
-    value = lambda i: F.instr(F.lit(BASE36), F.substring(first14, i, F.lit(1))) - 1
-    product = lambda i: value(i) * (2 - i % 2)
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda acc, i: acc + (product(i) / 36).cast("int") + product(i) % 36)
-    return F.substring(F.lit(BASE36), (36 - total % 36) % 36 + 1, F.lit(1))
+
+    def check(x: Column) -> Column:
+        values = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: (F.instr(F.lit(BASE36), F.substring(x, i, F.lit(1))) - 1) * (2 - i % 2))
+        return _once(F.aggregate(values, F.lit(0), lambda acc, p: acc + (p / 36).cast("int") + p % 36), lambda total: F.substring(F.lit(BASE36), (36 - total % 36) % 36 + 1, F.lit(1)))
+
+    return _once(first14, check)
 
 
 GSTIN = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$"
@@ -145,17 +152,17 @@ GSTIN = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$"
 
 def gstin_problems(gstin: Column, pan: Column, state: Column) -> Column:
     """What is wrong with a GSTIN, in order: format, check character, embedded PAN, state code."""
-    bare = F.upper(F.trim(gstin))
-    right = bare.rlike(GSTIN)
-    found = F.array(
-        F.when(~right, "format"),
-        F.when(right & (gstin_check(F.substring(bare, 1, 14)) != F.substring(bare, 15, 1)), "check"),
-        F.when(right & pan.isNotNull() & (F.substring(bare, 3, 10) != F.upper(F.trim(pan))), "pan"),
-        F.when(right & state.isNotNull() & (F.substring(bare, 1, 2) != state), "state"),
-    )
-    return F.array_compact(found)
 
+    def found(bare: Column) -> Column:
+        right = bare.rlike(GSTIN)
+        return F.array(
+            F.when(~right, "format"),
+            F.when(right & (gstin_check(F.substring(bare, 1, 14)) != F.substring(bare, 15, 1)), "check"),
+            F.when(right & pan.isNotNull() & (F.substring(bare, 3, 10) != F.upper(F.trim(pan))), "pan"),
+            F.when(right & state.isNotNull() & (F.substring(bare, 1, 2) != state), "state"),
+        )
 
+    return F.array_compact(_once(F.upper(F.trim(gstin)), found))
 
 
 def _decomposed() -> tuple[str, str]:

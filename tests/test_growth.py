@@ -70,3 +70,9 @@ def test_shared_prefixes_keep_the_entries_that_can_count(spark):
     same = spark.range(500).selectExpr("id AS pos", "array('01') AS include", "CASE WHEN id = 0 THEN array('010203') ELSE CAST(array() AS array<string>) END AS exclude", "false AS any_chapter")
     many = spark.range(500).selectExpr("concat('0102', lpad(id, 4, '0')) AS hs")
     assert most_rows(J.best_prefixes(many, "hs", same, 3)) <= 5000
+
+
+def test_check_character_is_computed_once(spark):
+    # the plan holds each use of an expression: the sum once for each of its uses in the character, again in gstin and in its check
+    text = QUERIES["gstin_check"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert text.count("aggregate(") <= 3  # 11 before
