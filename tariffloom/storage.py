@@ -29,3 +29,10 @@ def cut(frame: DataFrame) -> DataFrame:
     """Checkpoints to the shared folder, so that later sections neither recompute nor replan what comes before."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet and read back: narrow columns cost little there, and Spark knows the size of what it joins next."""
+    path = fresh_path(frame.sparkSession, "stored")
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.parquet(path)

@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tariffloom.operators import containment as C
 from tariffloom.operators import joins as J
@@ -76,3 +77,43 @@ def test_check_character_is_computed_once(spark):
     # the plan holds each use of an expression: the sum once for each of its uses in the character, again in gstin and in its check
     text = QUERIES["gstin_check"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert text.count("aggregate(") <= 3  # 11 before
+
+
+def test_schedules_are_summed_by_prefix(spark):
+    from decimal import Decimal
+
+    from tariffloom.operators import draft as D
+
+    rng = random.Random(7)
+    schema = "pos int, serial string, rate decimal(8,4), valid_until date, include array<string>, exclude array<string>, any_chapter boolean"
+    every = ["01", "0100", "0101", "02", "0201", "03", "010102", "030"]
+    rows = [(i, f"s{i}", rng.choice([None, Decimal(5), Decimal(12)]), None, rng.sample(every, rng.randint(0, 3)), [f"02{rng.randrange(3):02d}"] if i % 5 == 0 else [], i % 17 == 3) for i in range(90)]
+    codes = sorted({f"{rng.randrange(5):02d}{rng.randrange(3):02d}{rng.randrange(4):02d}" for _ in range(80)} | {"0101"})
+    schedule, asked = spark.createDataFrame(rows, schema), spark.createDataFrame([(c,) for c in codes], "ritc string")
+    want, counts = {}, {}
+    for c in codes:
+        met = []
+        for pos, serial, rate, _, include, exclude, anywhere in rows:
+            own = [len(p) for p in include if len(p) in (2, 4, 6, 8) and c.startswith(p)] + [0] * anywhere
+            if own and not any(c.startswith(p) for p in exclude):
+                met.append((-max(own), pos, serial, rate))
+        if met:
+            first = min(met, key=lambda x: x[:2])
+            want[c] = (first[2], first[3], first[0] == 0, sum(x[0] == first[0] and x[3] != first[3] for x in met))
+        if n := sum(x[0] < 0 for x in met):
+            counts[c] = (n, 0)
+    got = D._scheduled(asked, schedule, "e").collect()
+    assert len(got) == len(want) and {r.ritc: (r.e.serial, r.e.rate, r.e.residual, r.e.others) for r in got} == want
+    today = spark.sql("SELECT 1").select(F.lit("2026-01-01").cast("date")).first()[0]
+    assert {r.ritc: (r.in_force, r.lapsed) for r in D._exempted(asked, schedule, F.lit(today)).collect()} == counts
+    same = spark.range(400).selectExpr("CAST(id AS INT) AS pos", "'s' AS serial", "CAST(id % 2 AS DECIMAL(8,4)) AS rate", "array('0102') AS include", "CAST(array() AS array<string>) AS exclude", "false AS any_chapter")
+    many = spark.range(400).selectExpr("concat('0102', lpad(id, 4, '0')) AS ritc")
+    assert most_rows(D._scheduled(many, same, "e")) <= 4000  # 160,000 before
+
+
+def test_draft_sections_keep_no_copies_of_whole_drafts(spark):
+    from tariffloom.plans import merged as M
+
+    flat = plan(M.draft_shipments(spark, SF))
+    assert "items" not in flat.split("ReadSchema", 1)[1] and "Exchange hashpartitioning" not in flat
+    assert "flags" not in plan(M.draft_items(spark, SF))
