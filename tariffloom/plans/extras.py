@@ -57,10 +57,11 @@ def zip_entries(spark, sf_dir: str) -> DataFrame:
 def plan_recipients(spark, sf_dir: str) -> DataFrame:
     """Who is told of a plan: all staff of the station with an address, else the station's contact."""
     stations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station"), F.when(F.col("n_nationkey") % 5 > 0, F.concat(F.lit("desk@"), F.lower("n_name"))).alias("contact"))
-    staff = table(spark, sf_dir, "customer").where("c_nationkey % 3 = 0").select(F.col("c_nationkey").alias("station"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x")).alias("mail"))
+    staff = table(spark, sf_dir, "customer").where("c_nationkey % 3 = 0 AND c_custkey IS NOT NULL").select(F.col("c_nationkey").alias("station"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x")).alias("mail"))
     plans = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("station"))
-    told = plans.join(staff, "station", "left").join(stations, "station", "left")
-    return told.select("s_suppkey", F.coalesce("mail", "contact").alias("recipient")).where("recipient IS NOT NULL")
+    told = J.spread_join(plans, staff, "station").select("s_suppkey", F.col("mail").alias("recipient"))
+    rest = plans.join(staff.select("station").distinct(), "station", "left_anti").join(stations, "station")
+    return told.unionByName(rest.where("contact IS NOT NULL").select("s_suppkey", F.col("contact").alias("recipient")))
 
 
 def relative_times(spark, sf_dir: str) -> DataFrame:

@@ -135,3 +135,14 @@ def test_alternatives_are_counted_by_prefix(spark):
     # each of 300 codes met each of 300 entries before
     same = spark.range(300).selectExpr("id AS pos", "CAST(id % 2 AS STRING) AS text", "array('0102') AS include", "CAST(array() AS array<string>) AS exclude", "false AS any_chapter")
     assert most_rows(J.best_and_others(spark.range(300).selectExpr("concat('0102', lpad(id, 4, '0')) AS hs"), "hs", same, "text")) <= 3000
+
+
+def test_a_station_of_many_plans_and_staff_is_many_tasks(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        rows = QUERIES["plan_recipients"](spark, SF).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(key)
+    told = [r for r in rows if r.recipient.startswith("u")]
+    assert len({r.p for r in told if r.s_suppkey == told[0].s_suppkey}) > 1  # one before
