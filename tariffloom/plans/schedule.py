@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hs_code, hs_prefixes
+from ..functions.text import hs_code
 from ..operators import joins as J
 from .fixture import AS_OF, HS_SQL, hs, table
 
@@ -68,11 +68,12 @@ def tariff_unique_prefix(spark, sf_dir: str) -> DataFrame:
 
 
 def compliance_by_prefix(spark, sf_dir: str) -> DataFrame:
-    """Rules whose code is a prefix of an item's code, less those waived; prefixes are enumerated, so the join is an equality."""
+    """Rules whose code is a prefix of an item's code, less those waived."""
     rules = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("rule"), F.substring(hs("p_partkey"), F.lit(1), (F.col("p_partkey") % 4 + 2 + F.col("p_partkey") % 5).cast("int")).alias("prefix"))
-    items = table(spark, sf_dir, "part").select("p_partkey", F.explode(hs_prefixes(hs_code(hs("p_partkey")))).alias("prefix"))
     waived = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rule"))
-    return items.join(rules, "prefix").join(waived, "rule", "left_anti").groupBy("p_partkey").agg(F.count("*").alias("n_rules"), F.concat_ws(",", F.transform(F.sort_array(F.collect_set("rule")), lambda r: r.cast("string"))).alias("rules"))
+    items = table(spark, sf_dir, "part").select("p_partkey", hs_code(hs("p_partkey")).alias("code")).where("code IS NOT NULL")
+    found = J.all_of_prefixes(items, "p_partkey", "code", rules.join(waived, "rule", "left_anti"), "rule", "prefix")
+    return found.select("p_partkey", F.col("n").alias("n_rules"), F.array_join(F.col("rules").cast("array<string>"), ",").alias("rules"))
 
 
 _SCHEDULE = f"""part_h AS (SELECT p_partkey, {HS_SQL.format('p_partkey')} AS h FROM part),

@@ -146,3 +146,17 @@ def test_a_station_of_many_plans_and_staff_is_many_tasks(spark):
         spark.conf.unset(key)
     told = [r for r in rows if r.recipient.startswith("u")]
     assert len({r.p for r in told if r.s_suppkey == told[0].s_suppkey}) > 1  # one before
+
+
+def test_rules_meet_items_as_arrays(spark):
+    rng = random.Random(11)
+    code = lambda n: "".join(rng.choice("01") for _ in range(n))
+    items, rules = [(i, code(rng.randint(4, 8))) for i in range(200)], [(i, code(rng.randint(1, 8))) for i in range(90)]
+    asked, known = spark.createDataFrame(items, "k long, hs string"), spark.createDataFrame(rules, "rule long, prefix string")
+    want = {k: own for k, c in items if (own := [r for r, p in rules if len(p) > 1 and c.startswith(p)])}
+    got = J.all_of_prefixes(asked, "k", "hs", known, "rule", "prefix").collect()
+    assert len(got) == len(want) and {r.k: r.rules for r in got} == want and all(r.n == len(r.rules) for r in got)
+    few = J.all_of_prefixes(asked, "k", "hs", known.where("length(prefix) > 5"), "rule", "prefix").collect()
+    assert {r.k: r.rules for r in few} == {k: own for k, c in items if (own := [r for r, p in rules if len(p) > 5 and c.startswith(p)])}
+    many = spark.range(300).selectExpr("id AS k", "concat('0102', lpad(id, 4, '0')) AS hs")
+    assert most_rows(J.all_of_prefixes(many, "k", "hs", spark.range(300).selectExpr("id AS rule", "'0102' AS prefix"), "rule", "prefix")) <= 3000  # 90,000 pairs before
