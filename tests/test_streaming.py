@@ -83,3 +83,29 @@ def test_updates_of_all_batches_count(spark, tmp_path):
     stream = streaming.source(spark, path, "job long, codes array<string>, stage_rank long", 1)
     found = streaming.merged_updates(streaming.job_facts(stream), "facts", ["job"])
     assert {r.job: (r.codes, r.stage_rank) for r in found.collect()} == {1: (["29", "39"], 3), 2: (["84"], 0), 3: ([], 1)}
+
+
+def test_a_batch_asks_for_each_identifier_once():
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.rows = {(7, "bl:A"): (1,)}
+
+        def exists(self):
+            return True
+
+        def getValue(self, one):  # noqa: N802
+            calls.append(one)
+            return self.rows.get(one)
+
+        def updateValue(self, one, value):  # noqa: N802
+            calls.append(one)
+            self.rows[one] = value
+
+    matcher = streaming._Matcher()
+    matcher.owners = Store()
+    batch = pd.DataFrame({"company": 7, "message": range(2, 102), "ts": range(100), "identifiers": [["bl:A", "po:1"]] * 100, "recognised": 1})
+    out = pd.concat(matcher.handleInputRows((3,), iter([batch]), None))
+    assert set(out.job) == {1} and len(out) == 100
+    assert sorted(calls) == [(7, "bl:A"), (7, "po:1"), (7, "po:1")]  # 401 calls before
