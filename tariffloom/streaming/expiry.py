@@ -21,23 +21,28 @@ SCHEMA = "user_id long, event_id long, job long"
 class _Owners(StatefulProcessor):
     """By user and identifier: the owning job and when the identifier was last heard of, in microseconds."""
 
-    def __init__(self, lifetime: int | None):
-        self.lifetime = lifetime
+    def __init__(self, lifetime: int | None, delay: int):
+        self.lifetime, self.delay = lifetime, delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.owners = handle, handle.getMapState("owners", "user_id long, identifier string", "job long, seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch, jobs, held = pd.concat(list(rows)).sort_values(["at", "event_id"]), [], {}
+        some = self.owners.exists()  # each call of the store is a round trip: one here saves one for each identifier of a first batch
         for user, identifier, at, event in zip(batch["user_id"], batch["identifier"], batch["at"], batch["event_id"], strict=True):
             one = (int(user), identifier)
             if one not in held:
-                held[one] = tuple(self.owners.getValue(one)) if self.owners.containsKey(one) else (int(event), int(at))
+                kept = self.owners.getValue(one) if some else None
+                held[one] = tuple(kept) if kept else (int(event), int(at))
             job, seen = held[one]
             if self.lifetime is not None and at - seen > self.lifetime * 1000:
                 job = int(event)
             held[one] = job, max(seen, int(at))
             jobs.append(job)
+        if self.lifetime is not None:  # the next batch has no message older than the watermark, so none that these could still take
+            past = int(batch["at"].max()) - (self.lifetime + self.delay + 1) * 1000
+            held = {one: owner for one, owner in held.items() if owner[1] >= past}
         for one, owner in held.items():
             self.owners.updateValue(one, owner)
         if self.lifetime is not None and not any(True for _ in self.handle.listTimers()):
@@ -74,10 +79,11 @@ def attached(messages: DataFrame, lifetime_ms: int | None = None, delay: str = "
     lifetime none expires. A batch is taken by time; a message older than what
     its identifier has seen joins its present job. State without a lifetime
     grows with the identifiers, with one it holds those of the last lifetime, an
-    eighth of it, and ``delay``. The number of buckets stays with a checkpoint.
+    eighth of it, and ``delay``; what has expired within its own batch is never
+    stored. The number of buckets stays with a checkpoint.
     Needs the state store with timers, see ``with_timers``.
     """
     rows = messages.where("user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL")
     marked = rows.selectExpr("user_id", "event_id", "ts", "unix_micros(ts) AS at", "coalesce(cast(identifier AS STRING), '') AS identifier").withWatermark("ts", delay)
     dealt = marked.selectExpr("*", f"cast(pmod(xxhash64(user_id, identifier), {buckets}) AS INT) AS bucket")
-    return dealt.groupBy("bucket").transformWithStateInPandas(_Owners(lifetime_ms), SCHEMA, "Append", "EventTime")
+    return dealt.groupBy("bucket").transformWithStateInPandas(_Owners(lifetime_ms, int(pd.Timedelta(delay).total_seconds() * 1000)), SCHEMA, "Append", "EventTime")

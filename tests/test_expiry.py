@@ -68,3 +68,25 @@ def test_odd_rows(spark, tmp_path):
     t = datetime(2026, 1, 1)
     write(tmp_path / "in", [(0, [(1, 5, t, "a"), (1, 5, t, "a"), (None, 6, t, "a"), (1, None, t, "a"), (1, 7, None, "a"), (1, 8, t, None), (1, 9, t, "")])])
     assert run(spark, tmp_path / "in", tmp_path / "out", DAY) == {5: (1, 5), 8: (1, 8), 9: (1, 8)}
+
+
+def test_what_expires_within_a_batch_is_never_stored():
+    from tariffloom.streaming.expiry import _Owners
+
+    stored = []
+
+    class Store:
+        def exists(self):
+            return False
+
+        def updateValue(self, one, value):  # noqa: N802
+            stored.append(one)
+
+    owners = _Owners(DAY, 600_000)
+    owners.owners = Store()
+    owners.handle = type("Handle", (), {"listTimers": lambda self: iter([1])})()
+    at = [n * DAY * 1000 // 4 for n in range(40)]
+    batch = pd.DataFrame({"user_id": 1, "identifier": [f"i{n}" for n in range(40)], "at": at, "event_id": range(40)})
+    out = pd.concat(owners.handleInputRows((0,), iter([batch]), None))
+    assert list(out.job) == list(range(40))
+    assert stored == [(1, f"i{n}") for n in range(35, 40)]  # all 40 before
