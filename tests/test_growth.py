@@ -160,3 +160,13 @@ def test_rules_meet_items_as_arrays(spark):
     assert {r.k: r.rules for r in few} == {k: own for k, c in items if (own := [r for r, p in rules if len(p) > 5 and c.startswith(p)])}
     many = spark.range(300).selectExpr("id AS k", "concat('0102', lpad(id, 4, '0')) AS hs")
     assert most_rows(J.all_of_prefixes(many, "k", "hs", spark.range(300).selectExpr("id AS rule", "'0102' AS prefix"), "rule", "prefix")) <= 3000  # 90,000 pairs before
+
+
+def test_notices_are_read_once(spark):
+    assert "rlike" not in plan(QUERIES["amendments_rejected"](spark, SF)).lower()  # each kind of reject read all texts before
+    assert "rlike" not in plan(QUERIES["amendments_replayed"](spark, SF)).lower()
+
+
+def test_levels_are_one_table(spark):
+    found = QUERIES["content_tree"](spark, SF)
+    assert plan(found).count("Scan") == 1 and found.count() == 199  # a scan for each level before
