@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
+from ..storage import stored
 from .decisions import classified, clauses
 
 #: How a numbered instruction begins, where the text of a notification without numbers begins, and forms that are applied.
@@ -20,13 +21,13 @@ APPLIED = ("sunset", "omit", "rate")
 TABLE = "I"
 
 
-def numbered(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(instructions, rejects) of notices (notification, day, text).
+def numbered(notices: DataFrame) -> DataFrame:
+    """(notification, day, position, text): the instructions of notices (notification, day, text).
 
     An instruction reaches from its marker to the next one; a notification without
     markers is one instruction from its opening on. Markers must count 1..n,
     else one may have been read as part of its neighbour: the whole notification
-    is a reject then. A null or empty text has no instruction.
+    is one row without position and text then. A null or empty text has no instruction.
     """
     flat = notices.select("notification", "day", squeezed(F.coalesce("text", F.lit(""))).alias("t"))
     marks = F.transform(F.regexp_extract_all("t", F.lit(MARKER), F.lit(1)), lambda n: n.cast("int"))
@@ -34,18 +35,20 @@ def numbered(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
     opening = F.when(F.instr("t", OPENING) > 0, F.substring(F.col("t"), F.instr("t", OPENING), F.length("t"))).otherwise(F.col("t"))
     cut = flat.withColumn("marks", marks).withColumn("parts", F.when(F.size("marks") > 0, own).when(F.col("t") != "", F.array(opening)).otherwise(F.array().cast("array<string>")))
     in_order = (F.size("marks") == 0) | (F.col("marks") == F.sequence(F.lit(1), F.greatest(F.size("marks"), F.lit(1))))
-    good = cut.where(in_order).select("notification", "day", F.posexplode("parts").alias("p", "text"))
-    bad = cut.where(~in_order).select("notification", F.lit(None).cast("int").alias("position"), F.lit(None).cast("int").alias("k"), F.lit("misnumbered").alias("reason"))
-    return good.select("notification", "day", (F.col("p") + 1).alias("position"), F.trim("text").alias("text")), bad
+    parts = cut.select("notification", "day", F.posexplode(F.when(in_order, F.col("parts")).otherwise(F.array(F.lit(None).cast("string")))).alias("p", "text"))
+    return parts.select("notification", "day", F.when(F.col("text").isNotNull(), F.col("p") + 1).alias("position"), F.trim("text").alias("text"))
 
 
 def read(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edits, rejects): each lettered clause of each instruction by its form, with named parts; a clause of no known form is a reject."""
-    instructions, bad = numbered(notices)
-    keyed = instructions.withColumn("key", F.struct("notification", "day", "position"))
-    found = classified(clauses(keyed, "key", "text").select("key.*", "k", "clause"), "clause")
-    unknown = found.where("kind is null").select("notification", "position", "k", F.lit("no_form").alias("reason"))
-    return found.where("kind is not null"), bad.unionByName(unknown)
+    """(edits, rejects): each lettered clause of each instruction by its form, with named parts; a clause of no known form is a reject.
+
+    Texts are read once: what they hold is stored, and edits and rejects are taken from there.
+    """
+    keyed = numbered(notices).withColumn("key", F.struct("notification", "day", "position"))
+    found = stored(classified(clauses(keyed, "key", "text").select("key.*", "k", "clause"), "clause").drop("clause"))
+    misread = F.col("position").isNull()
+    bad = found.where("kind IS NULL").select("notification", "position", F.when(~misread, F.col("k")).alias("k"), F.when(misread, "misnumbered").otherwise("no_form").alias("reason"))
+    return found.where("kind IS NOT NULL"), bad
 
 
 def _replaced(text: Column, old: Column, new: Column, every: Column) -> Column:
