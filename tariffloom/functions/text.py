@@ -115,6 +115,12 @@ def trigrams(x: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def trigram_codes(x: Column) -> Column:
+    """``trigrams``, each as the one number that its three code points make."""
+    point = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("bigint")
+    return F.transform(trigrams(x), lambda g: F.shiftleft(point(g, 1), 42) + F.shiftleft(point(g, 2), 21) + point(g, 3))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)

@@ -174,3 +174,25 @@ def test_levels_are_one_table(spark):
 
 def test_bills_are_sorted_by_what_their_issues_tell(spark):
     assert "l_shipdate" not in plan(QUERIES["container_issues"](spark, SF))  # ten columns of whole items before
+
+
+def test_shared_grams_bring_a_pair_together_once(spark):
+    from tariffloom.operators import matching as M
+
+    rng = random.Random(13)
+    key = lambda: "CUSTOMER " + "".join(rng.choice("123") for _ in range(rng.randint(0, 6))) + rng.choice([" TRADING", "", " ÉTÉ 𝒳"])
+    asked, master = sorted({key() for _ in range(150)}), sorted({key() for _ in range(120)})
+    grams = lambda k: {f"  {k} "[i : i + 3] for i in range(len(k) + 1)}
+    sims = {(a, b): len(grams(a) & grams(b)) * 10000 // len(grams(a) | grams(b)) for a in asked for b in master}
+    left, right = spark.createDataFrame([(a, a) for a in asked], "a string, key string"), spark.createDataFrame([(b, b, len(b)) for b in master], "b string, key string, n int")
+    found = M.similar_keys(left, "a", right, "b", 5490, ("n",))
+    got = [(r.a, r.b, r.n, r.sim) for r in found.collect()]
+    assert sorted(got) == sorted((a, b, len(b), s) for (a, b), s in sims.items() if s >= 5490)
+    many = spark.range(300).selectExpr("CAST(id AS STRING) AS a", "concat('CUSTOMER ', lpad(id, 3, '0'), ' TRADING') AS key")
+    near = M.similar_keys(many, "a", many.withColumnRenamed("a", "b"), "b", 5490)
+    assert near.count() == 300 * 300 and most_rows(near) <= 150_000  # each pair met at several grams before
+
+
+def test_parties_meet_names_as_they_are_compared(spark):
+    text = plan(QUERIES["party_resolution"](spark, SF))
+    assert text.count("REPARTITION_BY_NUM") == 2 and "array_intersect" in text  # one task for a gram that names share before
