@@ -25,6 +25,7 @@ from .shared import table
 
 READ_BYTES = 12 << 20  # texts read side by side; a longer text is read alone
 STEPS = 32  # steps whose labels are computed at once
+WIDE, NARROW = 512, 64  # texts that go through these steps together; of fewer, all steps' inputs are read at once
 _F = np.float32
 
 
@@ -51,17 +52,20 @@ class LanguageModel:
     def run(self, codes: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The states after each of the bytes ``codes`` of shape (steps, 2, rows): what ``step`` gives, without new arrays in each step."""
         hidden, (steps, _, rows) = self.u.shape[2], codes.shape
-        inputs = np.stack([self.x[way].take(codes[:, way], axis=1, mode="clip") for way in (0, 1)])
         states = np.empty((steps, 2, hidden, rows), dtype=self.x.dtype)
         recurrent, gates, c = np.empty((2, 3 * hidden, rows), dtype=h.dtype), np.empty((2, 2 * hidden, rows), dtype=h.dtype), np.empty_like(states[0])
         of_gates, of_c, r, z = recurrent[:, : 2 * hidden], recurrent[:, 2 * hidden :], gates[:, :hidden], gates[:, hidden:]
+        at_once = steps if rows < NARROW else 1  # of few texts the inputs of all steps are read at once
         for t in range(steps):
+            if t % at_once == 0:
+                inputs = np.stack([self.x[way].take(codes[t : t + at_once, way], axis=1, mode="clip") for way in (0, 1)]).transpose(2, 0, 1, 3)
+                in_gates, in_c = inputs[:, :, : 2 * hidden], inputs[:, :, 2 * hidden :]
             new = states[t]
             np.matmul(self.u, h, out=recurrent)
-            np.add(of_gates, inputs[:, : 2 * hidden, t], out=gates)
+            np.add(of_gates, in_gates[t % at_once], out=gates)
             _gate(gates)
             np.multiply(r, of_c, out=c)
-            np.add(c, inputs[:, 2 * hidden :, t], out=c)
+            np.add(c, in_c[t % at_once], out=c)
             np.tanh(c, out=c)
             np.subtract(h, c, out=new)
             np.multiply(new, z, out=new)
@@ -116,43 +120,47 @@ class LanguageModel:
         """Per text the mean of its positions' label probabilities; zeros for an empty one.
 
         Both directions' label scores are kept step by step, 8 bytes a label for
-        each byte of the texts, and meet position by position at the end.
+        each byte of the texts, and meet position by position at the end. Steps go
+        through WIDE texts at a time, whose states stay in the processor's cache.
         """
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        size, kinds = np.fromiter(map(len, texts), np.int64, len(texts)), len(self.labels)
         order = np.argsort(-size, kind="stable")
         order = order[: int((size > 0).sum())]
-        total = np.zeros((len(texts), len(self.labels)))
+        total = np.zeros((len(texts), kinds))
         if not len(order):
             return total
         raw = np.frombuffer(b"".join([texts[k] for k in order]), np.uint8)
         size = size[order]
         first, last = np.cumsum(size) - size, np.cumsum(size) - 1
-        ahead, behind, row = [], [], np.zeros(size[0], dtype=np.int64)  # row: where each step's scores start
-        h, k, m, rows = np.zeros((2, self.u.shape[2], len(order)), dtype=self.x.dtype), 0, len(order), 0
+        blocks, k, m, rows, row = [], 0, len(order), 0, np.zeros(size[0], dtype=np.int64)  # row: where each step's scores start
         while m:
             steps = min(STEPS, int(size[0]) - k)
+            blocks.append((k, steps, m, rows))
             row[k : k + steps] = rows + m * np.arange(steps)
-            later = np.arange(k, k + steps)[:, None]
-            places = np.stack([np.minimum(first[:m] + later, len(raw) - 1), np.maximum(last[:m] - later, 0)], axis=1)
-            states = self.run(raw[places].astype(np.intp), np.ascontiguousarray(h[:, :, :m]))
-            h = states[-1]
-            scores = np.matmul(self.out, states).transpose(0, 1, 3, 2)
-            ahead.append(scores[:, 0] + self.bias)
-            behind.append(scores[:, 1].reshape(-1, len(self.labels)))
-            rows += steps * m
-            k += steps
+            rows, k = rows + steps * m, k + steps
             m = int(np.searchsorted(-size, -k, side="left"))
-        behind = np.concatenate(behind)
-        k, pooled = 0, np.zeros((len(order), len(self.labels)))
-        for scores in ahead:
-            steps, m = scores.shape[:2]
+        ahead, behind = np.empty((2, kinds, rows), dtype=self.x.dtype)
+        h = np.zeros((2, self.u.shape[2], len(order)), dtype=self.x.dtype)
+        for k, steps, m, start in blocks:
+            later = np.arange(k, k + steps)[:, None]
+            for i in range(0, m, WIDE):
+                of = slice(i, min(i + WIDE, m))
+                places = np.stack([np.minimum(first[of] + later, len(raw) - 1), np.maximum(last[of] - later, 0)], axis=1)
+                states = self.run(raw[places].astype(np.intp), np.ascontiguousarray(h[:, :, of]))
+                h[:, :, of] = states[-1]
+                scores = np.matmul(self.out, states).transpose(1, 2, 0, 3)
+                for way, kept in enumerate((ahead, behind)):
+                    kept[:, start : start + steps * m].reshape(kinds, steps, m)[:, :, of] = scores[way]
+        pooled = np.zeros((len(order), kinds))
+        for k, steps, m, start in blocks:
+            scores = ahead[:, start : start + steps * m].reshape(kinds, steps, m)
             back = size[:m] - 1 - np.arange(k, k + steps)[:, None]  # the backward step at each position
-            scores += behind[row[np.maximum(back, 0)] + np.arange(m)]
-            scores -= scores.max(axis=2, keepdims=True)
+            scores += behind.take(row[np.maximum(back, 0)] + np.arange(m), axis=1, mode="clip")
+            scores += self.bias[:, None, None]
+            scores -= scores.max(axis=0)
             np.exp(scores, out=scores)
-            scores *= ((back >= 0) / scores.sum(axis=2))[:, :, None]
-            pooled[:m] += scores.sum(axis=0)
-            k += steps
+            scores *= (back >= 0) / scores.sum(axis=0)
+            pooled[:m] += scores.sum(axis=1, dtype=np.float64).T
         total[order] = pooled / size[:, None]
         return total
 

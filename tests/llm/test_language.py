@@ -91,3 +91,11 @@ def test_runs_of_rows_keep_every_row():
     batches = [pa.record_batch({"text": [None, "a" * 9, "", "b" * 30]}), pa.record_batch({"text": pa.array([], pa.string())}), pa.record_batch({"text": ["c", "d" * 11, "e"]})]
     parts = list(language._gathered(iter(batches), 10))
     assert [x for p in parts for x in p.column("text").to_pylist()] == [x for b in batches for x in b.column("text").to_pylist()] and len(parts) == 3
+
+
+def test_wide_runs_are_those_of_each_text(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = random_model(3, "abc")
+    texts = [rng.integers(0, 256, size=n % 90).astype(np.uint8).tobytes() for n in range(150)]
+    monkeypatch.setattr(language, "WIDE", 70)
+    assert np.allclose(model.pooled(texts), [brute(model, t) for t in texts], atol=1e-9)
