@@ -28,11 +28,9 @@ def column_bounds(boxes: DataFrame, key: str) -> DataFrame:
 
 
 def column_of(bounds: Column, middle: Column) -> Column:
-    """The first column that holds the middle; outside all, that whose middle is nearest, the first of equal ones."""
-    inside = F.transform(bounds, lambda b: middle.between(b["x0"], b["x1"]))
-    away = F.transform(bounds, lambda b: F.abs((b["x0"] + b["x1"]) / 2 - middle))
-    holds = F.array_position(inside, True)
-    return F.when(holds > 0, holds).otherwise(F.array_position(away, F.array_min(away))).cast("int") - 1
+    """The first column that holds the middle; outside all, that whose middle is nearest, the first of equal ones. bounds: (x0, x1, middle)."""
+    away = lambda b: F.when(middle.between(b["x0"], b["x1"]), -1.0).otherwise(F.abs(b["middle"] - middle))
+    return F.array_min(F.transform(bounds, lambda b, i: F.struct(away(b).alias("away"), i.alias("i"))))["i"]
 
 
 def logical_rows(boxes: DataFrame, key: str, gap: float = 0.0) -> DataFrame:
@@ -40,13 +38,37 @@ def logical_rows(boxes: DataFrame, key: str, gap: float = 0.0) -> DataFrame:
 
     Boxes without a table or without a place are left out; so are a table's
     boxes without text, except that they shape layouts. A row holds one cell a
-    box at most, so its arrays are bounded by a row of the table. Layouts meet
-    boxes in an equi-join on the table, never by comparing all of their bounds.
+    box at most, so its arrays are bounded by a row of the table. Boxes are dealt
+    once, by table, and all that follows streams through windows in the same task:
+    boxes become rows, then a table's rows are sorted by layout, counted, and meet
+    the commonest one without a join.
     """
-    placed = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in (key, "x0", "x1", "y0", "y1"))).select(key, "x0", "x1", "y0", "y1", prose(F.col("text")).alias("text"))
-    lined = rows_by_gaps(placed, key, gap)
-    joined = lined.join(column_bounds(lined, key), key)
-    found = joined.select(key, "row", F.size("bounds").alias("width"), column_of(F.col("bounds"), (F.col("x0") + F.col("x1")) / 2).alias("at"), "x0", "x1", "y0", "text")
-    listed = found.groupBy(key, "row", "width").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "y0", "at", "text"))).alias("texts"))
-    cell = lambda i: F.array_join(F.transform(F.filter("texts", lambda t: (t["at"] == i) & (t["text"] != "")), lambda t: t["text"]), " ")
-    return listed.select(key, "row", F.transform(F.sequence(F.lit(0), F.col("width") - 1), cell).alias("cells"))
+    text = F.coalesce("text", F.lit(""))
+    placed = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in (key, "x0", "x1", "y0", "y1"))).select(key, "x0", "x1", "y0", "y1", F.when(text.rlike("[^!-~]"), prose(text)).otherwise(text).alias("text"))
+    at = Window.partitionBy(key, "row").orderBy("x0", "x1", "y0", "text")
+    x0, x1 = _tenth("x0"), _tenth("x1")
+    # a hash of one number tells all numbers apart, and arrays of them sort without being rewritten at each comparison, as those of doubles are
+    box = F.struct(x0.alias("x0"), x1.alias("x1"), ((x0 + x1) / 2).alias("middle"), F.xxhash64(x0).alias("h0"), F.xxhash64(x1).alias("h1"), ((F.col("x0") + F.col("x1")) / 2).alias("at"), "text")
+    every = F.collect_list(box).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    listed = rows_by_gaps(placed, key, gap).select(key, "row", F.row_number().over(at).alias("__k"), every.alias("boxes")).where("__k = 1")
+    shape = F.sort_array("boxes")
+    shaped = listed.select(key, "row", "boxes", shape["h0"].alias("h0"), shape["h1"].alias("h1"))
+    same = Window.partitionBy(key, "h0", "h1")
+    counted = shaped.select(key, "row", "boxes", F.count("*").over(same).alias("n"), F.min("row").over(same).alias("first"))
+    bounds = F.transform(shape, lambda b: F.struct(b["x0"].alias("x0"), b["x1"].alias("x1"), b["middle"].alias("middle")))
+    # columns that hold their own middle and no other's
+    apart = F.forall(F.zip_with(bounds, F.slice(bounds, 2, F.size("boxes")), lambda b, after: b["middle"].between(b["x0"], b["x1"]) & F.coalesce(b["x1"] < after["x0"], F.lit(True))), lambda x: x)
+    layout = F.max(F.when(F.col("row") == F.col("first"), F.struct("n", (-F.col("first")).alias("first"), bounds.alias("bounds"), apart.alias("apart")))).over(Window.partitionBy(key))
+    met = counted.select(key, "row", "boxes", layout.alias("layout")).select(key, "row", "boxes", "layout.bounds", "layout.apart")
+    placed_texts = F.transform(F.filter("boxes", lambda b: b["text"] != ""), lambda b: F.struct(column_of(F.col("bounds"), b["at"]).alias("i"), b["text"].alias("text")))
+    cell = lambda texts, i: F.array_join(F.filter(texts, lambda t: t["i"] == i)["text"], " ")
+    # the array of one holds the texts' columns, else they would be found again for each cell
+    cells = F.transform(F.array(placed_texts), lambda texts: F.transform(F.sequence(F.lit(0), F.size("bounds") - 1), lambda i: cell(texts, i)))[0]
+    regular = F.col("apart") & (F.col("boxes.at") == F.col("bounds.middle"))
+    return met.select(key, "row", F.when(regular, F.col("boxes.text")).otherwise(cells).alias("cells"))
+
+
+def _tenth(column: str) -> Column:
+    """Rounded to one place; whole numbers are as they are, without a decimal made of each."""
+    x = F.col(column)
+    return F.when(x == F.floor(x), x).otherwise(F.round(x, 1))

@@ -9,9 +9,20 @@ from ..operators import layout as L
 from .fixture import table
 
 
+#: Bytes of a file of documents that a task takes: as boxes they are about a hundred times as much, and are sorted in memory.
+TASK_BYTES = 2 << 20
+
+
+def _documents(spark, sf_dir: str) -> DataFrame:
+    """Documents dealt by id, so that their words need not be dealt as boxes; in tasks of the same size, however many documents there are."""
+    d = table(spark, sf_dir, "documents")
+    size = d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return d.select("doc_id", "text").repartition(max(spark.sparkContext.defaultParallelism, int(size) // TASK_BYTES), "doc_id")
+
+
 def _boxes(spark, sf_dir: str) -> DataFrame:
     """Each document's words, three a row, as boxes; every seventh row is cut into slivers, in every fifth the boxes stand lower, and every ninth has its last box outside the table."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("i", "word"))
+    d = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("i", "word"))
     r, c = (F.col("i") / 3).cast("int"), F.col("i") % 3
     at = d.select("doc_id", r.alias("r"), c.alias("c"), "word", (F.col("doc_id") + r).alias("s"))
     x, y = F.col("c") * 100.0, F.col("r") * 12.0 + F.when(F.col("s") % 5 == 0, F.col("c") * 2.0).otherwise(0.0)

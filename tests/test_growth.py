@@ -21,6 +21,12 @@ def test_requests_are_never_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(QUERIES["cited_requests"](spark, SF))
 
 
+def test_tables_are_dealt_as_texts_and_once(spark):
+    text = plan(QUERIES["table_rows"](spark, SF))
+    assert text.count("Exchange") == 1 and "Join" not in text and "Aggregate" not in text  # boxes were dealt twice, gathered twice and joined before
+    assert text.index("Exchange") > text.rindex("posexplode")  # what is dealt lies below: texts
+
+
 def most_rows(frame: DataFrame) -> int:
     """The most rows that a step of the plan gave, after it has run."""
     frame.collect()

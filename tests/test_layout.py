@@ -63,6 +63,19 @@ def test_slivers_follow_their_neighbours(spark):
     assert read(spark, boxes)["t", 2] == ["162", "17 02", "Sugar, raw *"]
 
 
+def test_columns_that_overlap_touch_or_run_backwards(spark):
+    rng = random.Random(3)
+    boxes = []
+    for t in range(60):
+        shape = [(a, a + rng.choice([0.0, 10.0, 25.0, -15.0])) for a in rng.sample([0.0, -0.0, 0.04, 8.0, 10.0, 20.0, 20.05, 33.3], rng.randint(1, 4))]
+        for r in range(rng.randint(1, 6)):
+            for a, b in shape:
+                nudge = rng.choice([0.0, 0.0, 0.0, 0.02])
+                boxes.append((f"t{t}", a + nudge, b + nudge, r * 10.0, r * 10.0 + 8, rng.choice(["a", "b", "", "“c”\u00a0d"])))
+    mended = [(*b[:5], b[5].replace("“", '"').replace("”", '"').replace("\u00a0", " ")) for b in boxes]
+    assert read(spark, boxes) == plain(mended)
+
+
 def test_odd_boxes(spark):
     assert read(spark, []) == {}
     boxes = [(None, 0.0, 1.0, 0.0, 1.0, "no table"), ("t", None, 1.0, 0.0, 1.0, "no place"), ("t", 0.0, 10.0, 0.0, 1.0, None), ("t", 0.0, 10.0, 5.0, 6.0, "x"), ("t", 0.0, 10.0, 5.0, 6.0, "x")]
