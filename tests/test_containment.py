@@ -1,6 +1,7 @@
 """Texts inside texts against comparing all pairs; no plan compares all pairs."""
 
 import random
+import re
 
 import pytest
 
@@ -53,3 +54,23 @@ def test_empty_sides(spark, sides):
 def test_no_plan_compares_all_pairs(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString() + QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_airlines_by_every_step_of_their_lookup(spark):
+    rows = QUERIES["airline_lookup"](spark, SF).collect()
+    letters = lambda k: "".join("ABCDEFGHIJ"[int(d)] for d in f"{k % 1000:03d}")
+    carriers = [(r.s_suppkey, f"{r.s_suppkey % 1000:03d}", f"A{r.s_suppkey % 10}", letters(r.s_suppkey) if r.s_suppkey % 61 else None, r.s_name.upper()) for r in spark.read.parquet(f"{SF}/supplier.parquet").orderBy("s_suppkey").collect()]
+
+    def looked_up(text):
+        up = text.strip().upper()
+        prefix = re.match(r"(\d{3})\b", up)
+        steps = [lambda c: prefix and c[1] == prefix[1], lambda c: re.fullmatch("[0-9A-Z]{2}", up) and c[2] == up, lambda c: re.fullmatch("[A-Z]{3}", up) and c[3] == up, lambda c: c[4] == up, lambda c: c[4] in up or up in c[4]]
+        for n, step in enumerate(steps if up else [], 1):
+            found = [c[0] for c in carriers if step(c)]
+            if len(found) == 1 or found and n < 5:
+                return n, found[0]
+        return None, None
+
+    assert [(r.stage, r.answer) for r in rows] == [looked_up(r.raw) for r in rows]
+    assert {r.stage for r in rows} == {None, 1, 2, 3, 4, 5}
+    assert any(r.stage == 5 and " " in r.raw for r in rows) and any(r.stage == 5 and " " not in r.raw for r in rows)  # held by the text, holding it
